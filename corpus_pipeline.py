@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftspan.llm import jaccard, quality, substrings
+from driftspan.llm import jaccard, packing, quality, substrings
+from driftspan.llm.tokens import default_path
 
 WINDOW = 50
 
@@ -22,7 +23,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs, window=WINDOW)
 
 
-STAGES = [("quality", keep_quality), ("near_duplicates", keep_one_of_group), ("substrings", cut_repeats)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of these documents, placed in sequences of 4096 tokens: each names its doc_id, start, length and place."""
+    return packing.pack_documents(docs, default_path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", keep_quality), ("near_duplicates", keep_one_of_group), ("substrings", cut_repeats), ("packing", pack)]
 
 #: Three of the stages hash word runs, and packing reads token ids: no SQL here; tests compare with brute force.
 ORACLE_SQL = None

@@ -4,13 +4,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftspan.llm import jaccard, quality, substrings
+from driftspan.llm import bpe, jaccard, orc_tokens, packing, quality, substrings
+from driftspan.llm.tokens import default_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), default_path("word_bpe_49k.json"))
+
+
+def op6_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_documents(spark, sf_dir), default_path("byte_bpe_50k.json"))
+
+
+def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = orc_tokens.write_documents(_documents(spark, sf_dir), default_path("word_bpe_49k.json"))
+    return orc_tokens.summary(spark, folder)
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_documents(spark, sf_dir), size=4, percent=85)
 
@@ -25,5 +39,5 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op5_ngram_jaccard, op7_substring_dedup, op10_quality_rules)
+    ops = (op1_packing, op5_ngram_jaccard, op6_bpe_chunks, op7_substring_dedup, op9_orc_tokens, op10_quality_rules)
     return {f.__name__: f for f in ops}
