@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftspan.llm import bpe, jaccard, orc_tokens, packing, quality, substrings
+from driftspan.llm import bpe, jaccard, media, orc_tokens, packing, quality, substrings
 from driftspan.llm.tokens import default_path
 
 
@@ -20,6 +20,10 @@ def op6_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), default_path("byte_bpe_50k.json"))
 
 
+def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_report(media.encode_media(_documents(spark, sf_dir)))
+
+
 def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = orc_tokens.write_documents(_documents(spark, sf_dir), default_path("word_bpe_49k.json"))
     return orc_tokens.summary(spark, folder)
@@ -39,5 +43,5 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_packing, op5_ngram_jaccard, op6_bpe_chunks, op7_substring_dedup, op9_orc_tokens, op10_quality_rules)
+    ops = (op1_packing, op5_ngram_jaccard, op6_bpe_chunks, op7_substring_dedup, op8_flac_media, op9_orc_tokens, op10_quality_rules)
     return {f.__name__: f for f in ops}
