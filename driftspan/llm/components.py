@@ -18,10 +18,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges change nothing, edges with a null end are left out, no edges give no rows.
     Each round is kept in shared storage; the number of rounds grows with the logarithm of the longest path.
     """
-    edges = edges.select("a", "b").where("a is not null and b is not null")
-    nodes = None
-    forest = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    loops = edges.where("a = b").select("a").distinct()
+    known = checkpoint(edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    forest, loops = known.where("a <> b"), known.where("a = b").select("a")
     before = None
     while True:
         both = forest.unionByName(forest.select(F.col("b").alias("a"), F.col("a").alias("b")))

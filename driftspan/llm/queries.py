@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftspan.llm import bpe, jaccard, media, orc_tokens, packing, quality, substrings
+from driftspan.llm import bpe, html, jaccard, lm, media, orc_tokens, packing, quality, substrings, urls
 from driftspan.llm.tokens import default_path
 
 
@@ -29,6 +29,25 @@ def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.summary(spark, folder)
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def op2_html_style_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_pages(spark, sf_dir))
+
+
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.backoff_scores(_documents(spark, sf_dir))
+
+
+URL_RULES = "allow com/, block example.com/en/, allow www.example.com/en/, block net/es/, block net/fr/"
+
+
+def op4_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_pages(spark, sf_dir), urls.parse_rules(URL_RULES))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_documents(spark, sf_dir), size=4, percent=85)
 
@@ -43,5 +62,5 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_packing, op5_ngram_jaccard, op6_bpe_chunks, op7_substring_dedup, op8_flac_media, op9_orc_tokens, op10_quality_rules)
+    ops = (op1_packing, op2_html_style_trees, op3_stupid_backoff, op4_url_aliases, op5_ngram_jaccard, op6_bpe_chunks, op7_substring_dedup, op8_flac_media, op9_orc_tokens, op10_quality_rules)
     return {f.__name__: f for f in ops}
