@@ -64,3 +64,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_packing, op2_html_style_trees, op3_stupid_backoff, op4_url_aliases, op5_ngram_jaccard, op6_bpe_chunks, op7_substring_dedup, op8_flac_media, op9_orc_tokens, op10_quality_rules)
     return {f.__name__: f for f in ops}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of the same rows, where DuckDB can express them over whole tables."""
+    return {}
