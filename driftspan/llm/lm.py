@@ -107,7 +107,7 @@ def _score(words_in_corpus: int):
         rest = np.maximum(words_in_corpus - n[doc], 1)
         with np.errstate(divide="ignore"):
             logs = np.where(seen > 0, np.log(np.maximum(seen, 1) / np.maximum(before, 1)), np.log(BACKOFF * np.maximum(others, 0.5) / rest))
-        total = np.bincount(doc, logs, minlength=len(texts))
+        total = np.bincount(doc, logs, minlength=len(texts)).astype(float)
         return pa.table({"doc_id": left["doc_id"].combine_chunks(), "n_words": pa.array(n), "log_score": pa.array(total), "mean_log_score": pa.array(np.where(n > 0, total / np.maximum(n, 1), np.nan), from_pandas=True)})
 
     return score

@@ -38,20 +38,21 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
 
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        while left:
-            if rooms and -rooms[0] >= length:
-                room = -rooms[0]
-                count, pattern = by_room[room].pop()
-                if not by_room[room]:
-                    heapq.heappop(rooms)
-            else:
-                room, count, pattern = capacity, left, ()
+        while left and rooms and -rooms[0] >= length:
+            room = -rooms[0]
+            count, pattern = by_room[room].pop()
+            if not by_room[room]:
+                heapq.heappop(rooms)
             used = min(count, left)
             if count > used:
                 put(room, count - used, pattern)
-            last = pattern[-1] if pattern and pattern[-1][0] == length else (length, 0)
+            last = pattern[-1] if pattern[-1][0] == length else (length, 0)
             put(room - length, used, pattern[: len(pattern) - bool(last[1])] + ((length, last[1] + 1),))
             left -= used
+        fit = capacity // length  # no open pack takes one more: a new pack is filled before the next is opened
+        for count, times in ((left // fit, fit), (1, left % fit)):
+            if count and times:
+                put(capacity - times * length, count, ((length, times),))
     return [(count, list(pattern)) for room in sorted(by_room) for count, pattern in by_room[room]]
 
 
