@@ -6,6 +6,7 @@ table holds it; joins between chunks are encoded again until they agree with the
 """
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,19 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, from its ids and their decoding."""
-    decoded = decode(encode(docs, path, doc_id, text), path)
-    return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, from its ids and their decoding, one document at a time."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = chunk_encoder(path)
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                rows = []
+                for chunks in chunks_of(block):
+                    ids = encoder.encode(chunks)
+                    rows.append((len(ids) // 4, sha256(ids).hexdigest(), sha256(encoder.decode(ids)).hexdigest()))
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.rows.start, len(block)), *map(pa.array, columns)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

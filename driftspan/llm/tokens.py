@@ -8,14 +8,14 @@ import json
 import os
 import re
 from functools import cache
-from zlib import crc32
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 END_ID = 2
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
+CACHE_BYTES = 48 << 20
 
 
 def default_path(name: str) -> str:
@@ -75,7 +75,7 @@ class WordEncoder(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.library = library_tokenizer(path)
+        self.path = path
         self.merge = _merger(path, r"[^\n]+|\n+", "</w>")._encode_single_piece
 
     def __missing__(self, word: bytes) -> bytes:
@@ -83,7 +83,7 @@ class WordEncoder(dict):
         if self._plain.fullmatch(text) and "<|" not in text:
             ids = [i for piece in self._pieces.findall(text.lower()) for i in self.merge(piece.encode() + b"\xff")]
         else:
-            ids = self.library.encode(text, add_special_tokens=False).ids
+            ids = library_tokenizer(self.path).encode(text, add_special_tokens=False).ids
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         self[word] = out = packed(ids)
@@ -108,7 +108,7 @@ class ChunkEncoder:
     def __init__(self, path: str):
         import public_tokenizers
 
-        self.library = library_tokenizer(path)
+        self.path = path
         self.merger = _merger(path, public_tokenizers.PATTERN)
         self.special = {t["id"]: t["content"].encode() for t in json.load(open(path, encoding="utf-8"))["added_tokens"]}
         self.known: dict[bytes, tuple[bytes, bytes, bytes, bytes, bytes]] = {}
@@ -119,7 +119,7 @@ class ChunkEncoder:
         text = data.decode("utf-8", "replace")
         if self._plain.fullmatch(text) and "<|" not in text:
             return packed(self.merger.encode_ordinary(text))
-        return packed(self.library.encode(text, add_special_tokens=False).ids)
+        return packed(library_tokenizer(self.path).encode(text, add_special_tokens=False).ids)
 
     def chunk(self, data: bytes) -> tuple[bytes, bytes, bytes, bytes, bytes]:
         """(ids, last word, its ids, first word, its ids) of a chunk, from the table if it was met before."""
@@ -128,8 +128,8 @@ class ChunkEncoder:
         tail = (m := self._tail.search(data)) and m[0] or data
         head = self._head.match(data)[0]
         out = (self.ids(data), tail, self.ids(tail), head, self.ids(head))
-        self.held += 2 * len(data) + 400
-        if self.held > 96 << 20:
+        self.held += len(data) + len(out[0]) + 600
+        if self.held > CACHE_BYTES:
             self.known.clear()
             self.held = 0
         self.known[data] = out
@@ -167,7 +167,3 @@ class ChunkEncoder:
 @cache
 def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
-
-
-def ids_crc32(ids: bytes) -> int:
-    return crc32(ids)
