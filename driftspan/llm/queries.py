@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftspan.llm import bpe, html, jaccard, lm, media, orc_tokens, packing, quality, substrings, urls
+from driftspan.llm import bpe, html, jaccard, lm, media, oracles, orc_tokens, packing, quality, substrings, urls
 from driftspan.llm.tokens import default_path
 
 
@@ -54,7 +54,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return quality.quality_verdicts(docs, quality.language_references(docs))
+    return quality.quality_verdicts(docs, quality.language_references(docs)).drop("class_distance", "word_distance")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +67,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL of the same rows, where DuckDB can express them over whole tables."""
-    return {}
+    """SQL of the same rows, where DuckDB can express them over whole tables. Tokens, media and page texts need code."""
+    return {
+        "op4_url_aliases": oracles.url_verdicts(urls.parse_rules(URL_RULES)),
+        "op5_ngram_jaccard": oracles.near_duplicates(4, 85),
+        "op7_substring_dedup": oracles.removal(13),
+        "op10_quality_rules": oracles.quality(),
+    }

@@ -60,14 +60,15 @@ def node_key(url: Column) -> Column:
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1), "^[\"']|[\"']$", ""))
+    value = F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    return F.trim(F.btrim(value, F.lit("\"'")))
 
 
 def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """a, b: keys of a page and of where its canonical links and refresh redirects lead, absolute or relative."""
     tags = F.regexp_extract_all(F.col("html"), F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
     rows = pages.select(F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).where(F.col("url").isNotNull() & F.col("html").rlike("(?i)canonical|http-equiv"))
-    rows = rows.select("url", F.explode(tags).alias("tag"))
+    rows = rows.select("url", F.explode(tags).alias("tag")).where(F.col("tag").rlike("(?i)canonical|refresh")).distinct()
     canonical = F.when(F.lower(_attribute(F.col("tag"), "rel")).rlike(r"(^|\s)canonical(\s|$)"), _attribute(F.col("tag"), "href"))
     refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*[\"']?([^\"']*)", 1))
     target = F.regexp_replace(F.trim(F.coalesce(canonical, refresh)), "&amp;", "&")
@@ -75,9 +76,9 @@ def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     folder = F.coalesce(F.nullif(F.regexp_extract("url", r"^(.*?://[^/?#]*/(?:[^?#]*/)?)", 1), F.lit("")), F.concat(site, F.lit("/")))
     absolute = F.when(F.col("to").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), F.col("to"))).when(F.col("to").startswith("/"), F.concat(site, F.col("to")))
     absolute = absolute.when(F.col("to").startswith("?"), F.concat(F.regexp_extract("url", r"^([^?#]*)", 1), F.col("to"))).when(F.col("to").rlike("^(#|[a-zA-Z][a-zA-Z0-9+.-]*:)"), F.lit(None)).otherwise(F.concat(folder, F.col("to")))
-    found = rows.select("url", target.alias("to")).where("to <> ''").select("url", absolute.alias("to"))
+    found = rows.select("url", target.alias("to")).where("to <> ''").distinct().select("url", absolute.alias("to")).distinct()
     links = found.select(node_key(F.col("url")).alias("a"), node_key(F.col("to")).alias("b"))
-    return links.where("a is not null and b is not null and a <> b").distinct()
+    return checkpoint(links.distinct()).where("a is not null and b is not null and a <> b")  # kept first: a filter would repeat the parsing
 
 
 def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -87,7 +88,7 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", page_id:
     link targets are joined into components by redirects and canonical links; where a member is explicitly allowed
     the component is allowed, else where one is blocked it is blocked. Without either, the default holds.
     """
-    links = checkpoint(alias_links(pages, url, html))
+    links = alias_links(pages, url, html)
     source = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"))
     host, path = host_and_path(F.col("url"))
     source = source.select("page_id", host.alias("host"), path.alias("path"), node_key(F.col("url")).alias("key"))
