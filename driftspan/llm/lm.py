@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspan.llm.words import Words, blocks, mix
+from driftspan.llm.words import blocks, mix
 
 BACKOFF = 0.4
 DOCS_PER_BLOCK = 2048

@@ -1,5 +1,5 @@
 import brute
-from conftest import SCHEMA, as_rows, make_docs
+from samples import SCHEMA, as_rows, make_docs
 
 import corpus_pipeline
 from driftspan.llm import quality
