@@ -62,3 +62,36 @@ def massive_psi(spark: SparkSession, rows: int = 100_000_000, bins: int = 10, sa
     value, seconds = score.first()["psi"], time.monotonic() - began
     small = binned(pairs(*made(sample)), bins).first()["psi"]
     return {"rows": rows, "score": value, "sample_score": small, "delta": abs(value - small), "seconds": seconds, "rows_per_second": rows / seconds}
+
+
+def parity(spark: SparkSession, methods: tuple[str, ...] = ("psi", "ks", "js", "wasserstein"), small: int = 2000, large: int = 20_000, tolerance: float = 0.12, seed: int = 42) -> DataFrame:
+    """(method, small_score, large_score, delta, within): scores of a shifted sample and of the same sample tiled to `large` rows."""
+    from driftspan.operators.detectors import statistics
+
+    require(0 < small <= large and large % small == 0, "large must be a multiple of small")
+    a, b = scenario(spark, "mean_shift", small, seed)
+    tiles = spark.range(large // small)
+    tile = lambda df: df.crossJoin(F.broadcast(tiles)).select("v")  # a fixed number of copies
+    parts = []
+    for m in methods:
+        one, many = (statistics(x, y, m, ["v"]).select(F.col("statistic").alias(n)) for x, y, n in ((a, b, "small_score"), (tile(a), tile(b), "large_score")))
+        parts.append(one.crossJoin(F.broadcast(many)).select(F.lit(m).alias("method"), "small_score", "large_score"))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.withColumn("delta", F.abs(F.col("large_score") - F.col("small_score"))).withColumn("within", F.col("delta") <= tolerance)
+
+
+def stream_phases(spark: SparkSession, state: str, batches: int = 12, size: int = 64, seed: int = 101) -> dict[str, float]:
+    """Drift rates of the early, middle (shifted) and late third of a replayed stream against a fixed baseline."""
+    from driftspan.streaming.monitor import StreamMonitor
+
+    require(batches >= 3 and size >= 2, "need three batches of two rows")
+    monitor = StreamMonitor(spark, state, Univariate("ks"))
+    monitor.set_baseline(spark.range(size * 4).select(F.randn(seed).alias("v")))
+    third, hits = batches // 3, {"early": [], "middle": [], "late": []}
+    for i in range(batches):
+        phase = "early" if i < third else "middle" if i < 2 * third else "late"
+        batch = spark.range(0, size, 1, 1).select((F.randn(seed + i + 1) + (1.5 if phase == "middle" else 0.0)).alias("v"))
+        hits[phase].append(any(r["drift"] for r in monitor.process(batch, i)))
+    return {k: sum(v) / len(v) for k, v in hits.items()}

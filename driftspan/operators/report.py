@@ -48,6 +48,13 @@ def to_json(rows: DataFrame) -> str:
     return json.dumps(to_dict(rows), indent=2, default=str)
 
 
+def notify(rows: DataFrame, sink) -> None:
+    """Sends the rows, by feature, to an alert sink if any drifts."""
+    found = {r["feature"]: r.asDict() for r in with_severity(rows).collect()}
+    if any(r["drift"] for r in found.values()):
+        sink.send(found)
+
+
 def _number(x) -> str:
     return "-" if x is None else f"{x:.4g}"
 

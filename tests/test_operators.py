@@ -249,5 +249,8 @@ def test_report(spark):
     rows = Univariate("psi").fit(normal(spark, 0)).detect_features(normal(spark, 2))
     assert report.to_dict(rows)["max_severity"] == "high"
     assert "| v | psi | yes | high |" in report.to_markdown(rows) and "<table>" in report.to_html(rows)
+    heard = []
+    report.notify(rows, type("Sink", (), {"send": lambda self, x: heard.append(x)})())
+    assert heard[0]["v"]["severity"] == "high"
     assert report.plot_shares(frame(spark, ["a", "b"], kind="string"), frame(spark, ["a"], kind="string"), "v").count() == 2
     assert report.plot_quantiles(normal(spark, 0), normal(spark, 1), "v", 10).count() == 11

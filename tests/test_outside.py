@@ -156,3 +156,9 @@ def test_benchmark_rates(spark):
         assert len(rows) == 16 and lo <= sum(r["drift"] for r in rows) / 16 <= hi
     found = benchmark.massive_psi(spark, 300_000, sample=20_000)
     assert found["delta"] <= 0.2
+
+
+def test_parity_and_phases(spark, tmp_path):
+    assert all(r["within"] for r in benchmark.parity(spark, small=500, large=2000).collect())
+    rates = benchmark.stream_phases(spark, str(tmp_path), 6)
+    assert rates["middle"] == 1.0 and rates["early"] <= 0.5 and rates["late"] <= 0.5
