@@ -4,7 +4,9 @@
 2. Candidates: sizes fall into classes. In a class, similar sets differ in at most H shingles, so of more than
    H ranges of the hash space one holds the same shingles in both. A hash of each range's contents is the key.
    The emptiest ranges are spare (there are that many more than H), so a key stands for several shingles.
-3. Nodes that meet in a key are linked to its least node only; components of these links are groups.
+3. Nodes that meet in a key are linked to its least node only; components of these links are groups. Large groups,
+   chained by passages that many documents share, are drawn apart by parity sketches: two sketches differ in
+   no more bits than their sets differ in shingles, so pairs whose sketches differ by more are never similar.
 4. Groups are cut into blocks of bounded size by size class. The product of two blocks' incidence matrices
    holds all overlap counts; blocks whose sizes rule the threshold out are never paired. A product returns
    a spanning forest of its similar pairs, not the pairs.
@@ -16,15 +18,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftspan.llm.cluster import checkpoint
 from driftspan.llm.components import connected_components
 from driftspan.llm.words import Words, blocks, mix
 
-BLOCK = 512
+BLOCK, SKETCH_BLOCK = 512, 2048
 KEY, LINK, DOCUMENT = 0, 1, 2
+_FOUND = "kind byte, a long, b long, n long, sketch binary"
 _C = np.uint64(0xA0761D6478BD642F)
 
 
@@ -48,6 +51,28 @@ def shingle_sets(block: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(doc, np.arange(len(block) + 1))
 
 
+def sketches(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """A parity sketch of each set: bit i tells whether an odd number of its hashes are i modulo the sketch's bits.
+
+    The number of bits is the least power of two from 64 on that the size does not exceed. A sketch folds into one of
+    half the bits by exclusive or.
+    """
+    sizes = np.diff(first)
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    at = np.repeat(begin[:-1], sizes) + (mix(hashes ^ _C) & (np.repeat(bits, sizes) - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [odd[a // 8 : b // 8] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+
+
+def fold(sketch: bytes, words: int) -> np.ndarray:
+    """A sketch as that many 64-bit words."""
+    x = np.frombuffer(sketch, np.uint64)
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 @cache
 def size_classes(percent: int) -> np.ndarray:
     """Least size of each class; sizes that can reach the threshold are at most a class or two apart."""
@@ -113,19 +138,19 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """kind, a, b, n: DOCUMENT rows (id, node, set size) and LINK rows (least node of a key, node)."""
-    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+    """kind, a, b, n, sketch: DOCUMENT rows (id, node, set size, parity sketch) and LINK rows (least node of a key, node)."""
+    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
-    def batch_of(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
+    def batch_of(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, sketch: list[bytes] | None = None) -> pa.RecordBatch:
         signed = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in (a, b)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), *signed, pa.nulls(len(a), pa.int64()) if n is None else pa.array(n)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), *signed, pa.nulls(len(a), pa.int64()) if n is None else pa.array(n), pa.nulls(len(a), pa.binary()) if sketch is None else pa.array(sketch, pa.binary())], schema=schema)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1), lower=True):
                 hashes, first = shingle_sets(block, size)
                 nodes = _digests(hashes, first)
-                out = batch_of(DOCUMENT, np.zeros(len(block), np.int64), nodes, np.diff(first))
+                out = batch_of(DOCUMENT, np.zeros(len(block), np.int64), nodes, np.diff(first), sketches(hashes, first))
                 yield out.set_column(1, "a", batch.column(0).slice(block.rows.start, len(block)))
                 _, once = np.unique(nodes, return_index=True)
                 lone = np.zeros(len(block), bool)
@@ -149,9 +174,9 @@ def _candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
             _, _, pairs = _stars(np.concatenate(key), np.concatenate(node))
             yield batch_of(LINK, *pairs)
 
-    rows = docs.mapInArrow(keys, "kind byte, a long, b long, n long")
+    rows = docs.mapInArrow(keys, _FOUND)
     deal = F.when(F.col("kind") == KEY, F.col("a")).otherwise(F.xxhash64("a", "b"))
-    return rows.repartition(deal).mapInArrow(meet, "kind byte, a long, b long, n long")
+    return rows.repartition(deal).mapInArrow(meet, _FOUND)
 
 
 def _forest(adjacent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +237,7 @@ def _links(members: DataFrame, size: int, percent: int) -> DataFrame:
                 rows = []
                 for i in range(len(block)):
                     at, grams = block.rows.start + i, hashes[first[i] : first[i + 1]].tobytes()
-                    for unit, side in _units(int(gid[at]), int(node[at]), int(cls[i]), {x["cls"]: x["members"] for x in classes[at]}, percent):
+                    for unit, side in _units(int(gid[at]), int(node[at]), int(cls[i]), {x["cls"]: x["members"] for x in classes[at]}, percent, BLOCK):
                         rows.append((unit, side, int(node[at]), grams))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
@@ -231,7 +256,56 @@ def _links(members: DataFrame, size: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[own][x]) for x in (a, b)], ["a", "b"])
 
     units = members.mapInArrow(deal, "unit long, side byte, node long, grams binary")
-    return units.repartition(F.col("unit")).mapInArrow(multiply, "a long, b long")
+    return _spread(units).mapInArrow(multiply, "a long, b long")
+
+
+def close_sketches(left: np.ndarray, right: np.ndarray, sizes_left: np.ndarray, sizes_right: np.ndarray, percent: int, tile: int = 256) -> np.ndarray:
+    """Which pairs of sketches (rows of words) differ in no more bits than sets of these sizes may."""
+    out = np.zeros((len(left), len(right)), bool)
+    for lo in range(0, len(left), tile):
+        part = left[lo : lo + tile]
+        apart = np.zeros((len(part), len(right)), np.int32)
+        for w in range(left.shape[1]):
+            apart += np.bitwise_count(part[:, w, None] ^ right[None, :, w])
+        out[lo : lo + tile] = (100 + percent) * apart <= (100 - percent) * (sizes_left[lo : lo + tile, None] + sizes_right[None, :])
+    return out
+
+
+def _spread(units: DataFrame) -> DataFrame:
+    """By unit over a fixed number of tasks: a unit is much work for few bytes, so small tasks must not be put together."""
+    return units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")
+
+
+def _drawn_apart(members: DataFrame, percent: int) -> DataFrame:
+    """members: node, gid, n, sketch, classes. -> a, b: a forest that joins all pairs whose sketches are close enough."""
+    schema = pa.schema([("unit", pa.int64()), ("side", pa.int8()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, gid, n = (batch.column(i).to_numpy() for i in (0, 1, 2))
+            cls, classes, rows = _class_of(n, percent), batch.column(4).to_pylist(), []
+            for i in range(len(node)):
+                for unit, side in _units(int(gid[i]), int(node[i]), int(cls[i]), {x["cls"]: x["members"] for x in classes[i]}, percent, SKETCH_BLOCK, whole=False):
+                    rows.append((unit, side, int(node[i]), int(n[i]), batch.column(3)[i].as_py()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), schema).combine_chunks()
+        unit, nodes, sides, sizes = (table[c].to_numpy() for c in ("unit", "node", "side", "n"))
+        order = np.argsort(unit, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1) if len(order) else []:
+            words = min(len(table["sketch"][int(i)].as_py()) for i in own) // 8
+            rows = np.stack([fold(table["sketch"][int(i)].as_py(), words) for i in own])
+            near = np.zeros((len(own), len(own)), bool)
+            a, b = (np.flatnonzero(sides[own] <= 0), np.flatnonzero(sides[own] != 0))
+            near[np.ix_(a, b)] = close_sketches(rows[a], rows[b], sizes[own][a], sizes[own][b], percent)
+            x, y = _forest(near | near.T)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[own][z]) for z in (x, y)], ["a", "b"])
+
+    units = members.mapInArrow(deal, "unit long, side byte, node long, n long, sketch binary")
+    return _spread(units).mapInArrow(compare, "a long, b long")
 
 
 def _signed(*parts: int) -> int:
@@ -241,12 +315,15 @@ def _signed(*parts: int) -> int:
     return int(x.view(np.int64))
 
 
-def _units(gid: int, node: int, cls: int, members: dict[int, int], percent: int) -> Iterator[tuple[int, int]]:
-    """(unit, side) for each product that this node takes part in; side -1: all pairs of the unit count."""
-    if sum(members.values()) <= BLOCK:
+def _units(gid: int, node: int, cls: int, members: dict[int, int], percent: int, block: int, whole: bool = True) -> Iterator[tuple[int, int]]:
+    """(unit, side) for each product that this node takes part in; side -1: all pairs of the unit count.
+
+    A group of at most a block is one unit if `whole`.
+    """
+    if whole and sum(members.values()) <= block:
         yield _signed(gid), -1
         return
-    parts = {c: -(-n // BLOCK) for c, n in members.items()}
+    parts = {c: -(-n // block) for c, n in members.items()}
     mine = (cls, _signed(node, 7) % parts[cls])
     yield _signed(gid, *mine), -1
     reach = lambda c: int(_class_of(np.array([100 * (size_classes(percent)[c + 1] - 1) // percent]), percent)[0])
@@ -258,6 +335,30 @@ def _units(gid: int, node: int, cls: int, members: dict[int, int], percent: int)
                     yield _signed(gid, *low, *high), int(mine == high)
 
 
+def _class_column(n: Column, percent: int) -> Column:
+    bounds = F.array(*(F.lit(int(x)) for x in size_classes(percent)))
+    return F.size(F.filter(bounds, lambda x: x <= n)) - 1
+
+
+def _class_counts(grouped: DataFrame) -> DataFrame:
+    """gid, classes: the number of members by size class, of which there are a few dozen at most."""
+    return grouped.groupBy("gid", "cls").agg(F.count("*").cast("int").alias("members")).groupBy("gid").agg(F.collect_list(F.struct("cls", "members")).alias("classes"))
+
+
+def _fine_groups(groups: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """groups (node, component), those of more than BLOCK nodes drawn apart by sketches; nodes that end alone are left out."""
+    groups = checkpoint(groups)
+    large = groups.groupBy("component").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK).select("component")
+    if large.isEmpty():
+        return groups
+    sketched = found.where((F.col("kind") == DOCUMENT) & (F.col("n") > 0)).select(F.col("b").alias("node"), "n", "sketch")
+    inside = groups.join(large, "component").join(sketched, "node").dropDuplicates(["node"]).withColumnRenamed("component", "gid")
+    inside = checkpoint(inside.withColumn("cls", _class_column(F.col("n"), percent)))
+    members = inside.join(_class_counts(inside), "gid").select("node", "gid", "n", "sketch", "classes")
+    fine = connected_components(_drawn_apart(members, percent))
+    return groups.join(large, "component", "left_anti").select("node", "component").unionByName(fine)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable by links), one row for each row of docs.
 
@@ -268,12 +369,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     found = checkpoint(_candidates(texts, size, percent))
     info = found.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("doc"), F.col("b").alias("node"), "n")
-    groups = connected_components(found.where(F.col("kind") == LINK).select("a", "b"))
+    groups = _fine_groups(connected_components(found.where(F.col("kind") == LINK).select("a", "b")), found, percent)
     nodes = info.where("n > 0 and doc is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.min("n").alias("n"))
-    bounds = F.array(*(F.lit(int(x)) for x in size_classes(percent)))
-    cls = F.size(F.filter(bounds, lambda x: x <= F.col("n"))) - 1
-    grouped = checkpoint(groups.join(nodes, "node").select("node", F.col("component").alias("gid"), "doc", cls.alias("cls")))
-    counts = grouped.groupBy("gid", "cls").agg(F.count("*").cast("int").alias("members")).groupBy("gid").agg(F.collect_list(F.struct("cls", "members")).alias("classes"))
+    grouped = checkpoint(groups.join(nodes, "node").select("node", F.col("component").alias("gid"), "doc", _class_column(F.col("n"), percent).alias("cls")))
+    counts = _class_counts(grouped)
     members = texts.join(grouped.join(counts, "gid").select("node", "gid", "doc", "classes").hint("shuffle_hash"), "doc")
     similar = connected_components(_links(members.select("node", "gid", "text", "classes"), size, percent))
     placed = checkpoint(info.join(similar, "node", "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component")))

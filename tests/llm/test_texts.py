@@ -113,7 +113,7 @@ def test_jaccard_in_blocks(spark, monkeypatch):
         members[cls] = members.get(cls, 0) + 1
     for d, s in sets:
         cls = int(jaccard._class_of(np.array([len(s)]), 75)[0])
-        for unit, side in jaccard._units(1, d, cls, members, 75):
+        for unit, side in jaccard._units(1, d, cls, members, 75, jaccard.BLOCK):
             units.setdefault(unit, []).append((d, side))
     edges = []
     numbers = {g: i for i, g in enumerate(sorted({g for _, s in sets for g in s}))}
@@ -126,6 +126,25 @@ def test_jaccard_in_blocks(spark, monkeypatch):
     assert {d: found.get(d, d) for d, _ in rows} == {d: c for d, (_, c) in expected.items()}
 
 
+def test_large_groups_are_drawn_apart(spark, docs, pairs, monkeypatch):
+    """Every group counts as large: sketches must not separate what is similar."""
+    monkeypatch.setattr(jaccard, "BLOCK", 1)
+    expected = brute.components(pairs, 3, 70)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs, 3, 70).collect()}
+    assert got == expected
+
+
+def test_sketches_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 64, 65, 500, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 4 :], rng.integers(0, 1 << 63, n // 3 + 1, dtype=np.uint64)]))
+        x, y = jaccard.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        words = min(len(x), len(y)) // 8
+        bits = int(np.bitwise_count(jaccard.fold(x, words) ^ jaccard.fold(y, words)).sum())
+        assert bits <= len(np.setxor1d(a, b)) and (bits - len(np.setxor1d(a, b))) % 2 == 0
+
+
 def test_similar_sets_share_a_key():
     rng = np.random.default_rng(3)
     for n in (7, 20, 60, 300):
