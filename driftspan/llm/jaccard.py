@@ -14,7 +14,7 @@
 """
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -304,7 +304,8 @@ def _drawn_apart(members: DataFrame, percent: int) -> DataFrame:
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[own][z]) for z in (x, y)], ["a", "b"])
 
-    units = members.mapInArrow(deal, "unit long, side byte, node long, n long, sketch binary")
+    spread = members.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")  # a group came together by its key
+    units = spread.mapInArrow(deal, "unit long, side byte, node long, n long, sketch binary")
     return _spread(units).mapInArrow(compare, "a long, b long")
 
 
@@ -315,24 +316,28 @@ def _signed(*parts: int) -> int:
     return int(x.view(np.int64))
 
 
-def _units(gid: int, node: int, cls: int, members: dict[int, int], percent: int, block: int, whole: bool = True) -> Iterator[tuple[int, int]]:
+def _units(gid: int, node: int, cls: int, members: dict[int, int], percent: int, block: int, whole: bool = True) -> list[tuple[int, int]]:
     """(unit, side) for each product that this node takes part in; side -1: all pairs of the unit count.
 
     A group of at most a block is one unit if `whole`.
     """
     if whole and sum(members.values()) <= block:
-        yield _signed(gid), -1
-        return
-    parts = {c: -(-n // block) for c, n in members.items()}
-    mine = (cls, _signed(node, 7) % parts[cls])
-    yield _signed(gid, *mine), -1
+        return [(_signed(gid), -1)]
+    part = (node * 0x9E3779B97F4A7C15 >> 32 & 0xFFFFFFFF) % -(-members[cls] // block)
+    return _block_units(gid, cls, part, tuple(sorted(members.items())), percent, block)
+
+
+@lru_cache(1 << 14)
+def _block_units(gid: int, cls: int, part: int, members: tuple[tuple[int, int], ...], percent: int, block: int) -> list[tuple[int, int]]:
+    mine, out = (cls, part), [(_signed(gid, cls, part), -1)]
     reach = lambda c: int(_class_of(np.array([100 * (size_classes(percent)[c + 1] - 1) // percent]), percent)[0])
-    for c, n in parts.items():
+    for c, n in members:
         if cls <= c <= reach(cls) or c <= cls <= reach(c):
-            for r in range(n):
+            for r in range(-(-n // block)):
                 if (c, r) != mine:
                     low, high = sorted([mine, (c, r)])
-                    yield _signed(gid, *low, *high), int(mine == high)
+                    out.append((_signed(gid, *low, *high), int(mine == high)))
+    return out
 
 
 def _class_column(n: Column, percent: int) -> Column:
