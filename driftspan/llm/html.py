@@ -3,8 +3,9 @@
 The DOMs of a host are merged: element nodes with the same path of tags and classes are one node of its style tree.
 A node's importance is the entropy, over the pages that have it, of its contents and of its presentation
 (the sequence of its child tags), each scaled to 0 to 1. Branches of low importance, which say the same on
-many pages, are removed from each page. Roles weigh in before that: navigation, forms, adverts and the
-like have none, and nothing inside an article or main element is removed for being repeated.
+many pages, are removed from each page, inside and outside of article and main elements alike; what lies in
+these weighs MAIN_WEIGHT times as much. Pages of a host with the same blocks count once, so copies of a page
+do not make its text unimportant. Roles weigh in before that: navigation, forms, adverts and the like have none.
 """
 
 import re
@@ -31,6 +32,7 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 MAIN = {"article", "main"}
+MAIN_WEIGHT = 2.0
 MAX_PATH = 16
 
 
@@ -54,13 +56,14 @@ def _attributes(raw: str) -> tuple[str, set[str], bool]:
 class Page:
     """Blocks of a page, and its element nodes by path.
 
-    blocks: (path of each open element, in a main element, text). nodes: path -> [texts' hash, child tags' hash].
+    blocks: (path of each open element, text). nodes: path -> [texts' hash, child tags' hash]. main: the paths of
+    main elements and of all elements in them.
     """
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[tuple[int, ...], bool, str]] = []
+        self.blocks: list[tuple[tuple[int, ...], str]] = []
         self.nodes: dict[int, list[int]] = {}
-        self.has_main = False
+        self.main: set[int] = set()
         self._stack: list[tuple[str, int, bool]] = []  # tag, path, dropped from here on
         self._main = 0
         self._text: list[str] = []
@@ -72,7 +75,7 @@ class Page:
         self._text.clear()
         if text:
             path = tuple(p for _, p, _ in self._stack)
-            self.blocks.append((path, self._main > 0, text))
+            self.blocks.append((path, text))
             value = _hash(text)
             for p in path:
                 self.nodes[p][0] = hash((self.nodes[p][0], value))
@@ -100,7 +103,8 @@ class Page:
         self._stack.append((tag, path, parent[2] or noise))
         if tag in MAIN and not (parent[2] or noise):
             self._main += 1
-            self.has_main = True
+        if self._main:
+            self.main.add(path)
 
     def _close(self, tag: str) -> None:
         at = next((i for i in range(len(self._stack) - 1, -1, -1) if self._stack[i][0] == tag), -1)
@@ -135,10 +139,12 @@ class Page:
             self._say(html[at:])
 
     def main_text(self, unimportant: frozenset[int] | set[int] = frozenset()) -> str:
-        """The blocks of its main elements, or without any those outside unimportant branches."""
-        if self.has_main:
-            return "\n".join(t for _, main, t in self.blocks if main)
-        return "\n".join(t for path, _, t in self.blocks if unimportant.isdisjoint(path))
+        """The blocks outside unimportant branches."""
+        return "\n".join(t for path, t in self.blocks if unimportant.isdisjoint(path))
+
+    def digest(self) -> int:
+        """Of the texts of all blocks: the same for copies of a page."""
+        return _hash("\n".join(t for _, t in self.blocks))
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -149,32 +155,36 @@ def host_of(url: F.Column) -> F.Column:
 def style_trees(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """host, path, pages (how many have the node), importance from 0 to 1, of every node of every host's style tree.
 
-    Contents and presentations are counted before any shuffle by host, so a host of a third of all pages is many
-    small counts. Null urls and pages take no part.
+    Pages of a host with the same blocks count once. Rows are dealt by host, path and value, so a host of a third of
+    all pages is many small counts. Null urls and pages take no part.
     """
-    schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("kind", pa.int8()), ("value", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("main", pa.bool_()), ("kind", pa.int8()), ("value", pa.int64()), ("page", pa.int64())])
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, rows = batch.column(0).to_pylist(), ([], [], [], [])
+            hosts, rows = batch.column(0).to_pylist(), ([], [], [], [], [], [])
             for host, text in zip(hosts, batch.column(1), strict=True):
-                for path, values in Page(text.as_py()).nodes.items():
+                page = Page(text.as_py())
+                digest = page.digest()
+                for path, values in page.nodes.items():
                     for kind, value in enumerate(values):
-                        for column, x in zip(rows, (host, path, kind, value), strict=True):
+                        for column, x in zip(rows, (host, path, path in page.main, kind, value, digest), strict=True):
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, schema.types, strict=True)], schema=schema)
 
     source = pages.select(host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("html")).where("host is not null and html is not null")
-    values = source.mapInArrow(nodes, "host string, path long, kind byte, value long").groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
-    kinds = values.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("s"))
+    found = source.mapInArrow(nodes, "host string, path long, main boolean, kind byte, value long, page long")
+    values = found.groupBy("host", "path", "kind", "value").agg(F.count_distinct("page").alias("n"), F.max("main").alias("main"))
+    kinds = values.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("s"), F.max("main").alias("main"))
     entropy = F.when(F.col("pages") > 1, (F.ln("pages") - F.col("s") / F.col("pages")) / F.ln("pages")).otherwise(1.0)
-    return kinds.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max(entropy).alias("importance"))
+    weighed = F.when(F.col("main"), F.least(F.lit(1.0), MAIN_WEIGHT * entropy)).otherwise(entropy)
+    return kinds.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max(weighed).alias("importance"))
 
 
 def extract(pages: DataFrame, min_pages: int = 8, least: float = 0.2, broadcast_rows: int = 200_000, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points), a row for each row of pages; a null page is empty.
 
-    Nodes that min_pages pages of a host or more have, with an importance under `least`, are removed. The list of
+    Nodes that min_pages different pages of a host or more have, with an importance under `least`, are removed. The list of
     them is broadcast up to broadcast_rows rows, beyond that joined by host.
     """
     low = checkpoint(style_trees(pages, url, html).where((F.col("pages") >= min_pages) & (F.col("importance") < least)).select("host", "path"))

@@ -91,6 +91,17 @@ def test_style_trees(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_tree_decides_on_pages_with_articles(spark):
+    inside = "<html><body><div class='a'>Same top</div><article><p>Story {0} here.</p><div class='x'>Tell your friends</div></article></body></html>"
+    cards = "<html><body><div class='story'>Body {0} of the page.</div><article>Teaser {0}</article></body></html>"
+    copies = "<html><body><article><p>One story</p></article></body></html>"
+    rows = [(i, "http://a.org/", inside.format(i)) for i in range(20)] + [(i, "http://b.org/", cards.format(i)) for i in range(20, 40)] + [(i, "http://c.org/", copies) for i in range(40, 60)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} here." for i in range(20))
+    assert all(got[i] == f"Body {i} of the page.\nTeaser {i}" for i in range(20, 40))
+    assert all(got[i] == "One story" for i in range(40, 60))
+
+
 RULES = urls.parse_rules("allow com/, block example.com/en/, allow www.example.com/en/, block net/es/, block net/fr/")
 
 
