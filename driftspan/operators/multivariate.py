@@ -1,25 +1,28 @@
 """Multivariate two-sample tests, permutation tests and bootstrap.
 
-All-pairs statistics are quadratic, so they run on at most `most` rows a side, chosen by a seeded hash (the default
-2000 rows are a documented bound); permutations are dealt over tasks, each task holding that bounded sample. The
-one-dimensional permutation test and the bootstrap work on histograms of distinct values instead and see all rows.
+All-pairs statistics are quadratic and see all rows, in pairs of blocks of rows dealt over tasks; a task holds two blocks
+and the permuted labels, a byte for each row and permutation. The one-dimensional permutation test and the bootstrap work
+on histograms of distinct values instead and see all rows too.
 """
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from driftspan.errors import NotEnoughDataError, require
 from driftspan.functions.pvalues import ks_p
-from driftspan.operators.distances import _vectors, cdf_statistics, value_counts
+from driftspan.operators.distances import cdf_statistics, value_counts
 from driftspan.operators.pairs import numeric_columns, pairs
 
 RESULT = "statistic double, p_value double, threshold double, drift boolean, n_permutations int"
@@ -36,61 +39,116 @@ def null_test(spark: SparkSession, statistic: float, null: DataFrame, alpha: flo
     return rows.withColumn("drift", F.col("statistic") > F.col("threshold")).select("statistic", "p_value", "threshold", "drift", "n_permutations")
 
 
-def _squared(a: np.ndarray) -> np.ndarray:
-    norms = (a * a).sum(1)
-    return np.maximum(norms[:, None] + norms[None, :] - 2 * a @ a.T, 0)
-
-
-def two_sample_test(reference: DataFrame, current: DataFrame, method: str = "mmd", columns: Sequence[str] | None = None, permutations: int = 200, alpha: float = 0.05, gamma: float | None = None, most: int = 2000, seed: int = 42) -> DataFrame:
+def _blocks(reference: DataFrame, current: DataFrame, columns: Sequence[str], block: int, seed: int) -> DataFrame:
+    """(block, rows: numbered vectors): all rows without nulls, the reference's first, by a seeded hash, `block` of them together."""
+    vector = F.array(*(F.col(c).cast("double") for c in columns))
+    sides = [df.select(F.lit(s).alias("side"), vector.alias("x")).where(~F.exists("x", lambda v: v.isNull())) for s, df in enumerate((reference, current))]
+    ordered = sides[0].unionByName(sides[1]).withColumn("h", F.xxhash64("x", F.lit(seed))).orderBy("side", "h", "x")
+    numbered = reference.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda r: (r[1], r[0]["side"], r[0]["x"])), "i long, side int, x array<double>")
+    return numbered.groupBy(F.expr(f"i div {block}").alias("block")).agg(F.sum("side").alias("m"), F.count("*").alias("size"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("rows"))
+
+
+def _squared(pair: pa.Table) -> tuple[int, int, np.ndarray]:
+    """Both blocks' numbers and their squared distances, a row with itself 0."""
+    lo, hi = (pair[c][0].as_py() for c in ("lo", "hi"))
+    x = {}
+    for b, rows in zip(pair["block"].to_pylist(), pair["rows"], strict=True):
+        x[b] = rows.values.field("x").flatten().to_numpy().reshape(len(rows.values), -1)
+    a, b = x[lo], x[hi]
+    d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
+    if lo == hi:
+        np.fill_diagonal(d2, 0)
+    return lo, hi, d2
+
+
+def _median_d2(units: GroupedData) -> float | None:
+    """The exact median of the positive squared distances of all pairs; None if there is none. Each of four passes counts the next 16 bits of the numbers."""
+    ranks, near = [], None
+
+    def counted(shift: int, near: list[int] | None):
+        def count(pair: pa.Table) -> pa.Table:
+            lo, hi, d2 = _squared(pair)
+            keys = d2[np.triu_indices(len(d2), 1)] if lo == hi else d2.ravel()
+            keys = keys[keys > 0].view(np.uint64) >> np.uint64(shift)
+            if near is not None:
+                keys = keys[np.isin(keys >> np.uint64(16), np.array(near, np.uint64))]
+            found, n = np.unique(keys, return_counts=True)
+            return pa.table({"key": pa.array(found.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+        return units.applyInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").collect()  # at most 2 * 2**16
+
+    for shift in (48, 32, 16, 0):
+        counts = counted(shift, near)
+        if near is None:
+            total = sum(r["n"] for r in counts)
+            if not total:
+                return None
+            ranks = [(total - 1) // 2, total // 2]
+        chosen = []
+        for t in range(2):
+            own = [r for r in counts if near is None or r["key"] >> 16 == near[t]]
+            upto = np.cumsum([r["n"] for r in own])
+            at = int(np.searchsorted(upto, ranks[t], "right"))
+            ranks[t] -= int(upto[at - 1]) if at else 0
+            chosen.append(own[at]["key"])
+        near = chosen
+    return float(np.array(near, np.uint64).view(np.float64).mean())
+
+
+@lru_cache(1)
+def _labels(n: int, total: int, permutations: int, seed: int) -> np.ndarray:
+    """(rows, 1 + permutations): whether a row is the reference's, as seen (column 0) and by permuted labels."""
+    own = np.zeros((total, permutations + 1), bool)
+    own[:n, 0] = True
+    for i in range(permutations):
+        own[np.random.default_rng([seed, i]).permutation(total)[:n], i + 1] = True
+    return own
+
+
+def two_sample_test(reference: DataFrame, current: DataFrame, method: str = "mmd", columns: Sequence[str] | None = None, permutations: int = 200, alpha: float = 0.05, gamma: float | None = None, block: int = 2048, seed: int = 42) -> DataFrame:
     """statistic, p_value, threshold, drift of mmd (unbiased, RBF) or energy (V-statistic) by permuted labels.
 
-    The kernel matrix is computed once a task and only its labels change. At least two rows a side are needed.
+    All pairs of all rows count: each task takes the distances of two blocks of rows and adds up what they give to every
+    permutation. gamma is by the exact median of all pairs if not given. At least two rows a side are needed.
     """
     _check(permutations, alpha)
     require(method in ("mmd", "energy"), "method must be mmd or energy")
     require(gamma is None or gamma > 0, "gamma must be positive")
     columns, spark = list(columns or numeric_columns(reference)), reference.sparkSession
-    rows = _vectors(reference, columns, 0, most, seed).unionByName(_vectors(current, columns, 1, most, seed)).orderBy("side", "i").collect()  # at most 2 * most
-    x, side = np.array([r["x"] for r in rows], float), np.array([r["side"] for r in rows])
-    n, m = int((side == 0).sum()), int((side == 1).sum())
-    if min(n, m) < 2:
-        raise NotEnoughDataError("two rows a side are needed")
-    shared = spark.sparkContext.broadcast(x)  # at most 2 * most rows
-
-    def kernel() -> np.ndarray:
-        d2 = _squared(shared.value)
-        if method == "energy":
-            return np.sqrt(d2)
-        g = gamma
-        if g is None:
-            positive = d2[np.triu_indices(len(d2), 1)]
-            positive = positive[positive > 0]
-            g = 1 / (2 * np.median(positive)) if len(positive) else 1.0
-        return np.exp(-g * d2)
-
-    def value(k: np.ndarray, own: np.ndarray) -> float:
-        z = own.astype(float)
-        a, b = k @ z, k @ (1 - z)
-        xx, yy, xy = z @ a, (1 - z) @ b, z @ b
-        if method == "energy":
-            return float(2 * xy / (n * m) - xx / n**2 - yy / m**2)
-        t = np.diag(k)
-        return float((xx - t @ z) / (n * (n - 1)) + (yy - t @ (1 - z)) / (m * (m - 1)) - 2 * xy / (n * m))
-
-    def permuted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = None
-        for batch in batches:
-            k = kernel() if k is None else k
-            out = []
-            for i in batch["id"]:
-                own = np.zeros(n + m, bool)
-                own[np.random.default_rng([seed, int(i)]).permutation(n + m)[:n]] = True
-                out.append(value(k, own))
-            yield pd.DataFrame({"t": out})
-
-    seen = value(kernel(), side == 0)
-    null = spark.range(0, permutations, 1, min(permutations, 8)).mapInPandas(permuted, "t double")
-    return null_test(spark, seen, null, alpha)
+    blocks = _blocks(reference, current, columns, block, seed).cache()
+    try:
+        sizes = blocks.agg(F.sum("size").alias("total"), F.sum("m").alias("m"), F.max("block").alias("last")).first()
+        total, m = sizes["total"] or 0, sizes["m"] or 0
+        n = total - m
+        if min(n, m) < 2:
+            raise NotEnoughDataError("two rows a side are needed")
+        dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(sizes["last"]))))
+        units = dealt.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rows").groupBy("lo", "hi")
+        if method == "mmd" and gamma is None:
+            median = _median_d2(units)
+            gamma = 1 / (2 * median) if median else 1.0
+
+        def add(pair: pa.Table) -> pa.Table:
+            lo, hi, d2 = _squared(pair)
+            k = np.sqrt(d2) if method == "energy" else np.exp(-gamma * d2)
+            if lo == hi:
+                np.fill_diagonal(k, 0)
+            own = _labels(n, total, permutations, seed)
+            a, b = (own[x * block : (x + 1) * block].astype(float) for x in (lo, hi))
+            within, touched, all_ = (a * (k @ b)).sum(0), k.sum(1) @ a, k.sum()
+            if lo != hi:
+                within, touched, all_ = 2 * within, touched + k.sum(0) @ b, 2 * all_
+            return pa.table({"id": pa.array(np.arange(permutations + 1)), "xx": pa.array(within), "s": pa.array(touched), "all": pa.array(np.full(permutations + 1, all_))})
+
+        sums = units.applyInArrow(add, "id long, xx double, s double, all double").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("xx", "s", "all")))
+        xx, xy, yy = F.col("xx"), F.col("s") - F.col("xx"), F.col("all") - 2 * F.col("s") + F.col("xx")
+        within = (n * n, m * m) if method == "energy" else (n * (n - 1), m * (m - 1))
+        value = xx / within[0] + yy / within[1] - 2 * xy / (n * m)
+        found = {r["id"]: r["t"] for r in sums.select("id", (-value if method == "energy" else value).alias("t")).collect()}  # a row a permutation
+    finally:
+        blocks.unpersist()
+    seen = found.pop(0)
+    return null_test(spark, seen, spark.createDataFrame([(t,) for t in found.values()], "t double"), alpha)
 
 
 def wasserstein_test(reference: DataFrame, current: DataFrame, column: str, permutations: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
@@ -148,7 +206,7 @@ def _roc_auc(scored: DataFrame) -> float | None:
     return auc(scored, "label", "s").first()[0]
 
 
-def classifier_test(reference: DataFrame, current: DataFrame, columns: Sequence[str], permutations: int = 20, alpha: float = 0.05, test_size: float = 0.3, seed: int = 42) -> DataFrame:
+def classifier_test(reference: DataFrame, current: DataFrame, columns: Sequence[str], permutations: int = 200, alpha: float = 0.05, test_size: float = 0.3, seed: int = 42) -> DataFrame:
     """statistic (ROC-AUC of a logistic regression telling the sides apart on held-out rows), and its permutation test.
 
     The split is stratified by a seeded hash of the row; null statistics refit on permuted labels.
@@ -168,10 +226,12 @@ def classifier_test(reference: DataFrame, current: DataFrame, columns: Sequence[
         if min(n, m) < 2:
             raise NotEnoughDataError("two rows a side are needed")
         seen = fitted(both)
-        null = []
-        for i in range(permutations):
-            mixed = both.withColumn("label", (F.pmod(F.xxhash64("h", F.lit(i), F.lit(seed + 1)), F.lit(n + m)) >= n).cast("double"))
-            null.append((fitted(mixed),))
+
+        def permuted(i: int) -> tuple[float]:
+            return (fitted(both.withColumn("label", (F.pmod(F.xxhash64("h", F.lit(i), F.lit(seed + 1)), F.lit(n + m)) >= n).cast("double"))),)
+
+        with ThreadPoolExecutor(8) as pool:  # fits are many small jobs
+            null = list(pool.map(permuted, range(permutations)))
     finally:
         both.unpersist()
     return null_test(spark, seen, spark.createDataFrame(null, "t double"), alpha)

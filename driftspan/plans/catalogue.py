@@ -522,7 +522,7 @@ def pelt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def permutation_wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(multivariate.wasserstein_test(*events(spark, sf_dir), "value", permutations=50))
+    return rounded(multivariate.wasserstein_test(*events(spark, sf_dir), "value"))
 
 
 @query()
@@ -532,7 +532,8 @@ def bootstrap_ci_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
     rows = table(spark, sf_dir, "embeddings")
-    names = [f"e{i}" for i in range(8)]
+    first = rows.select(F.size("embedding")).first()
+    names = [f"e{i}" for i in range(first[0] if first else 0)]
     wide = rows.select("vec_id", *(F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)))
     return *split(wide, F.col("vec_id") % 2 == 0), names
 
@@ -540,19 +541,19 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 @query()
 def mmd_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, names = _embeddings(spark, sf_dir)
-    return rounded(multivariate.two_sample_test(a, b, "mmd", names, permutations=100))
+    return rounded(multivariate.two_sample_test(a, b, "mmd", names))
 
 
 @query()
 def energy_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, names = _embeddings(spark, sf_dir)
-    return rounded(multivariate.two_sample_test(a, b, "energy", names, permutations=100))
+    return rounded(multivariate.two_sample_test(a, b, "energy", names))
 
 
 @query()
 def c2st(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, names = _embeddings(spark, sf_dir)
-    return rounded(multivariate.classifier_test(a, b, names, permutations=5))
+    return rounded(multivariate.classifier_test(a, b, names))
 
 
 @query()

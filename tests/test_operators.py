@@ -254,3 +254,24 @@ def test_report(spark):
     assert heard[0]["v"]["severity"] == "high"
     assert report.plot_shares(frame(spark, ["a", "b"], kind="string"), frame(spark, ["a"], kind="string"), "v").count() == 2
     assert report.plot_quantiles(normal(spark, 0), normal(spark, 1), "v", 10).count() == 11
+
+
+def test_two_sample_test_sees_all_rows(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(2100, 2)), rng.normal(0.1, 1, (2050, 2))
+    sides = [spark.createDataFrame(v.tolist(), "a double, b double") for v in (x, y)]
+    z = np.vstack([x, y])
+    d2 = ((z[:, None] - z[None]) ** 2).sum(-1)
+    xx, xy, yy = d2[:2100, :2100], d2[:2100, 2100:], d2[2100:, 2100:]
+    energy = 2 * np.sqrt(xy).mean() - np.sqrt(xx).mean() - np.sqrt(yy).mean()
+    upper = d2[np.triu_indices(len(d2), 1)]
+    k = lambda m: np.exp(-m / (2 * np.median(upper)))
+    off = lambda m: (k(m).sum() - len(m)) / (len(m) * (len(m) - 1))
+    for method, expected in (("energy", energy), ("mmd", off(xx) + off(yy) - 2 * k(xy).mean())):
+        assert multivariate.two_sample_test(*sides, method, permutations=5, block=1500).first()["statistic"] == pytest.approx(expected, abs=1e-9)
+
+
+def test_embeddings_keep_all_dimensions(spark):
+    from driftspan.plans import catalogue
+
+    assert len(catalogue._embeddings(spark, "/root/testdata/sf0.001")[2]) == 64
