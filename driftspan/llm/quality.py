@@ -2,8 +2,10 @@
 
 Two histograms of a document, of character classes and of common words, are compared with those of
 each language by the Jensen-Shannon distance (base 2, so 0 to 1). The references are the sums over all
-documents of a language: one row for each of the fixed languages, whatever the corpus holds. Both
-passes are scans without a shuffle of documents.
+documents of a language. A document in a language of COMMON_WORDS is compared with all of these that the
+corpus holds; one in another language by its character classes alone, with its own language's. Where its
+language is null or has no reference, the base rules alone decide. Both passes are scans without a shuffle
+of documents.
 """
 
 from collections.abc import Iterator
@@ -11,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftspan.llm.words import Words, blocks, word_hash
@@ -112,8 +114,11 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum((half(p) + half(q)) / 2, 0))
 
 
-def _distances(classes: np.ndarray, words: np.ndarray, references: dict[str, tuple[list, list]], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By document: distance of either histogram to that language whose worse one is the least; 0 without references."""
+def _distances(classes: np.ndarray, words: np.ndarray, langs: np.ndarray, references: dict[str, tuple[list, list]], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By document: distance of either histogram to that language whose worse one is the least.
+
+    In a language without common words the class distance to it alone, and 0 without a reference for the language.
+    """
     both = []
     for i, lang in enumerate(COMMON_WORDS):
         if lang in references:
@@ -121,46 +126,64 @@ def _distances(classes: np.ndarray, words: np.ndarray, references: dict[str, tup
             narrow = lambda x, keep=keep: np.concatenate([x[..., keep], (x.sum(-1) - x[..., keep].sum(-1))[..., None]], -1)
             class_ref, word_ref = (np.asarray(x, float) for x in references[lang])
             both.append((js_distance(_shares(classes), _shares(class_ref)), js_distance(_shares(narrow(words)), _shares(narrow(word_ref)))))
-    if not both:
-        return np.zeros(len(classes)), np.zeros(len(classes))
-    near, far = (np.array([x[k] for x in both]) for k in (0, 1))
-    best = np.argmin(np.maximum(near, far), 0)
-    at = np.arange(len(classes))
-    return near[best, at], far[best, at]
+    out = np.zeros((2, len(classes)))
+    if both:
+        near, far = (np.array([x[k] for x in both]) for k in (0, 1))
+        best = np.argmin(np.maximum(near, far), 0)
+        at = np.arange(len(classes))
+        out[:] = near[best, at], far[best, at]
+    for lang in set(langs):
+        if lang not in COMMON_WORDS or lang not in references:
+            rows = langs == lang
+            out[:, rows] = 0
+            if lang in references:
+                out[0, rows] = js_distance(_shares(classes[rows]), _shares(np.asarray(references[lang][0], float)))
+    return out[0], out[1]
+
+
+def _lang(docs: DataFrame, lang: str) -> Column:
+    return (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string").alias("lang")
 
 
 def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[list, list]]:
-    """By language, the histograms summed over all documents of it. At most as many rows as COMMON_WORDS reach the driver.
+    """By language, the histograms summed over all documents of it; word counts only for those of COMMON_WORDS.
 
-    Null, unknown or other languages take no part; a language without documents has no reference.
+    A row for each bin of each language of the table reaches the driver. Null languages take no part; a language
+    without documents has no reference.
     """
     vocabulary, _ = _vocabulary()
     width = N_CLASSES + len(vocabulary) + 1
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {k: np.zeros(width, np.int64) for k in COMMON_WORDS}
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), object)
+            langs = _langs(batch.column(1))
             for block in blocks(batch.column(0)):
                 rows = np.concatenate(histograms(block, vocabulary), 1)
-                for k in COMMON_WORDS:
-                    total[k] += rows[langs[block.rows] == k].sum(0)
+                for k in set(langs[block.rows]) - {None}:
+                    x = rows[langs[block.rows] == k].sum(0)
+                    x[N_CLASSES if k not in COMMON_WORDS else width :] = 0
+                    total[k] = total.get(k, 0) + x
         found = [(k, j, int(v)) for k, row in total.items() for j, v in enumerate(row) if v]
         if found:
             yield pa.RecordBatch.from_pydict(dict(zip(("lang", "bin", "n"), map(list, zip(*found, strict=True)), strict=True)), pa.schema([("lang", pa.string()), ("bin", pa.int32()), ("n", pa.int64())]))
 
-    source = docs.select(F.col(text).cast("string").alias("text"), (F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")).alias("lang"))
+    source = docs.select(F.col(text).cast("string").alias("text"), _lang(docs, lang))
     out: dict[str, np.ndarray] = {}
     for r in source.mapInArrow(sums, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
         out.setdefault(r["lang"], np.zeros(width))[r["bin"]] = r["n"]
     return {k: (v[:N_CLASSES].tolist(), v[N_CLASSES:].tolist()) for k, v in out.items()}
 
 
-def _verdicts(column: pa.Array, references: dict, limits: Limits, vocabulary: np.ndarray, own: np.ndarray) -> dict[str, np.ndarray]:
+def _langs(column: pa.Array) -> np.ndarray:
+    return np.array([*column.to_pylist(), None], object)[:-1]
+
+
+def _verdicts(column: pa.Array, langs: np.ndarray, references: dict, limits: Limits, vocabulary: np.ndarray, own: np.ndarray) -> dict[str, np.ndarray]:
     parts = []
     for block in blocks(column):
         x = base_counts(block)
-        x["class_distance"], x["word_distance"] = _distances(*histograms(block, vocabulary), references, own)
+        x["class_distance"], x["word_distance"] = _distances(*histograms(block, vocabulary), langs[block.rows], references, own)
         parts.append(x)
     x = {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (*COUNTS, "class_distance", "word_distance")}
     x["base_failed"] = (x["n_words"] < 50) | (100 * x["n_repeat_words"] > 50 * x["n_words"])
@@ -169,32 +192,34 @@ def _verdicts(column: pa.Array, references: dict, limits: Limits, vocabulary: np
     return x
 
 
-def quality_verdicts(docs: DataFrame, references: dict[str, tuple[list, list]], limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def quality_verdicts(docs: DataFrame, references: dict[str, tuple[list, list]], limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, the counts of COUNTS, both distances, base_failed and kept, one row for each row of docs.
 
     A null or empty text has no words and fails the base rules; repeated rows are judged alike. Other
-    columns of docs are not read. Without references only the base rules decide.
+    columns of docs are not read. Without a reference for a row's language, or without a column of languages, only
+    the base rules decide.
     """
     vocabulary, own = _vocabulary()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _verdicts(batch.column(1), references, limits, vocabulary, own)
+            x = _verdicts(batch.column(1), _langs(batch.column(2)), references, limits, vocabulary, own)
             kinds = {"class_distance": pa.float64(), "word_distance": pa.float64(), "base_failed": pa.bool_(), "kept": pa.bool_()}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, kinds.get(k, pa.int64())) for k, v in x.items())], ["doc_id", *x])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(judge, f"doc_id {kind}, {VERDICT}")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), _lang(docs, lang)).mapInArrow(judge, f"doc_id {kind}, {VERDICT}")
 
 
-def keep_quality(docs: DataFrame, references: dict[str, tuple[list, list]], limits: Limits = Limits(), text: str = "text") -> DataFrame:
+def keep_quality(docs: DataFrame, references: dict[str, tuple[list, list]], limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs, with all their columns, that the rules keep; a filter within the scan."""
     vocabulary, own = _vocabulary()
-    position = docs.columns.index(text)
+    position, spoken = docs.columns.index(text), docs.columns.index(lang) if lang in docs.columns else None
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_verdicts(batch.column(position), references, limits, vocabulary, own)["kept"], pa.bool_()))
+            langs = np.full(len(batch), None, object) if spoken is None else _langs(batch.column(spoken))
+            yield batch.filter(pa.array(_verdicts(batch.column(position), langs, references, limits, vocabulary, own)["kept"], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

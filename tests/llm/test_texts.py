@@ -60,6 +60,20 @@ def test_quality_divergence(spark):
     assert quality.js_distance(p, q)[0] == pytest.approx(np.sqrt(0.5)) and quality.js_distance(p, p[0])[0] == 0
 
 
+def test_quality_of_other_languages(spark):
+    rng = random.Random(1)
+    text = lambda words: " ".join(rng.choices(words, k=150))
+    made = lambda letters, n: ["".join(rng.choices(letters, k=5)) for _ in range(n)]
+    english, russian, italian = ["the", "of", "and", "to"] * 5 + made("abcdefghij", 60), made("абвгдежзий", 60), made("aeilmnorst", 60)
+    rows = [(i, text(english), "en") for i in range(20)] + [(i, text(russian), "ru") for i in range(20, 40)]
+    rows += [(40, " ".join(w + "###$$$%%%***" for w in text(russian).split()), "ru"), (41, text(russian), None), (42, text(italian), "it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality.language_references(df.where("doc_id <> 42"))
+    kept = {r["doc_id"] for r in quality.quality_verdicts(df, refs).where("kept").collect()}
+    assert set(range(20, 40)) | {41, 42} <= kept and 40 not in kept
+    assert {r["doc_id"] for r in quality.keep_quality(df, refs).collect()} == kept
+
+
 @pytest.mark.parametrize("window", [1, 5, 13, 30, 50])
 def test_substrings(docs, pairs, window):
     expected = brute.repeats([p for p in pairs if p[1] is not None], window)
