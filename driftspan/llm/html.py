@@ -9,6 +9,7 @@ do not make its text unimportant. Roles weigh in before that: navigation, forms,
 """
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -33,7 +34,7 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([
 _WORDS = re.compile(r"[a-z0-9]+")
 MAIN = {"article", "main"}
 MAIN_WEIGHT = 2.0
-MAX_PATH = 16
+_MODULUS, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51  # of the hash of a sequence of blocks
 
 
 def _hash(text: str) -> int:
@@ -54,67 +55,85 @@ def _attributes(raw: str) -> tuple[str, set[str], bool]:
 
 
 class Page:
-    """Blocks of a page, and its element nodes by path.
+    """Blocks of a page, and its element nodes by path, whatever their depth; memory is in proportion to the page.
 
-    blocks: (path of each open element, text). nodes: path -> [texts' hash, child tags' hash]. main: the paths of
+    blocks: (innermost open element or -1, text). nodes: path -> [texts' hash, child tags' hash]. main: the paths of
     main elements and of all elements in them.
     """
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[tuple[int, ...], str]] = []
+        self.blocks: list[tuple[int, str]] = []
         self.nodes: dict[int, list[int]] = {}
         self.main: set[int] = set()
-        self._stack: list[tuple[str, int, bool]] = []  # tag, path, dropped from here on
+        self._elements: list[list[int]] = []  # parent or -1, path, first block, end of its blocks
+        self._stack: list[tuple[str, int, bool]] = []  # tag, element, dropped from here on
+        self._count: Counter[str] = Counter()  # of the tags of the stack
         self._main = 0
         self._text: list[str] = []
         self._parse(html)
         self._flush()
+        self._pop(0)
+        self._add_texts()
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         self._text.clear()
         if text:
-            path = tuple(p for _, p, _ in self._stack)
-            self.blocks.append((path, text))
-            value = _hash(text)
-            for p in path:
-                self.nodes[p][0] = hash((self.nodes[p][0], value))
+            self.blocks.append((self._stack[-1][1] if self._stack else -1, text))
+
+    def _pop(self, at: int) -> None:
+        for tag, element, _ in self._stack[at:]:
+            self._elements[element][3] = len(self.blocks)
+            self._count[tag] -= 1
+        del self._stack[at:]
+
+    def _add_texts(self) -> None:
+        """The hash of the blocks of each node's elements, one after another, from those of the blocks up to each."""
+        upto, power = [0], [1]
+        for _, text in self.blocks:
+            upto.append((upto[-1] * _BASE + _hash(text)) % _MODULUS)
+            power.append(power[-1] * _BASE % _MODULUS)
+        for _, path, first, end in self._elements:
+            node = self.nodes[path]
+            node[0] = ((node[0] - upto[first]) * power[end - first] + upto[end]) % _MODULUS
 
     def _open(self, tag: str, raw: str) -> None:
         if tag in BLOCKS:
             self._flush()
-            if any(t == "p" for t, _, _ in self._stack):
-                self._close("p")
-        if tag in CLOSES and (at := next((i for i in range(len(self._stack) - 1, -1, -1) if self._stack[i][0] in CLOSES[tag]), -1)) >= 0:
+            self._close("p")
+        if tag in CLOSES and any(self._count[t] for t in CLOSES[tag]) and (at := next((i for i in range(len(self._stack) - 1, -1, -1) if self._stack[i][0] in CLOSES[tag]), -1)) >= 0:
             if not any(t in ("ul", "ol", "dl", "table") for t, _, _ in self._stack[at:]):
                 self._close(self._stack[at][0])
         if tag == "br":
             self._text.append(" ")
-        parent = self._stack[-1] if self._stack else ("", 0, False)
-        if parent[1] in self.nodes:
-            self.nodes[parent[1]][1] = hash((self.nodes[parent[1]][1], _hash(tag)))  # of integers: the same on every machine
+        _, parent, dropped = self._stack[-1] if self._stack else ("", -1, False)
+        above = self._elements[parent][1] if parent >= 0 else 0
+        if parent >= 0:
+            self.nodes[above][1] = hash((self.nodes[above][1], _hash(tag)))  # of integers: the same on every machine
         if tag in VOID:
             return
         style, words, hidden = _attributes(raw) if raw else ("", set(), False)
         inside = self._main > 0
         noise = tag in DROPPED or hidden or bool(words & NOISE) or (not inside and (tag == "header" or "header" in words))
-        path = parent[1] if len(self._stack) >= MAX_PATH else _hash(f"{parent[1]}>{tag}.{style}")
+        path = _hash(f"{above}>{tag}.{style}")
         self.nodes.setdefault(path, [0, 0])
-        self._stack.append((tag, path, parent[2] or noise))
-        if tag in MAIN and not (parent[2] or noise):
+        self._stack.append((tag, len(self._elements), dropped or noise))
+        self._elements.append([parent, path, len(self.blocks), 0])
+        self._count[tag] += 1
+        if tag in MAIN and not (dropped or noise):
             self._main += 1
         if self._main:
             self.main.add(path)
 
     def _close(self, tag: str) -> None:
-        at = next((i for i in range(len(self._stack) - 1, -1, -1) if self._stack[i][0] == tag), -1)
-        if at < 0:
+        if not self._count[tag]:
             return
+        at = next(i for i in range(len(self._stack) - 1, -1, -1) if self._stack[i][0] == tag)
         if any(t in BLOCKS for t, _, _ in self._stack[at:]):
             self._flush()
         for t, _, dropped in self._stack[at:]:
             self._main -= t in MAIN and not dropped
-        del self._stack[at:]
+        self._pop(at)
 
     def _say(self, raw: str) -> None:
         if not (self._stack and self._stack[-1][2]):
@@ -140,7 +159,10 @@ class Page:
 
     def main_text(self, unimportant: frozenset[int] | set[int] = frozenset()) -> str:
         """The blocks outside unimportant branches."""
-        return "\n".join(t for path, t in self.blocks if unimportant.isdisjoint(path))
+        out: list[bool] = []  # by element
+        for parent, path, _, _ in self._elements:
+            out.append(path in unimportant or (parent >= 0 and out[parent]))
+        return "\n".join(t for e, t in self.blocks if e < 0 or not out[e])
 
     def digest(self) -> int:
         """Of the texts of all blocks: the same for copies of a page."""

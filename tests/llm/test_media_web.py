@@ -102,6 +102,14 @@ def test_tree_decides_on_pages_with_articles(spark):
     assert all(got[i] == "One story" for i in range(40, 60))
 
 
+def test_deep_elements_have_paths_of_their_own(spark):
+    deep = "<div>" * 20 + "<div class='a'>Always the same</div><div class='b'>Story {0}</div>"
+    got = html.extract(spark.createDataFrame([(i, "http://a.org/", deep.format(i)) for i in range(20)], "page_id long, url string, html string")).collect()
+    assert all(r["text"] == f"Story {r['page_id']}" for r in got)
+    page = html.Page("<div>x" * 50_000)
+    assert len(page.nodes) == len(page.blocks) == 50_000 and page.main_text() == "\n".join("x" * 50_000)
+
+
 RULES = urls.parse_rules("allow com/, block example.com/en/, allow www.example.com/en/, block net/es/, block net/fr/")
 
 
