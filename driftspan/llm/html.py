@@ -5,7 +5,10 @@ A node's importance is the entropy, over the pages that have it, of its contents
 (the sequence of its child tags), each scaled to 0 to 1. Branches of low importance, which say the same on
 many pages, are removed from each page, inside and outside of article and main elements alike; what lies in
 these weighs MAIN_WEIGHT times as much. Pages of a host with the same blocks count once, so copies of a page
-do not make its text unimportant. Roles weigh in before that: navigation, forms, adverts and the like have none.
+do not make its text unimportant. Roles weigh in before that: navigation, forms, adverts and the like have none,
+whatever the tree says. Forms and elements that have such a role only by a word of class, id or role are plain
+containers if they hold more than half of a page's text and of the text of its main elements; html, body, main
+and article have no role by words.
 """
 
 import re
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from driftspan.llm.cluster import checkpoint
 
 # Elements and words of class, id and role by what they are for.
-DROPPED = set("head script style noscript template iframe object embed svg canvas math audio video map form button select option textarea input datalist nav footer aside dialog menu".split())
+DROPPED = set("head script style noscript template iframe object embed svg canvas math audio video map button select option textarea input datalist nav footer aside dialog menu".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NOISE = set("nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar widget related ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice alert popup modal newsletter subscribe signup login search form comment comments disqus respond share sharing social pagination pager copyright contentinfo complementary dialog".split())
@@ -33,6 +36,7 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 MAIN = {"article", "main"}
+NEVER_NOISE = {"html", "body", *MAIN}
 MAIN_WEIGHT = 2.0
 _MODULUS, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51  # of the hash of a sequence of blocks
 
@@ -66,24 +70,56 @@ class Page:
         self.nodes: dict[int, list[int]] = {}
         self.main: set[int] = set()
         self._elements: list[list[int]] = []  # parent or -1, path, first block, end of its blocks
+        self._noise: set[int] = set()  # elements with a role by words, and forms
+        self._content: set[int] = set()  # main elements without such words, and all elements in them
         self._stack: list[tuple[str, int, bool]] = []  # tag, element, dropped from here on
         self._count: Counter[str] = Counter()  # of the tags of the stack
         self._main = 0
-        self._text: list[str] = []
+        self._text: list[tuple[int, str]] = []  # innermost open element or -1, text
+        self._spoken: list[tuple[int, list[tuple[int, str]]]] = []  # blocks before their roles are known
         self._parse(html)
         self._flush()
         self._pop(0)
+        self._settle()
         self._add_texts()
 
     def _flush(self) -> None:
-        text = " ".join("".join(self._text).split())
+        if any(not t.isspace() for _, t in self._text):
+            self._spoken.append((self._stack[-1][1] if self._stack else -1, self._text))
+            self._text = []
         self._text.clear()
-        if text:
-            self.blocks.append((self._stack[-1][1] if self._stack else -1, text))
+
+    def _holders(self) -> set[int]:
+        """Those of _noise that hold more than half of the text, and of that of main elements if there is any."""
+        own, main = ([0] * (len(self._elements) + 1) for _ in range(2))  # the last: outside of all elements
+        for _, pieces in self._spoken:
+            for e, text in pieces:
+                n = len(text.strip())
+                own[e] += n
+                main[e] += n if e in self._content else 0
+        whole, of_main = sum(own), sum(main)
+        for e in range(len(self._elements) - 1, -1, -1):
+            own[self._elements[e][0]] += own[e]
+            main[self._elements[e][0]] += main[e]
+        return {e for e in self._noise if 2 * own[e] > whole and (2 * main[e] > of_main or not of_main)}
+
+    def _settle(self) -> None:
+        """Blocks without the text of elements whose role has no importance; elements' blocks are numbered anew."""
+        noise = self._noise - self._holders() if self._noise else set()
+        dropped: list[bool] = []  # by element
+        for e, (parent, *_) in enumerate(self._elements):
+            dropped.append(e in noise or (parent >= 0 and dropped[parent]))
+        at = [0]
+        for element, pieces in self._spoken:
+            if text := " ".join("".join(t for e, t in pieces if e < 0 or not dropped[e]).split()):
+                self.blocks.append((element, text))
+            at.append(len(self.blocks))
+        for x in self._elements:
+            x[2:] = at[x[2]], at[x[3]]
 
     def _pop(self, at: int) -> None:
         for tag, element, _ in self._stack[at:]:
-            self._elements[element][3] = len(self.blocks)
+            self._elements[element][3] = len(self._spoken)
             self._count[tag] -= 1
         del self._stack[at:]
 
@@ -105,7 +141,7 @@ class Page:
             if not any(t in ("ul", "ol", "dl", "table") for t, _, _ in self._stack[at:]):
                 self._close(self._stack[at][0])
         if tag == "br":
-            self._text.append(" ")
+            self._text.append((self._stack[-1][1] if self._stack else -1, " "))
         _, parent, dropped = self._stack[-1] if self._stack else ("", -1, False)
         above = self._elements[parent][1] if parent >= 0 else 0
         if parent >= 0:
@@ -114,11 +150,17 @@ class Page:
             return
         style, words, hidden = _attributes(raw) if raw else ("", set(), False)
         inside = self._main > 0
-        noise = tag in DROPPED or hidden or bool(words & NOISE) or (not inside and (tag == "header" or "header" in words))
+        noise = tag in DROPPED or hidden or (not inside and tag == "header")
+        by_words = bool(words & NOISE) or (not inside and "header" in words)
         path = _hash(f"{above}>{tag}.{style}")
         self.nodes.setdefault(path, [0, 0])
-        self._stack.append((tag, len(self._elements), dropped or noise))
-        self._elements.append([parent, path, len(self.blocks), 0])
+        element = len(self._elements)
+        self._stack.append((tag, element, dropped or noise))
+        if tag == "form" or (by_words and tag not in NEVER_NOISE):
+            self._noise.add(element)
+        if parent in self._content or (tag in MAIN and not by_words):
+            self._content.add(element)
+        self._elements.append([parent, path, len(self._spoken), 0])
         self._count[tag] += 1
         if tag in MAIN and not (dropped or noise):
             self._main += 1
@@ -136,8 +178,10 @@ class Page:
         self._pop(at)
 
     def _say(self, raw: str) -> None:
-        if not (self._stack and self._stack[-1][2]):
-            self._text.append(unescape(raw) if "&" in raw else raw)
+        if not self._stack:
+            self._text.append((-1, unescape(raw) if "&" in raw else raw))
+        elif not self._stack[-1][2]:
+            self._text.append((self._stack[-1][1], unescape(raw) if "&" in raw else raw))
 
     def _parse(self, html: str) -> None:
         at = 0

@@ -77,6 +77,17 @@ def test_page():
     assert html.Page("<div>" * 3000 + "deep").main_text() == "deep"
 
 
+def test_role_words_do_not_drop_whole_pages():
+    story = "<p>A story that is told here.</p>"
+    side = "<div class='sidebar'>Side</div>"
+    for page in (f"<body class='single no-sidebar'>{story}{side}</body>", f"<article class='post comments-open'>{story}</article>{side}", f"<html><body><form>{story}{side}</form></body></html>", f"<div class='page has-sidebar'><article>{story}</article>{side}</div>"):
+        assert html.Page(page).main_text() == "A story that is told here."
+    comments = f"<article>{story}</article><section class='comments'>{'<p>Many words of a reader.</p>' * 9}</section>"
+    assert html.Page(comments).main_text() == "A story that is told here."
+    cards = f"<div>{story}</div><div class='related'><article>Teaser</article></div>"
+    assert html.Page(cards).main_text() == "A story that is told here."
+
+
 def test_style_trees(spark):
     body = "<html><body><div class='top'>Always the same</div><div class='content'><p>Story {0} goes on.</p></div><div class='end'>Same again</div></body></html>"
     rows = [(i, f"http://A.example/{i}", body.format(i), "x") for i in range(20)] + [(50, "http://b.example/1", body.format(50), "y"), (51, None, body.format(51), None), (52, "http://a.example/n", None, None), (53, "nourl", "", None), (54, "http://a.example/art", PAGE, "z"), (54, "http://a.example/art", PAGE, "z")]
