@@ -7,6 +7,7 @@ number of entries. Vocabulary files are named by path and read where they lie.
 import json
 import os
 import re
+import struct
 from functools import cache
 
 import numpy as np
@@ -16,6 +17,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END_ID = 2
 CACHE_ENTRIES = 250_000
 CACHE_BYTES = 48 << 20
+_PACKERS = [struct.Struct(f"<{n}I") for n in range(32)]
 
 
 def default_path(name: str) -> str:
@@ -38,7 +40,7 @@ def library_tokenizer(path: str):
 
 def packed(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit integers."""
-    return np.array(ids, "<u4").tobytes()
+    return _PACKERS[len(ids)].pack(*ids) if len(ids) < len(_PACKERS) else np.array(ids, "<u4").tobytes()
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -67,30 +69,46 @@ class WordEncoder(dict):
     """Packed ids of a white-space word by its bytes, for a lower-casing tokenizer that drops white space.
 
     Words of ASCII and Latin letters are split and merged here; any other word, and one that may hold a
-    special token, goes to the library. No token of such a tokenizer crosses ASCII white space.
+    special token, goes to the library. No token of such a tokenizer crosses ASCII white space. A full
+    table becomes the older of two generations, from which words that are still in use come back.
     """
 
-    _plain = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    _ascii, _plain = re.compile(rb"[!-~]+"), re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    _ascii_pieces = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
     _pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
     def __init__(self, path: str):
         super().__init__()
         self.path = path
-        self.merge = _merger(path, r"[^\n]+|\n+", "</w>")._encode_single_piece
+        self.older: dict[bytes, bytes] = {}
+        self.merge = _merger(path, r"[^\n]+|\n+", "</w>")._core_bpe.encode_single_piece
+
+    def _ids(self, word: bytes) -> bytes:
+        if word.isalpha():  # of bytes: ASCII letters only
+            return packed(self.merge(word.lower() + b"\xff"))
+        if b"<|" not in word:
+            if self._ascii.fullmatch(word):
+                pieces = self._ascii_pieces.findall(word.lower())
+                return b"".join(map(self.__getitem__, pieces)) if len(pieces) > 1 else packed(self.merge(pieces[0] + b"\xff"))
+            text = word.decode("utf-8", "replace")
+            if self._plain.fullmatch(text):
+                return b"".join(packed(self.merge(piece.encode() + b"\xff")) for piece in self._pieces.findall(text.lower()))
+        return packed(library_tokenizer(self.path).encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if self._plain.fullmatch(text) and "<|" not in text:
-            ids = [i for piece in self._pieces.findall(text.lower()) for i in self.merge(piece.encode() + b"\xff")]
-        else:
-            ids = library_tokenizer(self.path).encode(text, add_special_tokens=False).ids
+        out = self.older.get(word)
+        if out is None:
+            out = self._ids(word)
         if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
             self.clear()
-        self[word] = out = packed(ids)
+        self[word] = out
         return out
 
     def encode(self, text: bytes) -> bytes:
         """Packed ids of a text in UTF-8."""
+        if b"<|" not in text:  # special tokens have a case
+            text = text.lower()
         return b"".join(map(self.__getitem__, text.split()))
 
 
