@@ -94,7 +94,7 @@ def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, doc_id: str =
 def pack(pieces: DataFrame, capacity: int = LENGTH) -> DataFrame:
     """pieces (any columns, among them length from 1 to capacity) with sequence_id and offset, gapless from 0 in a sequence.
 
-    No pieces give no rows. Equal rows are placed apart. pieces is read more than once: pass it kept or cheap.
+    No pieces give no rows. Equal rows, and rows of a null id, are placed apart. pieces is read more than once: pass it kept or cheap.
     """
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if any(not 1 <= x <= capacity for x in histogram):
@@ -105,7 +105,8 @@ def pack(pieces: DataFrame, capacity: int = LENGTH) -> DataFrame:
     dealt = pieces.withColumn("__salt", F.pmod(F.xxhash64(*(c for c in names)), F.lit(salts)))
     counts = dealt.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy("length").orderBy("__salt")) - F.col("__n")).drop("__n")
-    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(F.lit(0))) - 1).join(before, ["length", "__salt"])
+    order = [F.xxhash64(*names), *(c for c in ("doc_id", "start") if c in names)]  # a rank does not depend on when a row arrives
+    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*order)) - 1).join(before, ["length", "__salt"])
     ranked = ranked.select(*names, (F.col("__rank") + F.col("__before")).alias("__rank"))
     at = names.index("length")
 
