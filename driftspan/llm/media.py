@@ -10,19 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftspan.llm import flac
-from driftspan.llm.words import text_buffers
-
-RUN_BYTES = 1 << 20
-
-
-def _runs(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about RUN_BYTES."""
-    lo, n = 0, len(offsets) - 1
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + RUN_BYTES, "right")) - 1)
-        yield lo, hi
-        lo = hi
-
+from driftspan.llm.words import byte_runs, text_buffers
 
 def payload(text: bytes) -> bytes:
     """The text with spaces added up to a positive multiple of a frame."""
@@ -36,7 +24,7 @@ def encode_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for lo, hi in _runs(offsets):
+            for lo, hi in byte_runs(offsets):
                 texts = [data[a:b].tobytes() for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)]
                 media = flac.encode([payload(x) for x in texts])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -46,7 +34,7 @@ def encode_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def _decoded(column: pa.Array) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
     data, offsets = text_buffers(column)
-    for lo, hi in _runs(offsets):
+    for lo, hi in byte_runs(offsets):
         media = [data[a:b].tobytes() for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)]
         yield lo, media, flac.decode(media)
 

@@ -50,6 +50,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), ends
 
 
+def byte_runs(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `size` bytes; a longer row alone."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 @dataclass
 class Words:
     """The words of consecutive documents: document i has words first[i]:first[i + 1]."""
