@@ -73,19 +73,25 @@ def components(rows, size, percent):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-def backoff(rows):
-    docs = {d: words(lower(t)) for d, t in rows}
-    uni, bi = Counter(), Counter()
-    for w in docs.values():
-        uni.update(w)
-        bi.update(zip(w, w[1:], strict=False))
-    total, out = sum(uni.values()), {}
-    for d, w in docs.items():
-        own, pairs, score = Counter(w), Counter(zip(w, w[1:], strict=False)), 0.0
-        for i, x in enumerate(w):
-            seen = bi[w[i - 1], x] - pairs[w[i - 1], x] if i else 0
-            score += math.log(seen / max(1, uni[w[i - 1]] - own[w[i - 1]])) if seen > 0 else math.log(0.4 * max(uni[x] - own[x], 0.5) / max(total - len(w), 1))
-        out[d] = (len(w), score)
+def ngrams(w, n):
+    return [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+
+
+def backoff(rows, order):
+    """A list of (words, score), a row for each of rows."""
+    docs = [words(lower(t)) for _, t in rows]
+    counts = Counter(g for w in docs for n in range(1, order + 1) for g in ngrams(w, n))
+    total, out = sum(map(len, docs)), []
+    for w in docs:
+        own = Counter(g for n in range(1, order + 1) for g in ngrams(w, n))
+        other = lambda g: counts[g] - own[g]  # noqa: B023, E731
+
+        def share(g):
+            if len(g) == 1:
+                return max(other(g), 0.5) / max(total - len(w), 1)  # noqa: B023
+            return other(g) / other(g[:-1]) if other(g) > 0 else 0.4 * share(g[1:])  # noqa: B023
+
+        out.append((len(w), sum(math.log(share(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(len(w)))))
     return out
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -191,11 +192,18 @@ def test_components(spark, seed):
     assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
-def test_backoff(docs, pairs, empty):
-    expected = brute.backoff(pairs)
-    for r in lm.backoff_scores(docs, docs_per_block=20).collect():
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_backoff(spark, docs, pairs, empty, order):
+    expected = dict(zip([d for d, _ in pairs], brute.backoff(pairs, order), strict=True))
+    for r in lm.backoff_scores(docs, order=order, block_bytes=20_000).collect():
         n, score = expected[r["doc_id"]]
         assert r["n_words"] == n and r["log_score"] == pytest.approx(score)
         assert (r["mean_log_score"] is None) == (n == 0)
-    assert lm.backoff_scores(empty).count() == 0
+    assert lm.backoff_scores(empty, order=order).count() == 0
     assert lm.backoff_scores(docs.where(F.col("text").isNull())).count() == 1
+
+
+def test_ngram_counts(docs, pairs):
+    got = {(r["length"], r["ngram"]): r["n"] for r in lm.ngram_counts(docs).collect()}
+    expected = Counter((n, " ".join(g)) for _, t in pairs for n in (1, 2, 3) for g in brute.ngrams(brute.words(brute.lower(t)), n))
+    assert got == expected
