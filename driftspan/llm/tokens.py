@@ -16,7 +16,6 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 END_ID = 2
 CACHE_ENTRIES = 250_000
-CACHE_BYTES = 48 << 20
 _PACKERS = [struct.Struct(f"<{n}I") for n in range(32)]
 
 
@@ -117,11 +116,29 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+class _Chunk:
+    """Texts that are encoded as one, with their first and last firm places."""
+
+    def __init__(self, ids: bytes | None):
+        self.ids, self.parts, self.size, self.firm = ids, [], 0, ()
+
+    def add(self, text: str, first: int | None, last: int | None) -> "_Chunk":
+        if first is not None:
+            self.firm = (self.firm[0] if self.firm else self.size + first, self.size + last)
+        self.parts.append(text)
+        self.size += len(text)
+        return self
+
+
 class ChunkEncoder:
-    """Packed ids of chunks of text for a byte-level tokenizer that keeps all bytes; equal chunks are encoded once."""
+    """Packed ids for a byte-level tokenizer that keeps all bytes, of texts and of texts given in chunks.
+
+    No token crosses the place between a visible character and the white space after it, whatever stands further off:
+    such places are firm. A text's ids are those of its parts between firm places, one after another.
+    """
 
     _plain = re.compile(r"[\n\t -~À-ÖØ-öø-ÿ]*")
-    _tail, _head = re.compile(rb" [^ ]*\Z"), re.compile(rb" ?[^ ]*")
+    _first, _last = re.compile(r"\S(?=[ \t-\r])"), re.compile(r"(?s).*\S(?=[ \t-\r])")
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -129,48 +146,38 @@ class ChunkEncoder:
         self.path = path
         self.merger = _merger(path, public_tokenizers.PATTERN)
         self.special = {t["id"]: t["content"].encode() for t in json.load(open(path, encoding="utf-8"))["added_tokens"]}
-        self.known: dict[bytes, tuple[bytes, bytes, bytes, bytes, bytes]] = {}
-        self.held = 0
+        self.repairs = 0
 
-    def ids(self, data: bytes) -> bytes:
-        """Packed ids of a piece of UTF-8 on its own."""
-        text = data.decode("utf-8", "replace")
+    def ids(self, text: str) -> bytes:
+        """Packed ids of a piece of text on its own."""
         if self._plain.fullmatch(text) and "<|" not in text:
             return packed(self.merger.encode_ordinary(text))
         return packed(library_tokenizer(self.path).encode(text, add_special_tokens=False).ids)
 
-    def chunk(self, data: bytes) -> tuple[bytes, bytes, bytes, bytes, bytes]:
-        """(ids, last word, its ids, first word, its ids) of a chunk, from the table if it was met before."""
-        if found := self.known.get(data):
-            return found
-        tail = (m := self._tail.search(data)) and m[0] or data
-        head = self._head.match(data)[0]
-        out = (self.ids(data), tail, self.ids(tail), head, self.ids(head))
-        self.held += len(data) + len(out[0]) + 600
-        if self.held > CACHE_BYTES:
-            self.known.clear()
-            self.held = 0
-        self.known[data] = out
-        return out
-
-    def encode(self, chunks: list[bytes]) -> bytes:
-        """Packed ids of the text that these chunks make up.
+    def encode(self, chunks: list[bytes], known: dict[bytes, bytes] | None = None) -> bytes:
+        """Packed ids of the text that these chunks make up, with the ids of chunks that are known.
 
-        At each join the words on both sides are encoded as one; where that differs from their ids apart,
-        the two sides are encoded again as one chunk, until every join agrees.
+        A chunk without a firm place is encoded with its neighbour as one. At every join the text between the last firm
+        place of the one chunk and the first of the next is encoded as a whole; where that differs from the ids of its
+        two sides apart, it takes their place. So every join agrees with the text.
         """
-        texts = list(chunks)
-        done = [self.chunk(x) for x in texts]
-        i = 0
-        while i + 1 < len(done):
-            (ids, tail, tail_ids, _, _), (more, _, _, head, head_ids) = done[i], done[i + 1]
-            if ids.endswith(tail_ids) and more.startswith(head_ids) and self.ids(tail + head) == tail_ids + head_ids:
-                i += 1
-                continue
-            texts[i : i + 2] = [texts[i] + texts[i + 1]]
-            done[i : i + 2] = [self.chunk(texts[i])]
-            i = max(i - 1, 0)
-        return b"".join(x[0] for x in done)
+        known, groups = known or {}, []
+        for chunk in chunks:
+            text = chunk.decode("utf-8", "replace")
+            first, last = self._first.search(text), self._last.match(text)
+            if groups and not (first and groups[-1].firm):
+                groups[-1].add(text, first and first.end(), last and last.end())
+            else:
+                groups.append(_Chunk(known.get(chunk)).add(text, first and first.end(), last and last.end()))
+        texts = ["".join(g.parts) for g in groups]
+        done = [(len(g.parts) == 1 and g.ids) or self.ids(text) for g, text in zip(groups, texts, strict=True)]
+        for i in range(len(texts) - 1):
+            tail, head = texts[i][groups[i].firm[1] :], texts[i + 1][: groups[i + 1].firm[0]]
+            before, after, whole = self.ids(tail), self.ids(head), self.ids(tail + head)
+            if whole != before + after:
+                self.repairs += 1
+                done[i], done[i + 1] = done[i][: -len(before)] + whole, done[i + 1][len(after) :]
+        return b"".join(done)
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text that these packed ids stand for."""
