@@ -4,13 +4,17 @@
 2. Candidates: sizes fall into classes. In a class, similar sets differ in at most H shingles, so of more than
    H ranges of the hash space one holds the same shingles in both. A hash of each range's contents is the key.
    The emptiest ranges are spare (there are that many more than H), so a key stands for several shingles.
-3. Nodes that meet in a key are linked to its least node only; components of these links are groups. Large groups,
-   chained by passages that many documents share, are drawn apart by parity sketches: two sketches differ in
-   no more bits than their sets differ in shingles, so pairs whose sketches differ by more are never similar.
-4. Groups are cut into blocks of bounded size by size class. The product of two blocks' incidence matrices
-   holds all overlap counts; blocks whose sizes rule the threshold out are never paired. A product returns
-   a spanning forest of its similar pairs, not the pairs.
-5. Components of the forests are the result.
+3. Nodes that meet in a key are linked to its least node only; components of these links are groups.
+4. The product of a block's incidence matrix holds the overlap counts of all its pairs; it returns a spanning forest of
+   the similar ones, not the pairs. A group of at most a block is one product. A larger group is first cut into blocks
+   by size class, each multiplied with itself, and then the nodes that stand for the found components are multiplied
+   with each other: a group of near copies is joined by now, with each set sent twice at most.
+5. Large groups that are still apart, chained by passages that many documents share, are drawn apart by parity sketches:
+   two sketches differ in no more bits than their sets differ in shingles, so pairs whose sketches differ by more are never
+   similar. What is left is multiplied block by block; blocks whose sizes rule the threshold out are never paired.
+6. Components of all forests are the result.
+
+Blocks are bounded in sets and in bytes.
 """
 
 from collections.abc import Iterator
@@ -22,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftspan.llm.cluster import checkpoint
-from driftspan.llm.components import connected_components
+from driftspan.llm.components import connected_components, join_heavy
 from driftspan.llm.words import Words, blocks, mix
 
-BLOCK, SKETCH_BLOCK = 512, 2048
+BLOCK, SKETCH_BLOCK, BLOCK_BYTES = 512, 2048, 32 << 20
 KEY, LINK, DOCUMENT = 0, 1, 2
-_FOUND = "kind byte, a long, b long, n long, sketch binary"
+_FOUND = "kind byte, a long, b long, n long, row long, sketch binary"
 _C = np.uint64(0xA0761D6478BD642F)
 
 
@@ -138,20 +142,20 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """kind, a, b, n, sketch: DOCUMENT rows (id, node, set size, parity sketch) and LINK rows (least node of a key, node)."""
-    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+    """kind, a, b, n, row, sketch: DOCUMENT rows (id, node, set size, row key, parity sketch) and LINK rows (least node of a key, node)."""
+    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("row", pa.int64()), ("sketch", pa.binary())])
 
     def batch_of(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, sketch: list[bytes] | None = None) -> pa.RecordBatch:
         signed = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in (a, b)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), *signed, pa.nulls(len(a), pa.int64()) if n is None else pa.array(n), pa.nulls(len(a), pa.binary()) if sketch is None else pa.array(sketch, pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), *signed, pa.nulls(len(a), pa.int64()) if n is None else pa.array(n), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary()) if sketch is None else pa.array(sketch, pa.binary())], schema=schema)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1), lower=True):
+            for block in blocks(batch.column(2), lower=True):
                 hashes, first = shingle_sets(block, size)
                 nodes = _digests(hashes, first)
                 out = batch_of(DOCUMENT, np.zeros(len(block), np.int64), nodes, np.diff(first), sketches(hashes, first))
-                yield out.set_column(1, "a", batch.column(0).slice(block.rows.start, len(block)))
+                yield out.set_column(1, "a", batch.column(0).slice(block.rows.start, len(block))).set_column(4, "row", batch.column(1).slice(block.rows.start, len(block)))
                 _, once = np.unique(nodes, return_index=True)
                 lone = np.zeros(len(block), bool)
                 lone[once] = True
@@ -202,15 +206,15 @@ def overlap_counts(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
     _, column = np.unique(flat, return_inverse=True)
     shared = (np.bincount(column) > 1)[column]
     _, column = np.unique(column[shared], return_inverse=True)
-    rows, total = rows[shared], np.zeros((len(sets), len(sets)), np.float32)
+    rows, total = rows[shared], np.zeros((len(sets), len(sets)), np.int64)
     order = np.argsort(column, kind="stable")
     rows, column = rows[order], column[order]
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
         a, b = np.searchsorted(column, [lo, lo + columns])
         part = np.zeros((len(sets), columns), np.float32)
         part[rows[a:b], column[a:b] - lo] = 1
-        total += part @ part.T
-    return total.astype(np.int64)
+        total += (part @ part.T).astype(np.int64)  # of at most `columns` ones each: exact
+    return total
 
 
 def similar_forest(sets: list[np.ndarray], percent: int, across: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -223,40 +227,67 @@ def similar_forest(sets: list[np.ndarray], percent: int, across: np.ndarray | No
     return _forest(similar)
 
 
-def _links(members: DataFrame, size: int, percent: int) -> DataFrame:
-    """members: node, gid, text, classes (size class and number of members of each). -> a, b: similar nodes."""
+def _sets(texts: DataFrame, grouped: DataFrame, size: int) -> DataFrame:
+    """node, gid, n, classes, grams (sorted shingle hashes) of the nodes of grouped, which names a row for each."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(0), lower=True):
+                hashes, first = shingle_sets(block, size)
+                rows = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                own = [c.slice(block.rows.start, len(block)) for c in batch.columns[1:]]
+                same = pa.array(own[0].to_numpy().view(np.uint64) == _digests(hashes, first))  # not a row with another text
+                yield pa.RecordBatch.from_arrays([*own, pa.array(rows, pa.binary())], [*batch.schema.names[1:], "grams"]).filter(same)
+
+    members = texts.select("row", "text").join(grouped.hint("shuffle_hash"), "row").select("text", "node", "gid", "n", "classes")
+    return members.mapInArrow(found, "node long, gid long, n long, classes array<struct<cls: int, members: int>>, grams binary")
+
+
+def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one unit after another, from batches in which they come together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        unit = batch.column(0).to_numpy()
+        for part in np.split(np.arange(len(unit)), np.flatnonzero(np.diff(unit)) + 1):
+            if len(part):
+                if held and held[0].column(0)[0].as_py() != unit[part[0]]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(part[0], len(part)))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _spread(units: DataFrame) -> DataFrame:
+    """By unit, sorted, over a fixed number of tasks: a unit is much work for few bytes, so small tasks must not be put together."""
+    return units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit").sortWithinPartitions("unit")
+
+
+def _links(sets: DataFrame, percent: int, across: bool = True) -> DataFrame:
+    """sets: as of _sets. -> a, b: similar nodes. Without `across`, of a large group each block is multiplied with itself only."""
     schema = pa.schema([("unit", pa.int64()), ("side", pa.int8()), ("node", pa.int64()), ("grams", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, gid = (batch.column(i).to_numpy() for i in (0, 1))
-            classes = batch.column(3).to_pylist()
-            for block in blocks(batch.column(2), lower=True):
-                hashes, first = shingle_sets(block, size)
-                cls = _class_of(np.diff(first), percent)
-                rows = []
-                for i in range(len(block)):
-                    at, grams = block.rows.start + i, hashes[first[i] : first[i + 1]].tobytes()
-                    for unit, side in _units(int(gid[at]), int(node[at]), int(cls[i]), {x["cls"]: x["members"] for x in classes[at]}, percent, BLOCK):
-                        rows.append((unit, side, int(node[at]), grams))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            node, gid, n = (batch.column(i).to_numpy() for i in range(3))
+            cls, classes, rows = _class_of(n, percent), batch.column(3).to_pylist(), []
+            for i in range(len(node)):
+                units = _units(int(gid[i]), int(node[i]), int(cls[i]), {x["cls"]: x["members"] for x in classes[i]}, percent, BLOCK)
+                rows += [(i, unit, side) for unit, side in (units if across else units[:1])]
+            for lo in range(0, len(rows), 64):  # a set may go to many units
+                at, unit, side = zip(*rows[lo : lo + 64], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(side, pa.int8()), *(batch.column(c).take(pa.array(at)) for c in (0, 4))], schema=schema)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema).combine_chunks()
-        unit = table["unit"].to_numpy()
-        order = np.argsort(unit, kind="stable")
-        cuts = np.flatnonzero(np.diff(unit[order])) + 1
-        nodes, sides, grams = table["node"].to_numpy(), table["side"].to_numpy(), table["grams"].combine_chunks()
-        for own in np.split(order, cuts) if len(order) else []:
-            own = own[np.unique(nodes[own], return_index=True)[1]]
-            sets = [np.frombuffer(grams[int(i)].as_buffer(), np.uint64) for i in own]
+        for table in _by_unit(batches):
+            nodes, sides = table["node"].to_numpy(), table["side"].to_numpy()
+            own = np.unique(nodes, return_index=True)[1]  # repeated rows stand for one node
+            sets = [np.frombuffer(table["grams"][int(i)].as_buffer(), np.uint64) for i in own]
             a, b = similar_forest(sets, percent, sides[own] if sides[own].max() > 0 else None)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[own][x]) for x in (a, b)], ["a", "b"])
 
-    units = members.mapInArrow(deal, "unit long, side byte, node long, grams binary")
-    return _spread(units).mapInArrow(multiply, "a long, b long")
+    return _spread(sets.mapInArrow(deal, "unit long, side byte, node long, grams binary")).mapInArrow(multiply, "a long, b long")
 
 
 def close_sketches(left: np.ndarray, right: np.ndarray, sizes_left: np.ndarray, sizes_right: np.ndarray, percent: int, tile: int = 256) -> np.ndarray:
@@ -271,11 +302,6 @@ def close_sketches(left: np.ndarray, right: np.ndarray, sizes_left: np.ndarray,
     return out
 
 
-def _spread(units: DataFrame) -> DataFrame:
-    """By unit over a fixed number of tasks: a unit is much work for few bytes, so small tasks must not be put together."""
-    return units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")
-
-
 def _drawn_apart(members: DataFrame, percent: int) -> DataFrame:
     """members: node, gid, n, sketch, classes. -> a, b: a forest that joins all pairs whose sketches are close enough."""
     schema = pa.schema([("unit", pa.int64()), ("side", pa.int8()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
@@ -291,22 +317,20 @@ def _drawn_apart(members: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema).combine_chunks()
-        unit, nodes, sides, sizes = (table[c].to_numpy() for c in ("unit", "node", "side", "n"))
-        order = np.argsort(unit, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1) if len(order) else []:
-            words = min(len(table["sketch"][int(i)].as_py()) for i in own) // 8
-            rows = np.stack([fold(table["sketch"][int(i)].as_py(), words) for i in own])
-            near = np.zeros((len(own), len(own)), bool)
-            a, b = (np.flatnonzero(sides[own] <= 0), np.flatnonzero(sides[own] != 0))
-            near[np.ix_(a, b)] = close_sketches(rows[a], rows[b], sizes[own][a], sizes[own][b], percent)
+        for table in _by_unit(batches):
+            nodes, sides, sizes = (table[c].to_numpy() for c in ("node", "side", "n"))
+            raw = table["sketch"].to_pylist()
+            words = min(map(len, raw)) // 8
+            rows = np.stack([fold(x, words) for x in raw])
+            near = np.zeros((len(nodes), len(nodes)), bool)
+            a, b = (np.flatnonzero(sides <= 0), np.flatnonzero(sides != 0))
+            near[np.ix_(a, b)] = close_sketches(rows[a], rows[b], sizes[a], sizes[b], percent)
             x, y = _forest(near | near.T)
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[own][z]) for z in (x, y)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[z]) for z in (x, y)], ["a", "b"])
 
     spread = members.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")  # a group came together by its key
-    units = spread.mapInArrow(deal, "unit long, side byte, node long, n long, sketch binary")
-    return _spread(units).mapInArrow(compare, "a long, b long")
+    return _spread(spread.mapInArrow(deal, "unit long, side byte, node long, n long, sketch binary")).mapInArrow(compare, "a long, b long")
 
 
 def _signed(*parts: int) -> int:
@@ -316,14 +340,19 @@ def _signed(*parts: int) -> int:
     return int(x.view(np.int64))
 
 
+def _block(cls: int, percent: int, most: int) -> int:
+    """How many sets of a size class are a block."""
+    return max(1, min(most, BLOCK_BYTES // (8 * int(size_classes(percent)[cls + 1]))))
+
+
 def _units(gid: int, node: int, cls: int, members: dict[int, int], percent: int, block: int, whole: bool = True) -> list[tuple[int, int]]:
     """(unit, side) for each product that this node takes part in; side -1: all pairs of the unit count.
 
     A group of at most a block is one unit if `whole`.
     """
-    if whole and sum(members.values()) <= block:
+    if whole and sum(n / _block(c, percent, block) for c, n in members.items()) <= 1:
         return [(_signed(gid), -1)]
-    part = (node * 0x9E3779B97F4A7C15 >> 32 & 0xFFFFFFFF) % -(-members[cls] // block)
+    part = (node * 0x9E3779B97F4A7C15 >> 32 & 0xFFFFFFFF) % -(-members[cls] // _block(cls, percent, block))
     return _block_units(gid, cls, part, tuple(sorted(members.items())), percent, block)
 
 
@@ -333,7 +362,7 @@ def _block_units(gid: int, cls: int, part: int, members: tuple[tuple[int, int],
     reach = lambda c: int(_class_of(np.array([100 * (size_classes(percent)[c + 1] - 1) // percent]), percent)[0])
     for c, n in members:
         if cls <= c <= reach(cls) or c <= cls <= reach(c):
-            for r in range(-(-n // block)):
+            for r in range(-(-n // _block(c, percent, block))):
                 if (c, r) != mine:
                     low, high = sorted([mine, (c, r)])
                     out.append((_signed(gid, *low, *high), int(mine == high)))
@@ -350,42 +379,81 @@ def _class_counts(grouped: DataFrame) -> DataFrame:
     return grouped.groupBy("gid", "cls").agg(F.count("*").cast("int").alias("members")).groupBy("gid").agg(F.collect_list(F.struct("cls", "members")).alias("classes"))
 
 
-def _fine_groups(groups: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """groups (node, component), those of more than BLOCK nodes drawn apart by sketches; nodes that end alone are left out."""
-    groups = checkpoint(groups)
-    large = groups.groupBy("component").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK).select("component")
+def _with_classes(grouped: DataFrame, percent: int) -> DataFrame:
+    """grouped (node, gid, n, and others) with classes."""
+    grouped = checkpoint(grouped.withColumn("cls", _class_column(F.col("n"), percent)))
+    return join_heavy(grouped, _class_counts(grouped), "gid", F.col("node"), grouped.count()).drop("cls")
+
+
+def _is_large(classes: Column, percent: int) -> Column:
+    """Whether a group is more than one block."""
+    blocks_of = F.array(*(F.lit(1 / _block(c, percent, BLOCK)) for c in range(len(size_classes(percent)) - 1)))
+    return F.aggregate(classes, F.lit(0.0), lambda s, x: s + x["members"] * F.element_at(blocks_of, x["cls"] + 1)) > 1 + 1e-9
+
+
+def _rejoin(large: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The sets of large whose nodes are in groups (node, gid, n), in these groups."""
+    return large.select("node", "grams").join(_with_classes(groups, percent).hint("shuffle_hash"), "node").select("node", "gid", "n", "classes", "grams")
+
+
+def _joined(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """a, b: forests that join all similar nodes of sets."""
+    links = checkpoint(_links(sets, percent, across=False))
+    large = sets.where(_is_large(F.col("classes"), percent))
     if large.isEmpty():
-        return groups
-    sketched = found.where((F.col("kind") == DOCUMENT) & (F.col("n") > 0)).select(F.col("b").alias("node"), "n", "sketch")
-    inside = groups.join(large, "component").join(sketched, "node").dropDuplicates(["node"]).withColumnRenamed("component", "gid")
-    inside = checkpoint(inside.withColumn("cls", _class_column(F.col("n"), percent)))
-    members = inside.join(_class_counts(inside), "gid").select("node", "gid", "n", "sketch", "classes")
-    fine = connected_components(_drawn_apart(members, percent))
-    return groups.join(large, "component", "left_anti").select("node", "component").unionByName(fine)
+        return links
+    members = checkpoint(large.select("node", "gid", "n").dropDuplicates(["node"]))
+    place = lambda edges: members.join(connected_components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = checkpoint(place(links).where("node = component").select("node", "gid", "n"))
+    links = checkpoint(links.unionByName(_links(_rejoin(large, least, percent), percent, across=False)))
+    placed = checkpoint(place(links))
+    apart = placed.groupBy("gid").agg((F.min("component") != F.max("component")).alias("apart")).where("apart")
+    if apart.isEmpty():
+        return links
+    left = join_heavy(members, apart, "gid", F.col("node"), members.count()).where("apart").select("node", "gid", "n")
+    sketched = found.where((F.col("kind") == DOCUMENT) & (F.col("n") > 0)).select(F.col("b").alias("node"), "sketch").dropDuplicates(["node"])
+    close = connected_components(_drawn_apart(_with_classes(left, percent).join(sketched, "node").select("node", "gid", "n", "sketch", "classes"), percent))
+    fine = close.join(members.select("node", "n"), "node").select("node", F.col("component").alias("gid"), "n")
+    return links.unionByName(_links(_rejoin(large, fine, percent), percent))
+
+
+def _placed(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """doc, row (a digest of id and text), n, component (null without words), least and first (least id and first row key of the component)."""
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).select("doc", F.xxhash64("doc", "text").alias("row"), "text")
+    found = checkpoint(_candidates(texts, size, percent))
+    info = found.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("doc"), F.col("b").alias("node"), "n", "row")
+    groups = connected_components(found.where(F.col("kind") == LINK).select("a", "b")).withColumnRenamed("component", "gid")
+    nodes = info.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"))
+    sets = checkpoint(_sets(texts, _with_classes(groups.join(nodes, "node"), percent), size))
+    similar = connected_components(_joined(sets, found, percent))
+    placed = checkpoint(info.join(similar, "node", "left").select("doc", "row", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component")))
+    first = placed.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("x")).select("component", F.col("x.doc").alias("least"), F.col("x.row").alias("first"))
+    return join_heavy(placed, first, "component", F.col("row"), placed.count())
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable by links), one row for each row of docs.
 
     Sets of `size`-word shingles of the text with A-Z lower-cased are linked from a similarity of `percent` on.
-    Null and empty texts are linked with nothing. Rows of one id count as one document where links are followed;
-    a null id stays null and gives no component. Node keys are 64-bit digests of whole sets.
+    Null and empty texts are linked with nothing. Rows are linked by their texts alone: rows that repeat an id with
+    other texts, or have none, lose no link; where no row of a component has an id, component_id is null. No rows give
+    no rows. Node keys are 64-bit digests of whole sets.
     """
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    found = checkpoint(_candidates(texts, size, percent))
-    info = found.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("doc"), F.col("b").alias("node"), "n")
-    groups = _fine_groups(connected_components(found.where(F.col("kind") == LINK).select("a", "b")), found, percent)
-    nodes = info.where("n > 0 and doc is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.min("n").alias("n"))
-    grouped = checkpoint(groups.join(nodes, "node").select("node", F.col("component").alias("gid"), "doc", _class_column(F.col("n"), percent).alias("cls")))
-    counts = _class_counts(grouped)
-    members = texts.join(grouped.join(counts, "gid").select("node", "gid", "doc", "classes").hint("shuffle_hash"), "doc")
-    similar = connected_components(_links(members.select("node", "gid", "text", "classes"), size, percent))
-    placed = checkpoint(info.join(similar, "node", "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component")))
-    least = placed.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"))
-    return placed.join(least, "component", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
+    placed = _placed(docs, size, percent, doc_id, text)
+    return placed.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that are the first of their group of near-duplicates; rows without an id stay."""
-    later = near_duplicates(docs, size, percent, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__later")).distinct()
-    return docs.join(later.hint("shuffle_hash"), F.col(doc_id).cast("long") == F.col("__later"), "left_anti")
+    """One row, all columns, of each group of near-duplicates: that of the least id, one without an id if there is no other.
+
+    Rows without words stay. Of rows with equal id and text, any one stays.
+    """
+    placed = checkpoint(_placed(docs, size, percent, doc_id, text))
+    later = placed.where("component is not null and row <> first").select(F.col("row").alias("__later"), F.col("doc").alias("__doc")).distinct()
+    key = F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
+    kept = docs.join(later.hint("shuffle_hash"), (key == F.col("__later")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__doc")), "left_anti")
+    if placed.where("row = first").groupBy("row").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        return kept
+    repeated = placed.where("row = first").groupBy("row").agg(F.count("*").alias("k")).where("k > 1").select(F.col("row").alias("__row"))
+    once = kept.join(repeated.hint("shuffle_hash"), key == F.col("__row"), "left").withColumn("__key", key)
+    return once.where("__row is null").select(*docs.columns).unionByName(once.where("__row is not null").dropDuplicates(["__key"]).select(*docs.columns))
