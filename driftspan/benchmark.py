@@ -46,6 +46,17 @@ def trials(spark: SparkSession, method: str, name: str, n: int = 300, count: int
     return out.select(F.col("feature").alias("trial"), "drift", "score")
 
 
+def summaries(spark: SparkSession, method: str, n: int = 300, count: int = 25, seed: int = 42) -> list[dict]:
+    """A row for each scenario of the method's kind: drift_rate, avg_score and avg_latency_ms of a trial, its share of one job's time."""
+    rows = []
+    for name in CATEGORICAL if method in ("chi2", "tvd") else NUMERIC:
+        began = time.monotonic()
+        found = trials(spark, method, name, n, count, seed).collect()
+        took = 1000 * (time.monotonic() - began) / len(found)
+        rows.append({"method": method, "scenario": name, "drift_rate": sum(r["drift"] for r in found) / len(found), "avg_score": sum(r["score"] for r in found) / len(found), "avg_latency_ms": round(took, 3)})
+    return rows
+
+
 def massive_psi(spark: SparkSession, rows: int = 100_000_000, bins: int = 10, sample: int = 50_000, parts: int | None = None) -> dict:
     """PSI of N(0.35, 1) against N(0, 1) with `rows` generated rows a side: seconds, rows a second, and the gap to a sample's PSI.
 

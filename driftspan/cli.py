@@ -1,6 +1,7 @@
 """Command line: python -m driftspan.cli check | report | benchmark."""
 
 import argparse
+import csv
 import json
 import sys
 
@@ -29,12 +30,13 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--output")
         p.add_argument("--fail-on-drift", action="store_true")
         p.add_argument("--config")
-        for key in ("method", "threshold", "correction", "alpha", "bins", "strategy", "ensemble_methods", "vote_mode", "min_votes", "stack_threshold"):
+        for key in ("method", "threshold", "correction", "alpha", "bins", "strategy", "n_permutations", "ensemble_methods", "vote_mode", "min_votes", "stack_threshold"):
             p.add_argument(f"--{key.replace('_', '-')}", default=None)
     p = commands.add_parser("benchmark")
     p.add_argument("--methods", default="ks,psi")
     p.add_argument("--trials", type=int, default=5)
     p.add_argument("--size", type=int, default=300)
+    p.add_argument("--format", choices=("json", "csv"), default="json")
     return parser
 
 
@@ -44,10 +46,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("driftspan").getOrCreate()
     try:
         if args.command == "benchmark":
-            for method in args.methods.split(","):
-                for name in benchmark.NUMERIC:
-                    rows = benchmark.trials(spark, method, name, args.size, args.trials).collect()
-                    print(json.dumps({"method": method, "scenario": name, "drift_rate": sum(r["drift"] for r in rows) / len(rows)}))
+            rows = [row for method in args.methods.split(",") for row in benchmark.summaries(spark, method, args.size, args.trials)]
+            if args.format == "csv":
+                out = csv.DictWriter(sys.stdout, list(rows[0]))
+                out.writeheader()
+                out.writerows(rows)
+            else:
+                print("\n".join(map(json.dumps, rows)))
             return 0
         name, at, version = args.baseline.partition("@")
         reference = BaselineStore(spark, args.store).load(name, version) if at else read_table(spark, args.baseline)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from driftspan.errors import NotEnoughDataError, ValidationError, require
 from driftspan.operators.detectors import Ensemble, Univariate, datetime_drift
-from driftspan.operators.multivariate import bootstrap_psi, classifier_test, two_sample_test, wasserstein_test
+from driftspan.operators.multivariate import bootstrap, classifier_test, two_sample_test, wasserstein_test
 
 # Methods, and the least rows a side that they are recommended for.
 RECOMMENDED = {"psi": 100, "js": 100, "ks": 20, "cvm": 20, "chi2cat": 50, "tvdcat": 50, "mmd": 50, "energy": 50, "c2st": 100, "wasserstein": 50, "datetime": 20}
@@ -62,19 +62,32 @@ class Unified:
         m = self.method
         if m in COLUMNWISE:
             rows = Univariate(COLUMNWISE[m], self.alpha, self.threshold, self.bins, "none", self.strategy, columns=columns).fit(reference).detect_features(current)
-            if m == "psi" and self.bootstrap_samples:
-                spans = [bootstrap_psi(reference, current, c, self.bootstrap_samples, bins=self.bins, seed=self.random_state).withColumn("feature", F.lit(c)) for c in columns]
-                rows = rows.join(reduce(DataFrame.unionByName, spans), "feature")
-            return rows
-        if m == "datetime":
-            found = datetime_drift(reference, current, columns[0], self.threshold or 0.2).select("drift", "score", "threshold", F.lit(None).cast("double").alias("p_value"), F.col("score").alias("statistic"))
-        elif m == "wasserstein":
-            found = wasserstein_test(reference, current, columns[0], self.n_permutations, self.alpha, self.random_state).withColumn("score", F.col("statistic"))
-        elif m == "c2st":
-            found = classifier_test(reference, current, columns, min(self.n_permutations, 50), self.alpha, seed=self.random_state).withColumn("score", F.col("statistic"))
+            return self._with_intervals(rows, reference, current, columns) if m in ("psi", "js") else rows
+        if m in ("datetime", "wasserstein"):  # of one column each
+            rows = reduce(DataFrame.unionByName, [self._one(reference, current, c) for c in columns])
+            return self._with_intervals(rows, reference, current, columns) if m == "wasserstein" else rows
+        if m == "c2st":
+            found = classifier_test(reference, current, columns, self.n_permutations, self.alpha, seed=self.random_state).withColumn("score", F.col("statistic"))
         else:
             found = two_sample_test(reference, current, m, columns, self.n_permutations, self.alpha, seed=self.random_state).withColumn("score", F.col("statistic"))
-        return found.select(F.lit(",".join(columns)).alias("feature"), F.lit(m).alias("method"), "drift", "score", "threshold", F.lit(">").alias("comparator"), "p_value", "statistic", F.col("p_value").alias("raw_p_value"))
+        return self._shown(found, ",".join(columns))
+
+    def _one(self, reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
+        if self.method == "datetime":
+            found = datetime_drift(reference, current, column, self.threshold or 0.2).withColumns({"p_value": F.lit(None).cast("double"), "statistic": F.col("score")})
+        else:
+            found = wasserstein_test(reference, current, column, self.n_permutations, self.alpha, self.random_state).withColumn("score", F.col("statistic"))
+        return self._shown(found, column)
+
+    def _with_intervals(self, rows: DataFrame, reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
+        """rows with lo, hi and level of the bootstrap, if samples are asked for."""
+        if not self.bootstrap_samples:
+            return rows
+        spans = [bootstrap(reference, current, c, self.method, self.bootstrap_samples, bins=self.bins, seed=self.random_state).withColumn("feature", F.lit(c)) for c in columns]
+        return rows.join(reduce(DataFrame.unionByName, spans), "feature")
+
+    def _shown(self, found: DataFrame, feature: str) -> DataFrame:
+        return found.select(F.lit(feature).alias("feature"), F.lit(self.method).alias("method"), "drift", "score", "threshold", F.lit(">").alias("comparator"), "p_value", "statistic", F.col("p_value").alias("raw_p_value"))
 
 
 @dataclass
@@ -87,6 +100,7 @@ class Config:
     alpha: float = 0.05
     bins: int = 10
     strategy: str = "quantile"
+    n_permutations: int = 200
     ensemble_methods: str = "psi,ks,cvm,js"
     vote_mode: str = "majority"
     min_votes: int | None = None
@@ -97,7 +111,7 @@ class Config:
         known = {f.name: f for f in fields(cls)}
         unknown = sorted(set(values) - set(known))
         require(not unknown, f"unknown settings: {unknown}")
-        kinds = {"threshold": float, "alpha": float, "stack_threshold": float, "bins": int, "min_votes": int}
+        kinds = {"threshold": float, "alpha": float, "stack_threshold": float, "bins": int, "min_votes": int, "n_permutations": int}
         try:
             return cls(**{k: kinds.get(k, str)(v) if v is not None else None for k, v in values.items()})
         except (TypeError, ValueError) as e:
@@ -134,7 +148,10 @@ def run_check(reference: DataFrame, current: DataFrame, config: Config, columns:
     if config.method in COLUMNWISE:
         chosen = list(columns or (categorical_columns(reference) if config.method.endswith("cat") else numeric_columns(reference)))
         return Univariate(COLUMNWISE[config.method], config.alpha, config.threshold, config.bins, config.correction, config.strategy, columns=chosen).fit(reference).detect_features(current)
-    return Unified(config.method, config.alpha, config.threshold).detect(reference, current, list(columns or numeric_columns(reference)))
+    stamps = [c for c, t in reference.dtypes if t.startswith("timestamp") or t == "date"]
+    chosen = list(columns or (stamps if config.method == "datetime" else numeric_columns(reference)))
+    require(bool(chosen), f"no columns for {config.method}")
+    return Unified(config.method, config.alpha, config.threshold, config.bins, config.strategy, config.n_permutations).detect(reference, current, chosen)
 
 
 class DriftMonitor(Estimator):

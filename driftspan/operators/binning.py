@@ -6,21 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspan.errors import require
+from driftspan.operators.pairs import running_counts
 
 STRATEGIES = ("quantile", "uniform", "approx", "kll")
 
 
-def _quantiles(bins: int, strategy: str, accuracy: int) -> Column:
-    shares = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    if strategy == "quantile":
-        return F.percentile("v", shares)
-    return F.percentile_approx("v", shares, accuracy)
+def _exact_quantiles(reference: DataFrame, bins: int, by: Sequence[str]) -> DataFrame:
+    """(by..., raw): the interpolated quantiles, from running counts of the values: no task holds or sorts a whole feature.
+
+    The quantile of a share s lies at position (n - 1) s among the sorted rows, between the rows before and after it.
+    """
+    rows = running_counts(reference.select(*by, "v", "r", F.lit(0.0).alias("c")), by[:-1])
+    place = lambda i: (F.col("n") - 1) * F.lit(i / bins)
+    lower = lambda i: F.floor(place(i))
+    value = lambda i: F.when(F.ceil(place(i)) == lower(i), F.col("v")).otherwise((F.ceil(place(i)) - place(i)) * F.col("v") + (place(i) - lower(i)) * F.when(lower(i) + 1 < F.col("cr"), F.col("v")).otherwise(F.col("next")))
+    inside = lambda i: (F.col("cr") - F.col("r") <= lower(i)) & (lower(i) < F.col("cr"))
+    found = rows.select(*by, F.array_compact(F.array(*(F.when(inside(i), value(i)) for i in range(bins + 1)))).alias("found")).where("size(found) > 0")
+    return found.groupBy(*by).agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("raw"))  # bins + 1 numbers
 
 
 def bin_edges(relation: DataFrame, bins: int = 10, strategy: str = "quantile", accuracy: int = 400, keys: Sequence[str] = ()) -> DataFrame:
     """(keys..., feature, edges): increasing distinct edges from the reference rows (r = 1) of pairs().
 
-    quantile: exact, interpolated. approx, kll: sketches of bounded size, for references too large to sort.
+    quantile: exact, interpolated. approx, kll: sketches of bounded size, from one pass.
     uniform: equal widths. A constant reference has the two edges v and v + 1.
     """
     require(bins >= 1, "bins must be at least 1")
@@ -33,7 +41,8 @@ def bin_edges(relation: DataFrame, bins: int = 10, strategy: str = "quantile", a
         rows = reference.agg(F.kll_sketch_agg_double("v", F.lit(min(max(accuracy, 8), 65535))).alias("sketch"))
         raw = F.array(*(F.expr(f"kll_sketch_get_quantile_double(sketch, {i / bins}D)") for i in range(bins + 1)))
     else:
-        rows = reference.agg(_quantiles(bins, strategy, accuracy).alias("raw"))
+        shares = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
+        rows = _exact_quantiles(relation.where("r > 0"), bins, [*keys, "feature"]) if strategy == "quantile" else reference.agg(F.percentile_approx("v", shares, accuracy).alias("raw"))
         raw = F.col("raw")
     distinct = F.array_sort(F.array_distinct(raw))
     return rows.select(*keys, "feature", distinct.alias("edges")).withColumn("edges", F.when(F.size("edges") < 2, F.array(F.col("edges")[0], F.col("edges")[0] + 1)).otherwise(F.col("edges")))
@@ -46,7 +55,7 @@ def bin_of(v: Column, edges: Column) -> Column:
 
 
 def histograms(relation: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys..., feature, bin, p, q): shares of the reference and the current rows in every bin, empty ones too.
+    """(keys..., feature, bin, p, q, n, m): shares of the reference and the current rows in every bin, empty ones too, and both sizes.
 
     edges has a row for each feature (and cohort); one aggregation over the data, no sort.
     """
@@ -56,13 +65,18 @@ def histograms(relation: DataFrame, edges: DataFrame, keys: Sequence[str] = ())
     filled = spine.join(counted, [*by, "bin"], "left").na.fill(0.0, ["r", "c"])
     whole = Window.partitionBy(*by)
     share = lambda x: F.col(x) / F.greatest(F.sum(x).over(whole), F.lit(1.0))
-    return filled.select(*by, "bin", share("r").alias("p"), share("c").alias("q"))
+    return filled.select(*by, "bin", share("r").alias("p"), share("c").alias("q"), F.sum("r").over(whole).alias("n"), F.sum("c").over(whole).alias("m"))
+
+
+def chunk_counts(chunks: DataFrame, edges: DataFrame, chunk: str) -> DataFrame:
+    """(chunk, feature, bin, r, c): counts of each chunk in fixed bins; chunks may be counted at different times."""
+    counted = chunks.join(edges, "feature").withColumn("bin", bin_of(F.col("v"), F.col("edges")))
+    return counted.groupBy(chunk, "feature", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
 
 
-def merged_histograms(chunks: DataFrame, edges: DataFrame, chunk: str) -> DataFrame:
-    """As histograms(), of a relation with a chunk column: counts by chunk first, then their sums. Counts are exact, so the result is the same."""
-    counted = chunks.join(edges, "feature").withColumn("bin", bin_of(F.col("v"), F.col("edges"))).groupBy(chunk, "feature", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    total = counted.groupBy("feature", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+def merged_histograms(counts: DataFrame, edges: DataFrame) -> DataFrame:
+    """As histograms(), from chunk_counts() of any number of chunks. Counts are exact, so the result is that of one pass."""
+    total = counts.groupBy("feature", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     spine = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
     whole = Window.partitionBy("feature")
     filled = spine.join(total, ["feature", "bin"], "left").na.fill(0.0, ["r", "c"])

@@ -6,6 +6,7 @@ with a p-value report the adjusted p-value as their score and drift below alpha;
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from driftspan.operators.pairs import numeric_columns, pairs
 P_METHODS, CATEGORICAL = ("ks", "cvm", "chi2"), ("chi2", "tvd")
 # Default thresholds, and least recommended sample sizes by method.
 THRESHOLDS = {"psi": 0.2, "js": 0.1, "tvd": 0.1}
+FAMILIES = (CATEGORICAL, ("psi", "js"), ("ks", "cvm", "wasserstein", "energy"))
 RESULT = ("feature", "method", "drift", "score", "threshold", "comparator", "p_value", "statistic", "raw_p_value")
 
 
@@ -34,8 +36,7 @@ def statistics(reference: DataFrame, current: DataFrame, method: str, columns: S
         p = F.when(F.col("df") < 1, 1.0).otherwise(chi2_p(F.col("statistic"), F.col("df"))) if method == "chi2" else none
         return rows.select(*by, F.col("statistic" if method == "chi2" else "tvd").alias("statistic"), p.alias("raw_p_value"), "n", "m")
     if method in ("psi", "js"):
-        sizes = relation.groupBy(*by).agg(F.sum("r").alias("n"), F.sum("c").alias("m"))
-        return binned(relation, bins, strategy, keys).join(sizes, by).select(*by, F.col(method).alias("statistic"), none.alias("raw_p_value"), "n", "m")
+        return binned(relation, bins, strategy, keys).select(*by, F.col(method).alias("statistic"), none.alias("raw_p_value"), "n", "m")
     if method not in ("ks", "cvm", "wasserstein", "energy"):
         raise ValidationError(f"unknown method {method}")
     rows = cdf_statistics(relation, keys)
@@ -44,6 +45,21 @@ def statistics(reference: DataFrame, current: DataFrame, method: str, columns: S
     return rows.select(*by, F.col(method).alias("statistic"), p.alias("raw_p_value"), "n", "m")
 
 
+def _family(reference: DataFrame, current: DataFrame, methods: Sequence[str], columns: Sequence[str] | None, p_limit: bool) -> DataFrame:
+    """(feature, method, statistic, raw_p_value) by methods of one family, from one aggregation."""
+    none = F.lit(None).cast("double")
+    relation = pairs(reference, current, columns, "string" if methods[0] in CATEGORICAL else "double")
+    size = [F.col("n"), F.col("m")]
+    if methods[0] in CATEGORICAL:
+        rows, p = chi_square(relation), {"chi2": F.when(F.col("df") < 1, 1.0).otherwise(chi2_p(F.col("statistic"), F.col("df")))}
+    elif methods[0] in ("psi", "js"):
+        rows, p = binned(relation), {}
+    else:
+        rows, p = cdf_statistics(relation), {"ks": (ks_p_limit if p_limit else ks_p)(*size, F.col("ks")), "cvm": cvm_p(*size, F.col("cvm"))}
+    values = [F.struct(F.lit(m).alias("method"), F.col("statistic" if m == "chi2" else m).alias("statistic"), p.get(m, none).alias("raw_p_value")) for m in methods]
+    return rows.select("feature", F.explode(F.array(*values)).alias("x")).select("feature", "x.*")
+
+
 def decide(rows: DataFrame, method: str, alpha: float, threshold: float | None, correction: str, keys: Sequence[str] = (), across: Sequence[str] = ()) -> DataFrame:
     """statistics() as result rows; p-values are adjusted over the features of a group `across`."""
     if method in P_METHODS:
@@ -82,11 +98,13 @@ class Univariate:
         self.reference = reference
         return self
 
-    def detect_features(self, current: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-        """Result rows by feature; with keys by cohort, corrected over the cohorts of a feature."""
+    def detect_features(self, current: DataFrame, keys: Sequence[str] = (), least: int = 0) -> DataFrame:
+        """Result rows by feature; with keys by cohort, corrected over the cohorts of a feature. Cohorts of fewer than `least` rows on a side are left out."""
         if self.reference is None:
             raise NotFittedError("fit first")
         rows = statistics(self.reference, current, self.method, self.columns, self.bins, self.strategy, keys, self.p_limit)
+        if least:
+            rows = rows.where((F.col("n") >= least) & (F.col("m") >= least))
         return decide(rows, self.method, self.alpha, self.threshold, self.correction, keys, ["feature"] if keys else [])
 
     def detect(self, current: DataFrame) -> DataFrame:
@@ -174,14 +192,21 @@ class Ensemble:
     p_limit: bool = False
 
     def results(self, reference: DataFrame, current: DataFrame) -> DataFrame:
-        """Result rows of every method and column with confidence."""
+        """Result rows of every method and column with confidence. Methods of one family share its counts."""
+        unknown = set(self.methods) - {m for family in FAMILIES for m in family}
+        require(not unknown, f"unknown methods: {sorted(unknown)}")
         parts = []
-        for method in self.methods:
-            rows = statistics(reference, current, method, self.columns, p_limit=self.p_limit)
-            parts.append(decide(rows, method, self.alpha, THRESHOLDS.get(method), self.correction))
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
+        for family in FAMILIES:
+            own = [m for m in self.methods if m in family]
+            if own:
+                parts.append(_family(reference, current, own, self.columns, self.p_limit))
+        rows = adjust(reduce(DataFrame.unionByName, parts), "raw_p_value", self.correction, "p_value", ["method"])
+        has_p = F.col("method").isin(*P_METHODS)
+        limits = F.create_map(*(x for m in self.methods if m in THRESHOLDS for x in (F.lit(m), F.lit(THRESHOLDS[m])))) if set(self.methods) & set(THRESHOLDS) else None
+        limit = F.when(has_p, F.lit(self.alpha)) if limits is None else F.when(has_p, F.lit(self.alpha)).otherwise(limits[F.col("method")])
+        score = F.when(has_p, F.col("p_value")).otherwise(F.col("statistic"))
+        rows = rows.withColumns({"threshold": limit, "score": score, "comparator": F.when(has_p, "<").otherwise(">")})
+        rows = rows.withColumn("drift", F.when(has_p, F.col("score") < F.col("threshold")).otherwise(F.col("score") > F.col("threshold"))).select(*RESULT)
         confidence = F.when(F.col("p_value").isNotNull(), 1 - F.col("p_value")).otherwise(F.col("score") / F.col("threshold"))
         return rows.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)))
 
@@ -208,16 +233,21 @@ def combine(results: DataFrame, mode: str = "majority") -> DataFrame:
 
 
 def datetime_drift(reference: DataFrame, current: DataFrame, column: str, threshold: float = 0.2, cadence_weight: float = 0.6, hour_weight: float = 0.4) -> DataFrame:
-    """cadence_score, hour_score, score, threshold, drift of arrival gaps and hours of the day; invalid stamps are left out.
+    """cadence_score, hour_score, score, threshold, drift of arrival gaps and hours of the day; invalid stamps are left out, and a side
+    without valid ones is an error.
 
-    Gaps need one order of all stamps of a side: equal stamps are counted first and make gaps of zero, so the sorted
-    relation holds distinct stamps only.
+    Equal stamps are counted first and make gaps of zero; distinct stamps are sorted by day, and a day's first gap
+    reaches back to the last stamp of the day with stamps before.
     """
     require(threshold > 0 and cadence_weight >= 0 and hour_weight >= 0 and cadence_weight + hour_weight > 0, "weights and threshold must be positive")
-    stamps = [df.select(F.try_to_timestamp(F.col(column).cast("string")).alias("t")).where("t is not null").groupBy("t").agg(F.count("*").alias("k")).withColumn("side", F.lit(s)) for s, df in enumerate((reference, current))]
-    both = stamps[0].unionByName(stamps[1])
-    order = Window.partitionBy("side").orderBy("t")
-    gaps = both.withColumn("gap", (F.unix_micros("t") - F.unix_micros(F.lag("t").over(order))) / 1e6)
+    stamps = [df.select(F.try_to_timestamp(F.col(column).cast("string")).alias("t")).where("t is not null") for df in (reference, current)]
+    for side, name in zip(stamps, ("reference", "current"), strict=True):
+        require(not side.isEmpty(), f"no valid timestamps on the {name} side")
+    both = stamps[0].withColumn("side", F.lit(0)).unionByName(stamps[1].withColumn("side", F.lit(1))).groupBy("side", "t").agg(F.count("*").alias("k")).withColumn("day", F.to_date("t"))
+    ends = both.groupBy("side", "day").agg(F.max("t").alias("end"))
+    ends = ends.select("side", "day", F.lag("end").over(Window.partitionBy("side").orderBy("day")).alias("carried"))  # a row a day
+    before = F.coalesce(F.lag("t").over(Window.partitionBy("side", "day").orderBy("t")), "carried")
+    gaps = both.join(ends, ["side", "day"]).withColumn("gap", (F.unix_micros("t") - F.unix_micros(before)) / 1e6)
     gaps = gaps.select("side", F.explode(F.array(F.struct("gap", F.lit(1).cast("long").alias("w")), F.struct(F.lit(0.0).alias("gap"), (F.col("k") - 1).alias("w")))).alias("g")).select("side", "g.*").where("gap is not null and w > 0")
     middle = gaps.where("side = 0").agg(F.coalesce(F.percentile("gap", F.lit(0.5), F.col("w")), F.lit(0.0)).alias("ref"))
     away = gaps.where("side = 1").crossJoin(F.broadcast(middle)).agg(F.percentile(F.abs(F.col("gap") - F.col("ref")), F.lit(0.5), F.col("w")).alias("away"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftspan.errors import require
 from driftspan.operators.binning import bin_edges, histograms
-from driftspan.operators.pairs import value_counts
+from driftspan.operators.pairs import SLICES, running_counts, value_counts
 
 TINY = 1e-12
 
@@ -26,21 +26,22 @@ def _clipped(df: DataFrame, by: Sequence[str], columns: Sequence[str], epsilon:
     return df.withColumns({c: F.col(c) / F.sum(c).over(whole) for c in columns})
 
 
-def divergences(shares: DataFrame, by: Sequence[str] = ("feature",), epsilon: float = TINY) -> DataFrame:
-    """(by..., kl_pq, kl_qp, js in nats, js_distance with base 2, tvd) of columns p and q, one row each bin or category."""
-    clipped = _clipped(shares, by, ["p", "q"], epsilon).withColumn("m", (F.col("p") + F.col("q")) / 2)
+def divergences(shares: DataFrame, by: Sequence[str] = ("feature",), epsilon: float = TINY, psi_epsilon: float | None = None) -> DataFrame:
+    """(by..., kl_pq, kl_qp, js in nats, js_distance with base 2, tvd) of columns p and q, one row each bin or category; given an epsilon for it, psi too, and the sizes n and m that shares carry."""
+    raw = shares.withColumns({"__p": F.col("p"), "__q": F.col("q")})
+    clipped = _clipped(raw, by, ["p", "q"], epsilon).withColumn("mid", (F.col("p") + F.col("q")) / 2)
     kl = lambda a, b: F.sum(F.col(a) * F.ln(F.col(a) / F.col(b)))
-    js = (kl("p", "m") + kl("q", "m")) / 2
-    rows = clipped.groupBy(*by).agg(kl("p", "q").alias("kl_pq"), kl("q", "p").alias("kl_qp"), F.greatest(js, F.lit(0.0)).alias("js"), (F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("tvd"))
+    js = (kl("p", "mid") + kl("q", "mid")) / 2
+    psi = [] if psi_epsilon is None else [psi_of(F.col("__p"), F.col("__q"), psi_epsilon).alias("psi"), F.max("n").alias("n"), F.max("m").alias("m")]
+    rows = clipped.groupBy(*by).agg(kl("p", "q").alias("kl_pq"), kl("q", "p").alias("kl_qp"), F.greatest(js, F.lit(0.0)).alias("js"), (F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("tvd"), *psi)
     return rows.withColumn("js_distance", F.sqrt(F.col("js") / F.ln(F.lit(2.0))))
 
 
 def binned(relation: DataFrame, bins: int = 10, strategy: str = "quantile", keys: Sequence[str] = (), epsilon: float = 1e-6) -> DataFrame:
-    """(keys..., feature, psi, js)"""
+    """(keys..., feature, psi, js, n, m), all from one histogram."""
     by = [*keys, "feature"]
     shares = histograms(relation, bin_edges(relation, bins, strategy, keys=keys), keys)
-    psi = shares.groupBy(*by).agg(psi_of(F.col("p"), F.col("q"), epsilon).alias("psi"))
-    return psi.join(divergences(shares, by).select(*by, "js"), by)
+    return divergences(shares, by, psi_epsilon=epsilon).select(*by, "psi", "js", "n", "m")
 
 
 def category_shares(relation: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -60,38 +61,13 @@ def chi_square(relation: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return grouped.withColumn("statistic", F.when(F.col("df") < 1, 0.0).otherwise(F.col("statistic")))
 
 
-def running_counts(relation: DataFrame, keys: Sequence[str] = (), slices: int = 1) -> DataFrame:
-    """value_counts with cr, cc (counts up to and with v), n, m (totals) and next (the next larger value, or null).
-
-    With slices > 1 the values of a feature are cut at approximate quantiles, added up within slices and moved by the
-    totals of the slices before: no task sorts a whole feature. The result is the same.
-    """
-    by = [*keys, "feature"]
-    counts = value_counts(relation, keys)
-    order = Window.partitionBy(*by).orderBy("v")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    if slices <= 1:
-        return counts.withColumns({"cr": F.sum("r").over(upto), "cc": F.sum("c").over(upto), "n": F.sum("r").over(whole), "m": F.sum("c").over(whole), "next": F.lead("v").over(order)})
-    cuts = counts.groupBy(*by).agg(F.percentile_approx("v", F.array(*(F.lit(i / slices) for i in range(1, slices))), 1000).alias("cuts"))
-    sliced = counts.join(cuts, by).withColumn("slice", F.size(F.filter("cuts", lambda x: F.col("v") >= x))).drop("cuts")
-    totals = sliced.groupBy(*by, "slice").agg(F.sum("r").alias("sr"), F.sum("c").alias("sc"), F.min("v").alias("first"))
-    by_slice = Window.partitionBy(*by).orderBy("slice")
-    before = by_slice.rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumns({"br": F.coalesce(F.sum("sr").over(before), F.lit(0.0)), "bc": F.coalesce(F.sum("sc").over(before), F.lit(0.0)), "n": F.sum("sr").over(whole), "m": F.sum("sc").over(whole), "after": F.lead("first").over(by_slice)})
-    inner = Window.partitionBy(*by, "slice").orderBy("v")
-    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
-    rows = sliced.withColumns({"cr": F.sum("r").over(upto), "cc": F.sum("c").over(upto), "next": F.lead("v").over(inner)}).join(totals, [*by, "slice"])
-    return rows.withColumns({"cr": F.col("cr") + F.col("br"), "cc": F.col("cc") + F.col("bc"), "next": F.coalesce("next", "after")}).select(*by, "v", "r", "c", "cr", "cc", "n", "m", "next")
-
-
 def _rank_part(count: Column, before: Column, rank: Column) -> Column:
     """Sum of (rank - before - j)^2 for j from 1 to count."""
     a = rank - before
     return count * a * a - a * count * (count + 1) + count * (count + 1) * (2 * count + 1) / 6
 
 
-def cdf_statistics(relation: DataFrame, keys: Sequence[str] = (), slices: int = 1) -> DataFrame:
+def cdf_statistics(relation: DataFrame, keys: Sequence[str] = (), slices: int = SLICES) -> DataFrame:
     """(keys..., feature, n, m, ks, wasserstein, energy, cvm): all from one pass over the pooled distribution.
 
     energy is the energy distance of one-dimensional samples, twice the integral of the squared gap; cvm the

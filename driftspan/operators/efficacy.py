@@ -23,8 +23,9 @@ def _count_encoded(df: DataFrame, columns: Sequence[str], counts: dict[str, Data
 def evaluate(reference: DataFrame, current: DataFrame, target: str, categorical: Sequence[str], numeric: Sequence[str], test: DataFrame | None = None, one_hot_cutoff: int = 5, train_share: float = 0.7, seed: int = 42, trees: int = 20) -> DataFrame:
     """(trained_on, metric, value) of a random forest trained on either sample.
 
-    Categories of at most one_hot_cutoff values are one-hot encoded, others counted. Without a test set, the rows of the
-    reference that a seeded hash holds out are it. Numbers as target: rmse, mae, r2, explained variance, mape.
+    Categories of at most one_hot_cutoff values are one-hot encoded, others counted. Without a test set, rows of the
+    current side that a seeded hash holds out are it; all reference rows train. Rows with nulls take no part, in a
+    given test set neither. Numbers as target: rmse, mae, r2, explained variance, mape.
     """
     require(target in [*categorical, *numeric] and 0 < train_share < 1, "target must be a listed column, train_share between 0 and 1")
     features = [c for c in numeric if c != target]
@@ -33,7 +34,9 @@ def evaluate(reference: DataFrame, current: DataFrame, target: str, categorical:
     held = F.pmod(F.xxhash64(*used, F.lit(seed)), F.lit(1000)) >= int(1000 * train_share)
     sides = {"reference": reference.select(*used).na.drop(), "current": current.select(*used).na.drop()}
     if test is None:
-        test, sides = sides["reference"].where(held), {k: v.where(~held) for k, v in sides.items()}
+        test, sides["current"] = sides["current"].where(held), sides["current"].where(~held)
+    else:
+        test = test.select(*used).na.drop()
     union = sides["reference"].unionByName(sides["current"])
     kinds = union.agg(*(F.count_distinct(c).alias(c) for c in sorts)).first() if sorts else {}
     hot = [c for c in sorts if kinds[c] <= one_hot_cutoff]

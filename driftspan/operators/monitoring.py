@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftspan.errors import require
 from driftspan.functions.pvalues import chi2_p
 from driftspan.operators.distances import binned, chi_square
-from driftspan.operators.pairs import pairs
+from driftspan.operators.pairs import pairs, running_counts
 
 REGRESSION = ("mae", "rmse")
 CLASSIFICATION = ("accuracy", "precision", "recall", "f1", "auc")
@@ -67,11 +67,11 @@ def classification_metrics(df: DataFrame, label: str, prediction: str, keys: Seq
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """auc of labels 0 and 1, by mid-ranks of distinct scores; null where a class is missing."""
-    counts = df.groupBy(F.lit(1).alias("g"), F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, 1.0).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col(label) == 0, 1.0).otherwise(0.0)).alias("neg"))
-    below = F.sum("neg").over(Window.partitionBy("g").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    wins = F.col("pos") * (F.coalesce(below, F.lit(0.0)) + F.col("neg") / 2)
-    return counts.withColumn("w", wins).agg((F.sum("w") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
+    """auc of labels 0 and 1, by mid-ranks of distinct scores, which no task sorts as a whole; null where a class is missing."""
+    side = lambda x: F.when(F.col(label) == x, 1.0).otherwise(0.0)
+    rows = running_counts(df.select(F.lit("score").alias("feature"), F.col(score).cast("double").alias("v"), side(1).alias("r"), side(0).alias("c")))
+    wins = F.col("r") * (F.col("cc") - F.col("c") / 2)
+    return rows.agg((F.sum(wins) / F.nullif(F.max("n") * F.max("m"), F.lit(0.0))).alias("auc"))
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from driftspan.errors import NotEnoughDataError, require
 from driftspan.functions.pvalues import ks_p
-from driftspan.operators.distances import cdf_statistics, value_counts
-from driftspan.operators.pairs import numeric_columns, pairs
+from driftspan.operators.binning import bin_edges, histograms
+from driftspan.operators.distances import TINY, cdf_statistics
+from driftspan.operators.pairs import SLICES, numeric_columns, pairs, running_counts
 
 RESULT = "statistic double, p_value double, threshold double, drift boolean, n_permutations int"
 
@@ -151,47 +152,103 @@ def two_sample_test(reference: DataFrame, current: DataFrame, method: str = "mmd
     return null_test(spark, seen, spark.createDataFrame([(t,) for t in found.values()], "t double"), alpha)
 
 
-def wasserstein_test(reference: DataFrame, current: DataFrame, column: str, permutations: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Permutation test of the Wasserstein distance over all rows: distinct values keep counts, and a permutation deals each value's
-    rows to the sides by a seeded hash of the row's number within its value."""
+def _drawn_totals(sizes: np.ndarray, draw: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of `draw` rows, taken without putting back, fall to each slice. From 10**9 rows on, a slice's draw is normal with the exact mean and variance."""
+    out, left, rows = np.zeros(len(sizes), np.int64), draw, int(sizes.sum())
+    for i, size in enumerate(map(int, sizes)):
+        rest = rows - size
+        if rows < 10**9:
+            out[i] = rng.hypergeometric(size, rest, left) if left else 0
+        else:
+            spread = (left * (size / rows) * (rest / rows) * (rows - left) / (rows - 1)) ** 0.5
+            out[i] = np.clip(round(rng.normal(left * (size / rows), spread)), max(0, left - rest), min(size, left))
+        left, rows = left - out[i], rest
+    return out
+
+
+def _redrawn_wasserstein(relation: DataFrame, times: int, seed: int, replace: bool, slices: int) -> DataFrame:
+    """(id, t): Wasserstein distances of redrawn samples: rows of both dealt anew to sides of the same sizes, or, with `replace`,
+    each side's rows drawn from itself with replacement.
+
+    Values keep counts; the driver draws what falls to each slice of the values, a task what falls to each value of its slice.
+    """
+    counts = running_counts(relation, slices=slices).where("r + c > 0")
+    sizes = counts.groupBy("slice").agg(F.sum("r").alias("r"), F.sum("c").alias("c")).orderBy("slice").collect()  # `slices` rows
+    number = {r["slice"]: i for i, r in enumerate(sizes)}
+    r, c = (np.array([x[s] for x in sizes], np.int64) for s in "rc")
+    n, m = int(r.sum()), int(c.sum())
+    rngs = [np.random.default_rng([seed, i]) for i in range(times)]
+    first = np.array([g.multinomial(n, r / n) if replace else _drawn_totals(r + c, n, g) for g in rngs])
+    second = np.array([g.multinomial(m, c / m) for g in rngs]) if replace else (r + c) - first
+
+    def part(key: tuple, table: pa.Table) -> pa.Table:
+        at, table = number[key[0].as_py()], table.sort_by("v")
+        own, other, v = (table[x].to_numpy() for x in "rcv")
+        width = np.nan_to_num(table["next"].fill_null(np.nan).to_numpy() - v)
+        out = np.zeros(times)
+        for i in range(times):
+            rng, (x, y) = np.random.default_rng([seed, i, at]), (first[i, at], second[i, at])
+            if replace:
+                a, b = (rng.multinomial(k, s / s.sum()) if k else np.zeros(len(s), np.int64) for k, s in ((x, own), (y, other)))
+            else:
+                both = (own + other).astype(np.int64)
+                a = rng.multivariate_hypergeometric(both, x, method="marginals")
+                b = both - a
+            gap = np.abs((first[i, :at].sum() + np.cumsum(a)) / n - (second[i, :at].sum() + np.cumsum(b)) / m)
+            out[i] = (gap * width).sum()
+        return pa.table({"id": pa.array(np.arange(times)), "t": pa.array(out)})
+
+    return counts.select("slice", "v", "r", "c", "next").groupBy("slice").applyInArrow(part, "id long, t double").groupBy("id").agg(F.sum("t").alias("t"))
+
+
+def wasserstein_test(reference: DataFrame, current: DataFrame, column: str, permutations: int = 200, alpha: float = 0.05, seed: int = 42, slices: int = SLICES) -> DataFrame:
+    """Permutation test of the Wasserstein distance over all rows: a permutation draws how many rows of each distinct value the
+    reference gets, so both sides keep their sizes and no row is copied."""
     _check(permutations, alpha)
     relation = pairs(reference, current, [column])
     first = cdf_statistics(relation).first()
     if first is None or min(first["n"], first["m"]) < 2:
         raise NotEnoughDataError("two rows a side are needed")
-    counts = value_counts(relation)
-    share = first["n"] / (first["n"] + first["m"])
-    rows = counts.select("v", F.explode(F.sequence(F.lit(1), (F.col("r") + F.col("c")).cast("int"))).alias("k"))
-    dealt = rows.crossJoin(F.broadcast(reference.sparkSession.range(permutations)))  # rows times a fixed number of permutations
-    mine = (F.pmod(F.xxhash64("v", "k", "id", F.lit(seed)), F.lit(1 << 40)) < int(share * (1 << 40))).cast("double")
-    null = cdf_statistics(dealt.select(F.col("id").cast("string").alias("feature"), "v", mine.alias("r"), (1 - mine).alias("c"))).select(F.col("wasserstein").alias("t"))
+    null = _redrawn_wasserstein(relation, permutations, seed, False, slices).select("t")
     return null_test(reference.sparkSession, first["wasserstein"], null, alpha)
 
 
-def bootstrap_psi(reference: DataFrame, current: DataFrame, column: str, samples: int = 200, level: float = 0.95, bins: int = 10, seed: int = 42) -> DataFrame:
-    """lo, hi, level: percentile interval of PSI under resampling, by multinomial draws of the histograms (the resampled
-    counts of fixed bins are multinomial, so no row is touched again)."""
-    from driftspan.operators.binning import bin_edges, histograms
-
+def bootstrap(reference: DataFrame, current: DataFrame, column: str, method: str = "psi", samples: int = 200, level: float = 0.95, bins: int = 10, seed: int = 42, slices: int = SLICES) -> DataFrame:
+    """lo, hi, level: percentile interval of psi, js or wasserstein under resampling of both sides, by multinomial draws of the counts
+    of bins, or of distinct values; no row is touched again."""
     require(samples >= 1 and 0 < level < 1, "need at least one sample and a level between 0 and 1")
-    relation = pairs(reference, current, [column])
-    sizes = relation.agg(F.sum("r").alias("n"), F.sum("c").alias("m")).first()
-    shares = histograms(relation, bin_edges(relation, bins)).orderBy("bin").collect()  # a row a bin
-    p, q = (np.array([r[x] for r in shares]) for x in "pq")
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for i in batch["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                a, b = (rng.multinomial(int(k), s / s.sum()) / k for k, s in ((sizes["n"], p), (sizes["m"], q)))
-                a, b = (np.where(s <= 0, 1e-6, s) for s in (a, b))
-                out.append(float(((b - a) * np.log(b / a)).sum()))
-            yield pd.DataFrame({"psi": out})
-
-    drawn = reference.sparkSession.range(0, samples, 1, 4).mapInPandas(draw, "psi double")
+    require(method in ("psi", "js", "wasserstein"), "method must be psi, js or wasserstein")
+    relation, spark = pairs(reference, current, [column]), reference.sparkSession
+    if method == "wasserstein":
+        drawn = _redrawn_wasserstein(relation, samples, seed, True, slices)
+    else:
+        shares = histograms(relation, bin_edges(relation, bins)).orderBy("bin").collect()  # a row a bin
+        p, q = (np.array([r[x] for r in shares]) for x in "pq")
+        sizes = [int(shares[0][x]) for x in "nm"]
+
+        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for i in batch["id"]:
+                    rng = np.random.default_rng([seed, int(i)])
+                    a, b = (rng.multinomial(k, s / s.sum()) / k for k, s in zip(sizes, (p, q), strict=True))
+                    least = 1e-6 if method == "psi" else TINY
+                    a, b = (np.where(s <= 0, least, s) if method == "psi" else np.maximum(s, least) for s in (a, b))
+                    if method == "psi":
+                        out.append(float(((b - a) * np.log(b / a)).sum()))
+                    else:
+                        a, b = a / a.sum(), b / b.sum()
+                        out.append(float((a * np.log(2 * a / (a + b)) + b * np.log(2 * b / (a + b))).sum() / 2))
+                yield pd.DataFrame({"t": out})
+
+        drawn = spark.range(0, samples, 1, 4).mapInPandas(draw, "t double")
     tail = (1 - level) / 2
-    return drawn.agg(F.percentile("psi", F.lit(tail)).alias("lo"), F.percentile("psi", F.lit(1 - tail)).alias("hi"), F.lit(level).alias("level"))
+    return drawn.agg(F.percentile("t", F.lit(tail)).alias("lo"), F.percentile("t", F.lit(1 - tail)).alias("hi"), F.lit(level).alias("level"))
+
+
+def bootstrap_psi(reference: DataFrame, current: DataFrame, column: str, samples: int = 200, level: float = 0.95, bins: int = 10, seed: int = 42) -> DataFrame:
+    """bootstrap() of psi."""
+    return bootstrap(reference, current, column, "psi", samples, level, bins, seed)
 
 
 def _assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -209,7 +266,8 @@ def _roc_auc(scored: DataFrame) -> float | None:
 def classifier_test(reference: DataFrame, current: DataFrame, columns: Sequence[str], permutations: int = 200, alpha: float = 0.05, test_size: float = 0.3, seed: int = 42) -> DataFrame:
     """statistic (ROC-AUC of a logistic regression telling the sides apart on held-out rows), and its permutation test.
 
-    The split is stratified by a seeded hash of the row; null statistics refit on permuted labels.
+    The split is by a seeded hash of the row. Null statistics refit on labels dealt by another hash with the sides' odds, so
+    their sizes differ a little from one to the next.
     """
     _check(permutations, alpha)
     sides = [_assembled(df, columns).withColumn("label", F.lit(float(s))) for s, df in enumerate((reference, current))]

@@ -120,14 +120,15 @@ def psi_by_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {S_LINES}, {S_QUANTILES}, {S_SHARES}, {S_PSI} SELECT feature, round(psi, 6) AS psi FROM psi")
 def chunked_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
     relation = pairs(*lineitems(spark, sf_dir), LINE).withColumn("chunk", F.spark_partition_id())
-    shares = binning.merged_histograms(relation, binning.bin_edges(relation), "chunk")
+    edges = binning.bin_edges(relation)
+    shares = binning.merged_histograms(binning.chunk_counts(relation, edges, "chunk"), edges)
     return rounded(shares.groupBy("feature").agg(distances.psi_of(F.col("p"), F.col("q")).alias("psi")))
 
 
 @query(f"WITH {S_ORDERS}, {S_QUANTILES}, {S_SHARES} SELECT feature, bin::INTEGER AS bin, round(p, 6) AS p, round(q, 6) AS q FROM shares")
 def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     relation = pairs(*orders(spark, sf_dir), ["o_totalprice"])
-    return rounded(binning.histograms(relation, binning.bin_edges(relation)))
+    return rounded(binning.histograms(relation, binning.bin_edges(relation)).select("feature", "bin", "p", "q"))
 
 
 def _divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,7 +306,7 @@ _SLICE = S_CDF.replace("feature", "o_orderpriority")
 @query(f"WITH {_sql_pairs('orders', 'o_orderdate < TIMESTAMP ' + chr(39) + '1998-01-01' + chr(39), ['o_totalprice'], keys='o_orderpriority,').replace(chr(39) + 'o_totalprice' + chr(39) + ' AS feature, ', '')}, {_SLICE}, {S_KSP}, {_bh('ksp')} SELECT o_orderpriority, round(ks, 6) AS statistic, round(adj, 6) AS p_value FROM bh")
 def slice_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = orders(spark, sf_dir)
-    rows = detectors.Univariate("ks", p_limit=True, columns=["o_totalprice"]).fit(a).detect_features(b, ["o_orderpriority"])
+    rows = detectors.Univariate("ks", p_limit=True, columns=["o_totalprice"]).fit(a).detect_features(b, ["o_orderpriority"], 20)
     return rounded(rows.select("o_orderpriority", "statistic", "p_value"))
 
 
