@@ -5,15 +5,18 @@ from pyspark.sql import functions as F
 
 from driftspan.llm.cluster import checkpoint
 
-HEAVY = 1000
+HEAVY, SMALL = 1000, 100_000
 
 
 def join_heavy(rows: DataFrame, table: DataFrame, key: str, spread: Column, n: int) -> DataFrame:
     """rows (n of them, or fewer), left-joined to table, which has one row a key; no task gets all rows of a heavy key.
 
     Keys of more than one in HEAVY rows, of which there are fewer than HEAVY, are joined by broadcast, and their rows
-    and those without a key are then dealt by `spread`, of the key's type.
+    and those without a key are then dealt by `spread`, of the key's type. Up to SMALL rows, which one task could take
+    as a whole, are joined plainly.
     """
+    if n <= SMALL:
+        return rows.join(table, key, "left").select(*rows.columns, *(c for c in table.columns if c != key))
     value = table.select(F.col(key).alias("__key"), F.struct(*(c for c in table.columns if c != key)).alias("__value"))
     heavy = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).where(F.col("__n") * HEAVY > n)
     few = F.broadcast(value.join(F.broadcast(heavy.select("__key")), "__key").select(F.col("__key").alias(key), F.col("__value").alias("__few")))
@@ -41,7 +44,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before, n = None, known.count()
     while n:
         both = forest.unionByName(forest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = checkpoint(_star(both, 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct())
+        large = _star(both, 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        large = large if n <= SMALL else checkpoint(large)
         small = _star(large, n)
         small = small.select(F.explode(F.array(F.struct("b", "least"), F.struct(F.col("a").alias("b"), "least"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.least").alias("b"))
         forest = checkpoint(small.where("a <> b").distinct())

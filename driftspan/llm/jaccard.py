@@ -4,17 +4,16 @@
 2. Candidates: sizes fall into classes. In a class, similar sets differ in at most H shingles, so of more than
    H ranges of the hash space one holds the same shingles in both. A hash of each range's contents is the key.
    The emptiest ranges are spare (there are that many more than H), so a key stands for several shingles.
-3. Nodes that meet in a key are linked to its least node only; components of these links are groups.
-4. The product of a block's incidence matrix holds the overlap counts of all its pairs; it returns a spanning forest of
-   the similar ones, not the pairs. A group of at most a block is one product. A larger group is first cut into blocks
-   by size class, each multiplied with itself, and then the nodes that stand for the found components are multiplied
-   with each other: a group of near copies is joined by now, with each set sent twice at most.
-5. Large groups that are still apart, chained by passages that many documents share, are drawn apart by parity sketches:
-   two sketches differ in no more bits than their sets differ in shingles, so pairs whose sketches differ by more are never
-   similar. What is left is multiplied block by block; blocks whose sizes rule the threshold out are never paired.
-6. Components of all forests are the result.
-
-Blocks are bounded in sets and in bytes.
+3. Nodes that meet in a key are linked to its least node only; components of these links are groups. Large groups,
+   chained by passages that many documents share, are drawn apart by parity sketches: two sketches differ in
+   no more bits than their sets differ in shingles, so pairs whose sketches differ by more are never similar.
+4. Groups are cut into blocks, bounded in sets and in bytes, by size class. The product of two blocks' incidence matrices
+   holds all overlap counts; blocks whose sizes rule the threshold out are never paired. A product returns
+   a spanning forest of its similar pairs, not the pairs.
+5. Components of the forests are the result.
+
+Within a large group work grows with the square of its different sets: each sketch meets all others of its sizes once, a
+sketch in N / SKETCH_BLOCK units, and each set of what stays together is in N / BLOCK units. Equal sets are one node.
 """
 
 from collections.abc import Iterator
@@ -263,8 +262,8 @@ def _spread(units: DataFrame) -> DataFrame:
     return units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit").sortWithinPartitions("unit")
 
 
-def _links(sets: DataFrame, percent: int, across: bool = True) -> DataFrame:
-    """sets: as of _sets. -> a, b: similar nodes. Without `across`, of a large group each block is multiplied with itself only."""
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """sets: as of _sets. -> a, b: a forest that joins all similar nodes of each group."""
     schema = pa.schema([("unit", pa.int64()), ("side", pa.int8()), ("node", pa.int64()), ("grams", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +272,7 @@ def _links(sets: DataFrame, percent: int, across: bool = True) -> DataFrame:
             cls, classes, rows = _class_of(n, percent), batch.column(3).to_pylist(), []
             for i in range(len(node)):
                 units = _units(int(gid[i]), int(node[i]), int(cls[i]), {x["cls"]: x["members"] for x in classes[i]}, percent, BLOCK)
-                rows += [(i, unit, side) for unit, side in (units if across else units[:1])]
+                rows += [(i, unit, side) for unit, side in units]
             for lo in range(0, len(rows), 64):  # a set may go to many units
                 at, unit, side = zip(*rows[lo : lo + 64], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(side, pa.int8()), *(batch.column(c).take(pa.array(at)) for c in (0, 4))], schema=schema)
@@ -391,30 +390,18 @@ def _is_large(classes: Column, percent: int) -> Column:
     return F.aggregate(classes, F.lit(0.0), lambda s, x: s + x["members"] * F.element_at(blocks_of, x["cls"] + 1)) > 1 + 1e-9
 
 
-def _rejoin(large: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """The sets of large whose nodes are in groups (node, gid, n), in these groups."""
-    return large.select("node", "grams").join(_with_classes(groups, percent).hint("shuffle_hash"), "node").select("node", "gid", "n", "classes", "grams")
-
-
 def _joined(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """a, b: forests that join all similar nodes of sets."""
-    links = checkpoint(_links(sets, percent, across=False))
-    large = sets.where(_is_large(F.col("classes"), percent))
+    is_large = _is_large(F.col("classes"), percent)
+    large = sets.where(is_large)
     if large.isEmpty():
-        return links
+        return _links(sets, percent)
     members = checkpoint(large.select("node", "gid", "n").dropDuplicates(["node"]))
-    place = lambda edges: members.join(connected_components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = checkpoint(place(links).where("node = component").select("node", "gid", "n"))
-    links = checkpoint(links.unionByName(_links(_rejoin(large, least, percent), percent, across=False)))
-    placed = checkpoint(place(links))
-    apart = placed.groupBy("gid").agg((F.min("component") != F.max("component")).alias("apart")).where("apart")
-    if apart.isEmpty():
-        return links
-    left = join_heavy(members, apart, "gid", F.col("node"), members.count()).where("apart").select("node", "gid", "n")
     sketched = found.where((F.col("kind") == DOCUMENT) & (F.col("n") > 0)).select(F.col("b").alias("node"), "sketch").dropDuplicates(["node"])
-    close = connected_components(_drawn_apart(_with_classes(left, percent).join(sketched, "node").select("node", "gid", "n", "sketch", "classes"), percent))
+    close = connected_components(_drawn_apart(_with_classes(members, percent).join(sketched, "node").select("node", "gid", "n", "sketch", "classes"), percent))
     fine = close.join(members.select("node", "n"), "node").select("node", F.col("component").alias("gid"), "n")
-    return links.unionByName(_links(_rejoin(large, fine, percent), percent))
+    placed = large.select("node", "grams").join(_with_classes(fine, percent).hint("shuffle_hash"), "node").select("node", "gid", "n", "classes", "grams")
+    return _links(sets.where(~is_large).unionByName(placed), percent)
 
 
 def _placed(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:

@@ -207,3 +207,35 @@ def test_ngram_counts(docs, pairs):
     got = {(r["length"], r["ngram"]): r["n"] for r in lm.ngram_counts(docs).collect()}
     expected = Counter((n, " ".join(g)) for _, t in pairs for n in (1, 2, 3) for g in brute.ngrams(brute.words(brute.lower(t)), n))
     assert got == expected
+
+
+def test_rows_that_repeat_an_id_lose_no_link(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(10_000)}" for _ in range(80))
+    rows, groups = [], []
+    for i in range(10):
+        near = text()
+        groups.append((2 * i + 1, 2 * i + 2))
+        rows += [(2 * i + 1, text()), (2 * i + 1, near), (2 * i + 2, near + " end"), (2 * i + 2, near + " end")]
+    rows += [(None, rows[0][1]), (None, rows[0][1] + " more"), (None, "of its own " + text()), (7, "")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, node long")
+    got = jaccard.near_duplicates(df)
+    assert got.count() == len(rows)
+    found = {(r["doc_id"], r["component_id"]) for r in got.collect()}
+    assert all((b, a) in found for a, b in groups) and (None, 1) in found and (None, None) in found
+    kept = sorted((r["node"] for r in jaccard.keep_one(df).collect()))
+    firsts = {0, 1, *(4 * i + k for i in range(1, 10) for k in (0, 1)), 42, 43}
+    assert set(kept) == firsts
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_heavy_keys(spark, monkeypatch, small):
+    from driftspan.llm import components
+
+    monkeypatch.setattr(components, "SMALL", small)
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)] + [(None, -1)], "k long, v long")
+    table = spark.createDataFrame([(i, f"x{i}") for i in range(0, 2000, 2)] + [(1, "one")], "k long, name string")
+    got = {(r["k"], r["v"]): r["name"] for r in components.join_heavy(rows, table, "k", F.col("v"), 3001).collect()}
+    assert len(got) == 3001 and all(n == ("one" if k == 1 else f"x{k}" if k is not None and k % 2 == 0 and k < 2000 else None) for (k, _), n in got.items())
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(20)]
+    assert {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == brute.linked(edges)
