@@ -112,17 +112,17 @@ def _told(docs: DataFrame, path: str, doc_id: str, text: str) -> DataFrame:
     texts = _compressed(keyed, kind)
 
     def with_lists(lists: DataFrame) -> DataFrame:
-        """Always a left join of the same shape, so that one shuffle of the texts serves both."""
+        """Always a left join of the same shape, and all columns of the texts in use, so that one shuffle of the texts serves both."""
         return texts.join(lists.withColumnRenamed("key", "__key").hint("shuffle_hash"), F.col("key") == F.col("__key"), "left")
 
     def own_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_encoder(path)
         for batch in batches:
-            batch = batch.filter(batch.column(1).is_valid())
-            for at, documents in _unpacked(batch.column(0)):
+            batch = batch.filter(batch.column(2).is_valid())
+            for at, documents in _unpacked(batch.column(1)):
                 rows = []
                 for i, chunks in enumerate(documents):
-                    wanted = set(batch.column(1)[at + i].as_py())
+                    wanted = set(batch.column(2)[at + i].as_py())
                     for digest, chunk in {_digest(c): c for c in chunks}.items():
                         if digest in wanted:
                             ids = np.frombuffer(encoder.encode([chunk]), "<u4").astype(width).tobytes()
@@ -131,7 +131,7 @@ def _told(docs: DataFrame, path: str, doc_id: str, text: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["digest", "check", "ids"])
 
     owners = shared.groupBy(F.col("owner").alias("key")).agg(F.collect_list("digest").alias("wanted"))
-    table = with_lists(owners).select("data", "wanted").mapInArrow(own_chunks, "digest long, check long, ids binary").dropDuplicates(["digest"])
+    table = with_lists(owners).select("doc_id", "data", "wanted").mapInArrow(own_chunks, "digest long, check long, ids binary").dropDuplicates(["digest"])
     copies = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     salted = table.join(hot, "digest", "left").select("digest", "check", "ids", copies.alias("salt"))
     salt = F.when(F.col("hot"), F.pmod("key", F.lit(SALTS)).cast("int")).otherwise(0)
