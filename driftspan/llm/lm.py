@@ -25,7 +25,7 @@ from driftspan.llm.words import blocks, mix, text_buffers
 
 BACKOFF = 0.4
 ORDER = 3
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 KEY_BITS = 56
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _ASK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
