@@ -489,13 +489,61 @@ def category_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(distances.category_shares(pairs(*orders(spark, sf_dir), ["o_orderstatus"], "string")).select("feature", "v", "p", "q"))
 
 
-@query()
+S_CUSUM = f"""WITH RECURSIVE {_NUM.replace(" AS (", " AS MATERIALIZED (", 1)},
+run AS (
+  SELECT event_type, 0::BIGINT AS event_id, 0::BIGINT AS n, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, false AS fired FROM nm WHERE n = 1
+  UNION ALL
+  SELECT event_type, event_id, n, up, dn, greatest(up, dn) > 300 FROM (
+    SELECT nm.event_type, nm.event_id, nm.n, greatest(0.0, CASE WHEN fired THEN 0.0 ELSE up END + (x - 50) - 5) AS up, greatest(0.0, CASE WHEN fired THEN 0.0 ELSE dn END - (x - 50) - 5) AS dn
+    FROM run JOIN nm ON nm.event_type = run.event_type AND nm.n = run.n + 1))
+SELECT event_type, event_id, round(greatest(up, dn), 6) AS score FROM run WHERE fired"""
+
+S_EWMA = f"""WITH RECURSIVE {_NUM.replace(" AS (", " AS MATERIALIZED (", 1)},
+wu AS MATERIALIZED (SELECT event_type, avg(x) AS target, stddev_pop(x) AS sigma FROM nm WHERE n <= 30 GROUP BY event_type HAVING count(*) = 30),
+run AS (
+  SELECT event_type, 30::BIGINT AS n, target AS z FROM wu
+  UNION ALL
+  SELECT nm.event_type, nm.n, 0.2 * x + 0.8 * z FROM run JOIN nm ON nm.event_type = run.event_type AND nm.n = run.n + 1),
+far AS (SELECT event_type, n, abs(z - target) AS score, 3 * sigma * sqrt(0.2 / 1.8) AS lim FROM run JOIN wu USING (event_type) WHERE n > 30)
+SELECT event_type, event_id, round(coalesce(score, 0), 6) AS score, coalesce(score > lim, false) AS drift FROM nm LEFT JOIN far USING (event_type, n)"""
+
+# Daily means, each series centred, and the squared error of every stretch from a up to b.
+S_STRETCHES = """d0 AS (SELECT event_type, ts::DATE AS day, avg(value) AS mean FROM events GROUP BY ALL),
+d1 AS (SELECT event_type, mean - avg(mean) OVER (PARTITION BY event_type) AS x, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i FROM d0 WHERE mean IS NOT NULL),
+cost AS MATERIALIZED (SELECT e.event_type, s.i - 1 AS a, e.i AS b, sum(p.x * p.x) - pow(sum(p.x), 2) / count(*) AS cost FROM d1 s JOIN d1 e ON s.event_type = e.event_type AND s.i <= e.i JOIN d1 p ON p.event_type = s.event_type AND p.i BETWEEN s.i AND e.i GROUP BY ALL)"""
+
+S_BINARY = f"""WITH RECURSIVE {S_STRETCHES},
+gains AS (SELECT w.event_type, w.a, l.b AS cut, w.b, w.cost - l.cost - r.cost AS gain FROM cost w JOIN cost l ON l.event_type = w.event_type AND l.a = w.a JOIN cost r ON r.event_type = w.event_type AND r.a = l.b AND r.b = w.b WHERE l.b - w.a >= 2 AND w.b - l.b >= 2),
+best AS MATERIALIZED (SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY event_type, a, b ORDER BY gain DESC, cut) = 1),
+open AS (
+  SELECT event_type, 0::BIGINT AS a, max(b) AS b FROM cost GROUP BY event_type
+  UNION ALL
+  SELECT event_type, CASE WHEN side = 0 THEN a ELSE cut END, CASE WHEN side = 0 THEN cut ELSE b END FROM (SELECT open.event_type, open.a, open.b, cut FROM open JOIN best ON best.event_type = open.event_type AND best.a = open.a AND best.b = open.b WHERE gain > 100) CROSS JOIN (VALUES (0), (1)) AS t(side))
+SELECT event_type, cut AS change_point, round(gain, 6) AS score FROM open JOIN best USING (event_type, a, b) WHERE gain > 100"""
+
+# The least cost up to each end in turn, and where its last stretch began; then from the last end back.
+S_PELT = f"""WITH RECURSIVE {S_STRETCHES},
+ends AS MATERIALIZED (SELECT event_type, b, list(cost ORDER BY a) AS costs FROM cost GROUP BY ALL),
+run AS (
+  SELECT DISTINCT event_type, 0::BIGINT AS b, [-100.0::DOUBLE] AS best, [0::BIGINT] AS came FROM ends
+  UNION ALL
+  SELECT event_type, b, list_append(best, list_min(tried)), list_append(came, list_position(tried, list_min(tried))::BIGINT - 1) FROM (
+    SELECT ends.event_type, ends.b, best, came, list_transform(range(1, ends.b + 1), lambda j: best[j] + costs[j] + 100) AS tried FROM run JOIN ends ON ends.event_type = run.event_type AND ends.b = run.b + 1)),
+last AS MATERIALIZED (SELECT event_type, b, came FROM run QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY b DESC) = 1),
+back AS (
+  SELECT event_type, came[b + 1] AS cut, came FROM last
+  UNION ALL
+  SELECT event_type, came[cut + 1], came FROM back WHERE cut > 0)
+SELECT event_type, cut AS change_point FROM back WHERE cut > 0"""
+
+
+@query(S_CUSUM)
 def cusum_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = online.fold(table(spark, sf_dir, "events"), lambda: online.Cusum(50.0, 5.0, 300.0), "value", "event_id", "event_type")
     return rounded(rows.where("drift").select("event_type", "event_id", "score"))
 
 
-@query()
+@query(S_EWMA)
 def ewma_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = online.fold(table(spark, sf_dir, "events"), online.Ewma, "value", "event_id", "event_type")
     return rounded(rows.select("event_type", "event_id", "score", "drift"))
@@ -511,12 +559,12 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("mean"))
 
 
-@query()
+@query(S_BINARY)
 def binary_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(changepoint.by_series(_daily(spark, sf_dir), lambda x: changepoint.binary_segmentation(x, 100.0), "mean", "day", "event_type"))
 
 
-@query()
+@query(S_PELT)
 def pelt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changepoint.by_series(_daily(spark, sf_dir), lambda x: changepoint.pelt(x, 100.0), "mean", "day", "event_type").select("event_type", "change_point")
 
@@ -539,6 +587,25 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return *split(wide, F.col("vec_id") % 2 == 0), names
 
 
+S_VECTORS = """vectors AS (SELECT vec_id AS i, vec_id % 2 AS side, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings),
+apart AS (SELECT a.side AS a, b.side AS b, a.i = b.i AS same, list_distance(a.x, b.x) AS d FROM vectors a CROSS JOIN vectors b)"""
+
+
+@query(f"""WITH {S_VECTORS}, g AS (SELECT 1 / (2 * median(d * d)) AS gamma FROM apart WHERE d > 0)
+SELECT round(avg(exp(-gamma * d * d)) FILTER (a = 0 AND b = 0 AND NOT same) + avg(exp(-gamma * d * d)) FILTER (a = 1 AND b = 1 AND NOT same) - 2 * avg(exp(-gamma * d * d)) FILTER (a = 0 AND b = 1), 6) AS statistic FROM apart, g""")
+def mmd_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistic of mmd_permutation: all rows and dimensions, gamma by the median of all pairs."""
+    a, b, names = _embeddings(spark, sf_dir)
+    return rounded(multivariate.two_sample_test(a, b, "mmd", names, permutations=1).select("statistic"))
+
+
+@query(f"WITH {S_VECTORS} SELECT round(2 * avg(d) FILTER (a = 0 AND b = 1) - avg(d) FILTER (a = 0 AND b = 0) - avg(d) FILTER (a = 1 AND b = 1), 6) AS statistic FROM apart")
+def energy_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistic of energy_permutation: all rows and dimensions."""
+    a, b, names = _embeddings(spark, sf_dir)
+    return rounded(multivariate.two_sample_test(a, b, "energy", names, permutations=1).select("statistic"))
+
+
 @query()
 def mmd_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, names = _embeddings(spark, sf_dir)
@@ -569,7 +636,12 @@ def ml_efficacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(efficacy.evaluate(a, b, "o_orderstatus", ["o_orderstatus", "o_orderpriority"], ["o_totalprice", "o_custkey"], trees=5), 4)
 
 
-@query()
+# Each batch is a feature of its own, beside the whole baseline.
+S_BATCHES = """pr AS (SELECT t.i::VARCHAR AS feature, value AS v, 1.0::DOUBLE AS r, 0.0::DOUBLE AS c FROM events CROSS JOIN range(4) AS t(i) WHERE ts < TIMESTAMP '2024-01-16' AND value IS NOT NULL
+ UNION ALL SELECT (event_id % 4)::VARCHAR, value, 0.0, 1.0 FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND value IS NOT NULL)"""
+
+
+@query(f"WITH {S_BATCHES}, {S_QUANTILES}, {S_SHARES}, {S_PSI} SELECT feature::BIGINT AS \"window\", 'value' AS feature, round(psi, 6) AS score, psi > 0.2 AS drift FROM psi")
 def stream_psi_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PSI of four batches of events, replayed in order of event_id, against the first half month."""
     from uuid import uuid4

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -82,8 +82,7 @@ class StreamMonitor:
     def _judged(self, rows: DataFrame, window: int) -> DataFrame:
         if not self.adaptive_threshold or window == 0 or self.detector.threshold is None:
             return rows
-        past = self.spark.read.schema(HISTORY).parquet(*(f"{self.state}/scores/{i}" for i in range(window)))
-        quiet = past.where("not drift").withColumn("age", F.row_number().over(_newest_first())).where(F.col("age") <= self.history)
+        quiet = self._read("quiet", window - 1)
         limits = quiet.groupBy("feature").agg(F.percentile("score", F.lit(self.quantile)).alias("adapted"), F.count("*").alias("k")).where(F.col("k") >= self.min_samples)
         joined = rows.join(limits.select("feature", "adapted"), "feature", "left").withColumn("threshold", F.coalesce("adapted", "threshold")).drop("adapted")
         return joined.withColumn("drift", F.col("score") > F.col("threshold"))
@@ -94,7 +93,10 @@ class StreamMonitor:
         rows = self._judged(self.compare(df, base), window)
         found = [r.asDict() for r in rows.orderBy("feature").collect()]  # a row a column
         scores = [(window, r["feature"], r["score"], r["drift"]) for r in found]
-        self.spark.createDataFrame(scores, HISTORY).coalesce(1).write.mode("overwrite").parquet(f"{self.state}/scores/{window}")
+        own = self.spark.createDataFrame(scores, HISTORY).coalesce(1)
+        own.write.mode("overwrite").parquet(f"{self.state}/scores/{window}")
+        if self.adaptive_threshold:
+            self._remember(own, window)
         if self.baseline == "sliding":
             df.write.mode("overwrite").parquet(f"{self.state}/windows/{window}")
         elif self.baseline == "ewma":
@@ -105,6 +107,15 @@ class StreamMonitor:
                 receive(result)
         return found
 
+    def _remember(self, own: DataFrame, window: int) -> None:
+        """The last `history` quiet scores of each feature up to this window, from those up to the one before."""
+        quiet = own.where("not drift")
+        if window > 0:
+            quiet = self._read("quiet", window - 1).unionByName(quiet)
+        newest = Window.partitionBy("feature").orderBy(F.desc("window"))
+        kept = quiet.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= self.history).drop("age")
+        kept.coalesce(1).write.mode("overwrite").parquet(f"{self.state}/quiet/{window}")
+
     def _mix(self, base: DataFrame, df: DataFrame, window: int) -> DataFrame:
         size, fresh = base.count(), df.count()
         wanted = min(round(size * self.ewma_alpha), fresh) if fresh else 0
@@ -138,12 +149,6 @@ class StreamMonitor:
         return self.spark.read.schema(HISTORY).parquet(f"{self.state}/scores/*")
 
 
-def _newest_first():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("feature").orderBy(F.desc("window"))
-
-
 def online(stream: DataFrame, detector: str, value: str, order: str, key: str, **parameters) -> DataFrame:
     """(key, order, value, score, drift) of a stream by a sequential detector, its state kept by key across batches.
 
