@@ -32,13 +32,13 @@ NOISE = set("nav navbar navigation menu breadcrumb breadcrumbs masthead footer s
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*)(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 MAIN = {"article", "main"}
 NEVER_NOISE = {"html", "body", *MAIN}
 MAIN_WEIGHT = 2.0
-_MODULUS, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51  # of the hash of a sequence of blocks
+_MODULUS, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51  # of the hash of a sequence
 
 
 def _hash(text: str) -> int:
@@ -145,7 +145,7 @@ class Page:
         _, parent, dropped = self._stack[-1] if self._stack else ("", -1, False)
         above = self._elements[parent][1] if parent >= 0 else 0
         if parent >= 0:
-            self.nodes[above][1] = hash((self.nodes[above][1], _hash(tag)))  # of integers: the same on every machine
+            self.nodes[above][1] = (self.nodes[above][1] * _BASE + _hash(tag)) % _MODULUS
         if tag in VOID:
             return
         style, words, hidden = _attributes(raw) if raw else ("", set(), False)

@@ -111,3 +111,40 @@ def linked(edges):
                     out[x] = n
                     todo += near[x]
     return out
+
+
+def style_tree(pages, min_pages, least):
+    """Main text of each of a host's pages by a plain style tree. A page is (tag, class, parts), a part such a node or a text."""
+    found = []  # by page: path -> (blocks, child tags), the paths in main elements, [(path, block)]
+
+    def walk(node, above, inside, page):
+        tag, style, parts = node
+        path, inside = (*above, (tag, style)), inside or tag in ("article", "main")
+        own = page[0].setdefault(path, ([], []))
+        if inside:
+            page[1].add(path)
+        at = len(page[2])
+        for part in parts:
+            if isinstance(part, str):
+                page[2].append((path, part))
+            else:
+                own[1].append(part[0])
+                walk(part, path, inside, page)
+        own[0].extend(t for _, t in page[2][at:])
+
+    for page in pages:
+        found.append(({}, set(), []))
+        walk(page, (), False, found[-1])
+    different = list({tuple(t for _, t in f[2]): f for f in found}.values())
+    low = set()
+    for path in {p for f in different for p in f[0]}:
+        having = [f for f in different if path in f[0]]
+        weight = 2 if any(path in f[1] for f in having) else 1
+        importance = 0
+        for kind in (0, 1):
+            shares = [n / len(having) for n in Counter(tuple(f[0][path][kind]) for f in having).values()]
+            entropy = -sum(x * math.log(x) for x in shares) / math.log(len(having)) if len(having) > 1 else 1
+            importance = max(importance, min(1, weight * entropy))
+        if len(having) >= min_pages and importance < least:
+            low.add(path)
+    return ["\n".join(t for path, t in f[2] if not any(path[:k] in low for k in range(1, len(path) + 1))) for f in found]

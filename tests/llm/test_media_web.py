@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import brute
@@ -113,6 +114,42 @@ def test_tree_decides_on_pages_with_articles(spark):
     assert all(got[i] == "One story" for i in range(40, 60))
 
 
+def made_page(rng, number, article):
+    """A random page: some parts say the same on all pages, some on a few, some on one."""
+    says = lambda: rng.choice(["Always the same", "Always the same", f"One of {rng.randrange(3)}", f"Line {rng.randrange(10**6)} of {number}"])
+    part = lambda depth: ("p", "", [says()]) if depth == 0 or rng.random() < 0.4 else ("div", rng.choice("ab"), [part(depth - 1) for _ in range(rng.randrange(1, 4))])
+    fixed = ("section", "top", [("p", "", ["Same top"]), ("div", "c", [("p", "", ["More of it"])])])
+    rare = ("section", "rare", [("p", "", ["New" if number == 3 else "Old"])])  # little entropy: the weight of main elements decides
+    story = ("article" if article else "div", "story", [("p", "", [f"Story {number}"]), fixed, rare, *(part(3) for _ in range(2))])
+    return ("html", "", [("body", "", [fixed, story, rare, part(4)])])
+
+
+def written(node):
+    if isinstance(node, str):
+        return node
+    tag, style, parts = node
+    return f"<{tag} class='{style}'>{''.join(map(written, parts))}</{tag}>"
+
+
+def test_against_a_plain_style_tree(spark):
+    rng, hosts = random.Random(5), {}
+    for host, article, n in (("a.org", True, 24), ("b.org", False, 24), ("c.org", True, 7), ("d.org", False, 8)):
+        pages = [made_page(rng, i, article) for i in range(n)]
+        hosts[host] = pages + pages[:3]
+    rows = [(f"{host}-{i}", f"https://{host}/{i}", written(page)) for host, pages in hosts.items() for i, page in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    whole = {k: html.Page(h).main_text() for k, _, h in rows}
+    expected = {f"{host}-{i}": t for host, pages in hosts.items() for i, t in enumerate(brute.style_tree(pages, 8, 0.2))}
+    assert got == expected
+    assert all(got[k] == whole[k] for k in got if k.startswith("c")) and all(got[k] != whole[k] for k in got if k[0] in "ab")
+
+
+def test_a_quote_without_partner_leaks_no_markup():
+    assert html.Page('<div title="x>T</div>').main_text() == "T" and html.Page("<p>a</p><div title='x>T<p>b</p>").main_text() == "a\nT\nb"
+    assert html.Page('<p title="a>b">T</p>').main_text() == "T" and html.Page('<p title="' + "'" * 50_000).main_text() == ""
+
+
 def test_deep_elements_have_paths_of_their_own(spark):
     deep = "<div>" * 20 + "<div class='a'>Always the same</div><div class='b'>Story {0}</div>"
     got = html.extract(spark.createDataFrame([(i, "http://a.org/", deep.format(i)) for i in range(20)], "page_id long, url string, html string")).collect()
