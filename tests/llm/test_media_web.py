@@ -199,3 +199,36 @@ def test_aliases(spark):
     assert got == {1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "block", 10: "allow", None: "allow"}
     got = {r["page_id"]: r["verdict"] for r in urls.judge(df.where(F.col("page_id") < 6), RULES).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
+
+
+def test_large_alias_graphs(spark):
+    """Redirect chains, canonical cycles, a star of copies and random links, against plain components."""
+    rng, rows, links = random.Random(9), [], []
+
+    def page(url, to=None, redirect=False):
+        tag = f"<meta http-equiv=refresh content='0;url={to}'>" if redirect else f"<link rel=canonical href='{to}'>"
+        rows.append((len(rows), url, f"<head>{tag}</head>" if to else "<p>x</p>"))
+        if to:
+            links.append((url, to))
+
+    for chain, end in ((0, "http://a.net/es/x"), (1, "http://shop.com/x"), (2, "http://plain.org/end")):
+        for i in range(70):
+            page(f"http://chain{chain}.org/{i}", f"http://chain{chain}.org/{i + 1}" if i < 69 else end, redirect=i % 2 == 0)
+    for i in range(40):
+        page(f"http://ring.org/{i}", f"http://ring.org/{(i + 1) % 40}")
+    page("http://ring.org/7", "http://b.net/fr/ring")
+    for i in range(1500):
+        page(f"http://copy{i}.org/", "http://star.org/")
+    page("http://star.org/", "http://c.net/es/star")
+    for i in range(400):
+        ends = rng.choices([f"http://r{rng.randrange(900)}.org/p", f"http://r{rng.randrange(900)}.com/p", f"http://r{rng.randrange(900)}.net/es/p"], [12, 1, 1])
+        page(f"http://r{rng.randrange(900)}.org/p", ends[0])
+    page("http://alone.org/")
+    group, verdicts = brute.linked(links), {}
+    for node, root in group.items():
+        verdicts.setdefault(root, set()).add(plain_verdict(node)[3])
+    spread = {root: next((v for v in ("allow", "block") if v in own), None) for root, own in verdicts.items()}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df, RULES).collect()}
+    assert got == {i: plain_verdict(u)[3] or spread.get(group.get(u)) or "allow" for i, u, _ in rows}
+    assert sum(v == "block" for v in got.values()) > 1600 and got[0] == "block" and got[75] == "allow"
