@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftspan.llm import bpe, html, jaccard, lm, media, oracles, orc_tokens, packing, quality, substrings, urls
+from driftspan.llm import bpe, html, jaccard, lm, media, oracles, orc_tokens, packing, quality, sharding, substrings, urls
 from driftspan.llm.tokens import default_path
 
 
@@ -61,8 +61,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(_documents(spark, sf_dir), window=13)
 
 
+def op13_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes; equal texts share a shard."""
+    return sharding.shard_report(_documents(spark, sf_dir), shards=16)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_packing, op2_html_style_trees, op3_stupid_backoff, op4_url_aliases, op5_ngram_jaccard, op6_bpe_chunks, op7_substring_dedup, op8_flac_media, op9_orc_tokens, op10_quality_rules)
+    ops = (op1_packing, op2_html_style_trees, op3_stupid_backoff, op4_url_aliases, op5_ngram_jaccard, op6_bpe_chunks, op7_substring_dedup, op8_flac_media, op9_orc_tokens, op10_quality_rules, op13_minimax_shards)
     return {f.__name__: f for f in ops}
 
 
