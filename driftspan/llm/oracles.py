@@ -88,3 +88,20 @@ ow AS (SELECT r, {pick('verdict')} AS v FROM hp),
 sp AS (SELECT n, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS v FROM reach JOIN ow USING (r) GROUP BY n),
 pg AS (SELECT page_id, {host('url')} AS host, {path('url')} AS path, {key('url')} AS k FROM pages)
 SELECT page_id, host, path, {pick('text')} AS rule, coalesce({pick('verdict')}, sp.v, '{default}') AS verdict FROM pg LEFT JOIN sp ON k = n"""
+
+
+def codes(width: int = 64, parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """vec_id, code, error, label_error, codebooks_sha256, for vectors of `width` components and ids that differ"""
+    d = width // parts
+    far = " + ".join(f"(x[{i}] - c[{i}]) * (x[{i}] - c[{i}])" for i in range(1, d + 1))
+    mean = ", ".join(f"(sum(x[{i}]) - ((sum(x[{i}]) % count(*)) + count(*)) % count(*)) // count(*)" for i in range(1, d + 1))
+    steps = [f"a{r} AS (SELECT vec_id, label, p, x, min(({far}) * {entries} + e) AS m FROM pt JOIN e{r} USING (p) GROUP BY ALL)" for r in range(rounds + 1)]
+    moves = [f"e{r + 1} AS (SELECT p, e, coalesce(w, c) AS c FROM e{r} LEFT JOIN (SELECT p, m % {entries} AS e, [{mean}]::BIGINT[] AS w FROM a{r} GROUP BY ALL) USING (p, e))" for r in range(rounds)]
+    rest = ",\n".join(x for pair in zip(steps, [*moves, ""], strict=True) for x in pair if x)
+    return f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda y: floor(256 * y::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+pt AS (SELECT vec_id, label, p, v[p * {d} + 1:p * {d} + {d}] AS x FROM k, range({parts}) AS r(p)),
+e0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM pt WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {entries})),
+{rest},
+f AS (SELECT vec_id, label, string_agg(printf('%02x', (m % {entries})::INTEGER), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM e{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f, h"""
