@@ -105,3 +105,17 @@ e0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x
 f AS (SELECT vec_id, label, string_agg(printf('%02x', (m % {entries})::INTEGER), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label),
 h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM e{rounds})
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f, h"""
+
+
+def collocations(least: int = 30, top: int = 2000, cover: int = 80, scale: int = 2_000_000) -> str:
+    """lang, rank, phrase, a, l, r, n, score"""
+    grams = " UNION ALL ".join(f"SELECT lang, {k} AS k, array_to_string(ws[i:i + {k - 1}], ' ') AS phrase FROM (SELECT lang, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM w WHERE len(ws) >= {k})" for k in range(1, 5))
+    return f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+tot AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS a FROM ({grams}) GROUP BY ALL HAVING count(*) >= {least}),
+inside AS (SELECT DISTINCT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, a FROM f, range(1, 5) AS s(i), range(2, 4) AS e(j) WHERE j < k AND i + j - 1 <= k),
+covered AS (SELECT DISTINCT f.lang, f.phrase FROM f JOIN inside USING (lang, phrase) WHERE 100 * inside.a::HUGEINT >= {cover} * f.a),
+cut AS (SELECT c.lang, c.phrase, c.a, j, x.a AS l, y.a AS r, ({scale} * c.a::HUGEINT) // (x.a + y.a) AS score FROM f c, range(1, 4) AS s(j) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1:], ' ') WHERE j < c.k),
+best AS (SELECT * FROM cut ANTI JOIN covered USING (lang, phrase) QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM best JOIN tot USING (lang) QUALIFY rank <= {top}"""

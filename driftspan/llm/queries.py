@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftspan.llm import bpe, codes, html, jaccard, lm, media, oracles, orc_tokens, packing, quality, sharding, substrings, urls
+from driftspan.llm import bpe, codes, collocations, html, jaccard, lm, media, oracles, orc_tokens, packing, quality, sharding, substrings, urls
 from driftspan.llm.tokens import default_path
 
 
@@ -61,6 +61,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(_documents(spark, sf_dir), window=13)
 
 
+def op11_count_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language, of 30 occurrences or more."""
+    return collocations.collocations(_documents(spark, sf_dir), least=30, top=2000)
+
+
 def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all embeddings: 16 parts of 64 entries, two rounds."""
     return codes.code_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=16, entries=64, rounds=2)
@@ -72,7 +77,7 @@ def op13_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_packing, op2_html_style_trees, op3_stupid_backoff, op4_url_aliases, op5_ngram_jaccard, op6_bpe_chunks, op7_substring_dedup, op8_flac_media, op9_orc_tokens, op10_quality_rules, op12_delta_lloyd, op13_minimax_shards)
+    ops = (op1_packing, op2_html_style_trees, op3_stupid_backoff, op4_url_aliases, op5_ngram_jaccard, op6_bpe_chunks, op7_substring_dedup, op8_flac_media, op9_orc_tokens, op10_quality_rules, op11_count_tries, op12_delta_lloyd, op13_minimax_shards)
     return {f.__name__: f for f in ops}
 
 
@@ -83,5 +88,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_ngram_jaccard": oracles.near_duplicates(4, 85),
         "op7_substring_dedup": oracles.removal(13),
         "op10_quality_rules": oracles.quality(),
+        "op11_count_tries": oracles.collocations(least=30, top=2000),
         "op12_delta_lloyd": oracles.codes(width=64, parts=16, entries=64, rounds=2),
     }
