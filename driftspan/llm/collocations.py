@@ -30,7 +30,7 @@ from driftspan.llm.components import join_heavy
 from driftspan.llm.words import text_buffers
 
 SHARD_BYTES, CHUNK, STEP = 16 << 20, 1 << 13, 1 << 20
-PER_RANGE = 64
+PER_RANGE, RANKED = 64, 64
 DEPTH = 4
 _HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 _HARD, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
@@ -103,6 +103,8 @@ def _shards(size: int):
                 for a, b in _runs(data, offsets, size):
                     breaks = np.unique(offsets[(offsets >= a) & (offsets < b)]) - a
                     found, new = _words(data[a:b], breaks)
+                    if not len(found):
+                        continue
                     codes = found.indices.to_numpy().astype(np.uint32)
                     counts = np.bincount(codes, minlength=len(found.dictionary))
                     row = [[base + number], [lang.as_py()], None, [counts], [_squeeze(codes << np.uint32(1) | new)]]
@@ -352,6 +354,8 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, cover: int =
     covered = longer.where(F.col("x.a").cast("decimal(20,0)") * 100 >= F.col("x.of").cast("decimal(20,0)") * cover).select("x.key").distinct()
     score = F.expr(f"transform(sequence(0, size(lefts) - 1), i -> struct(cast(a as decimal(20,0)) * {scale} div (cast(lefts[i] as decimal(20,0)) + cast(rights[i] as decimal(20,0))) as score, i as k, lefts[i] as l, rights[i] as r))")
     scored = found.join(covered, "key", "left_anti").select("lang", "phrase", "a", F.array_min(score).alias("s")).select("lang", "phrase", "a", "s.l", "s.r", "s.score")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    first = scored.withColumn("rank", rank).where(F.col("rank") <= top)
+    best = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    rank = lambda *by: F.row_number().over(W.partitionBy("lang", *by).orderBy(*best))
+    few = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED))).withColumn("own", rank("part")).where(F.col("own") <= top)
+    first = few.withColumn("rank", rank()).where(F.col("rank") <= top)  # of RANKED * top rows a language at most
     return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
