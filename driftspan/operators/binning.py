@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspan.errors import require
-from driftspan.operators.pairs import running_counts
+from driftspan.operators.pairs import few, running_counts, value_counts
 
 STRATEGIES = ("quantile", "uniform", "approx", "kll")
 
 
 def _exact_quantiles(reference: DataFrame, bins: int, by: Sequence[str]) -> DataFrame:
-    """(by..., raw): the interpolated quantiles, from running counts of the values: no task holds or sorts a whole feature.
+    """(by..., raw): the interpolated quantiles, from running counts of the distinct values: no task holds or sorts a whole feature.
 
     The quantile of a share s lies at position (n - 1) s among the sorted rows, between the rows before and after it.
     """
-    rows = running_counts(reference.select(*by, "v", "r", F.lit(0.0).alias("c")), by[:-1])
+    rows = running_counts(reference, by[:-1], counted=True)
     place = lambda i: (F.col("n") - 1) * F.lit(i / bins)
     lower = lambda i: F.floor(place(i))
     value = lambda i: F.when(F.ceil(place(i)) == lower(i), F.col("v")).otherwise((F.ceil(place(i)) - place(i)) * F.col("v") + (place(i) - lower(i)) * F.when(lower(i) + 1 < F.col("cr"), F.col("v")).otherwise(F.col("next")))
@@ -25,14 +25,17 @@ def _exact_quantiles(reference: DataFrame, bins: int, by: Sequence[str]) -> Data
     return found.groupBy(*by).agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("raw"))  # bins + 1 numbers
 
 
-def bin_edges(relation: DataFrame, bins: int = 10, strategy: str = "quantile", accuracy: int = 400, keys: Sequence[str] = ()) -> DataFrame:
+def bin_edges(relation: DataFrame, bins: int = 10, strategy: str = "quantile", accuracy: int = 400, keys: Sequence[str] = (), counted: bool = False) -> DataFrame:
     """(keys..., feature, edges): increasing distinct edges from the reference rows (r = 1) of pairs().
 
+    counted: relation has a row a value, as value_counts gives it; sketches want rows.
+
     quantile: exact, interpolated. approx, kll: sketches of bounded size, from one pass.
     uniform: equal widths. A constant reference has the two edges v and v + 1.
     """
     require(bins >= 1, "bins must be at least 1")
     require(strategy in STRATEGIES, f"strategy must be one of {', '.join(STRATEGIES)}")
+    require(not counted or strategy in ("quantile", "uniform"), "sketches are of rows, not of counts")
     reference = relation.where("r > 0").groupBy(*keys, "feature")
     if strategy == "uniform":
         rows = reference.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -42,7 +45,7 @@ def bin_edges(relation: DataFrame, bins: int = 10, strategy: str = "quantile", a
         raw = F.array(*(F.expr(f"kll_sketch_get_quantile_double(sketch, {i / bins}D)") for i in range(bins + 1)))
     else:
         shares = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-        rows = _exact_quantiles(relation.where("r > 0"), bins, [*keys, "feature"]) if strategy == "quantile" else reference.agg(F.percentile_approx("v", shares, accuracy).alias("raw"))
+        rows = _exact_quantiles((relation if counted else value_counts(relation, keys)).where("r > 0"), bins, [*keys, "feature"]) if strategy == "quantile" else reference.agg(F.percentile_approx("v", shares, accuracy).alias("raw"))
         raw = F.col("raw")
     distinct = F.array_sort(F.array_distinct(raw))
     return rows.select(*keys, "feature", distinct.alias("edges")).withColumn("edges", F.when(F.size("edges") < 2, F.array(F.col("edges")[0], F.col("edges")[0] + 1)).otherwise(F.col("edges")))
@@ -57,20 +60,21 @@ def bin_of(v: Column, edges: Column) -> Column:
 def histograms(relation: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys..., feature, bin, p, q, n, m): shares of the reference and the current rows in every bin, empty ones too, and both sizes.
 
-    edges has a row for each feature (and cohort); one aggregation over the data, no sort.
+    relation has rows, or counts by value; edges a row for each feature (and cohort). One aggregation over the data, no sort.
     """
     by = [*keys, "feature"]
-    counted = relation.join(edges, by).withColumn("bin", bin_of(F.col("v"), F.col("edges"))).groupBy(*by, "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    spine = edges.select(*by, F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
-    filled = spine.join(counted, [*by, "bin"], "left").na.fill(0.0, ["r", "c"])
-    whole = Window.partitionBy(*by)
-    share = lambda x: F.col(x) / F.greatest(F.sum(x).over(whole), F.lit(1.0))
-    return filled.select(*by, "bin", share("r").alias("p"), share("c").alias("q"), F.sum("r").over(whole).alias("n"), F.sum("c").over(whole).alias("m"))
+    binned = relation.join(few(edges, keys), by).select(*by, bin_of(F.col("v"), F.col("edges")).alias("bin"), (F.size("edges") - 1).alias("bins"), "r", "c")
+    counted = binned.groupBy(*by, "bin").agg(F.max("bins").alias("bins"), F.sum("r").alias("r"), F.sum("c").alias("c"))
+    filled = F.map_from_entries(F.collect_list(F.struct("bin", F.struct("r", "c"))))
+    whole = counted.groupBy(*by).agg(F.max("bins").alias("bins"), filled.alias("found"), F.sum("r").alias("n"), F.sum("c").alias("m"))
+    rows = whole.select(*by, F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"), "found", "n", "m")
+    share = lambda x, total: F.coalesce(F.try_element_at("found", F.col("bin"))[x], F.lit(0.0)) / F.greatest(F.col(total), F.lit(1.0))
+    return rows.select(*by, "bin", share("r", "n").alias("p"), share("c", "m").alias("q"), "n", "m")
 
 
 def chunk_counts(chunks: DataFrame, edges: DataFrame, chunk: str) -> DataFrame:
     """(chunk, feature, bin, r, c): counts of each chunk in fixed bins; chunks may be counted at different times."""
-    counted = chunks.join(edges, "feature").withColumn("bin", bin_of(F.col("v"), F.col("edges")))
+    counted = chunks.join(few(edges), "feature").withColumn("bin", bin_of(F.col("v"), F.col("edges")))
     return counted.groupBy(chunk, "feature", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftspan.errors import require
 from driftspan.operators.binning import bin_edges, histograms
-from driftspan.operators.pairs import SLICES, running_counts, value_counts
+from driftspan.operators.pairs import running_counts, value_counts
 
 TINY = 1e-12
 
@@ -40,7 +40,9 @@ def divergences(shares: DataFrame, by: Sequence[str] = ("feature",), epsilon: fl
 def binned(relation: DataFrame, bins: int = 10, strategy: str = "quantile", keys: Sequence[str] = (), epsilon: float = 1e-6) -> DataFrame:
     """(keys..., feature, psi, js, n, m), all from one histogram."""
     by = [*keys, "feature"]
-    shares = histograms(relation, bin_edges(relation, bins, strategy, keys=keys), keys)
+    counted = strategy == "quantile"  # these edges come from counts by value, and the bins of the same counts
+    rows = value_counts(relation, keys) if counted else relation
+    shares = histograms(rows, bin_edges(rows, bins, strategy, keys=keys, counted=counted), keys)
     return divergences(shares, by, psi_epsilon=epsilon).select(*by, "psi", "js", "n", "m")
 
 
@@ -67,7 +69,7 @@ def _rank_part(count: Column, before: Column, rank: Column) -> Column:
     return count * a * a - a * count * (count + 1) + count * (count + 1) * (2 * count + 1) / 6
 
 
-def cdf_statistics(relation: DataFrame, keys: Sequence[str] = (), slices: int = SLICES) -> DataFrame:
+def cdf_statistics(relation: DataFrame, keys: Sequence[str] = (), slices: int | None = None) -> DataFrame:
     """(keys..., feature, n, m, ks, wasserstein, energy, cvm): all from one pass over the pooled distribution.
 
     energy is the energy distance of one-dimensional samples, twice the integral of the squared gap; cvm the

@@ -1,31 +1,33 @@
 """Multivariate two-sample tests, permutation tests and bootstrap.
 
 All-pairs statistics are quadratic and see all rows, in pairs of blocks of rows dealt over tasks; a task holds two blocks
-and the permuted labels, a byte for each row and permutation. The one-dimensional permutation test and the bootstrap work
+and makes the permuted labels of their rows. The one-dimensional permutation test and the bootstrap work
 on histograms of distinct values instead and see all rows too.
 """
 
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, GroupedData, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from driftspan.errors import NotEnoughDataError, require
 from driftspan.functions.pvalues import ks_p
 from driftspan.operators.binning import bin_edges, histograms
 from driftspan.operators.distances import TINY, cdf_statistics
-from driftspan.operators.pairs import SLICES, numeric_columns, pairs, running_counts
+from driftspan.operators.monitoring import aucs
+from driftspan.operators.pairs import numeric_columns, pairs, running_counts
+from driftspan.operators.permuted import permuted
+from driftspan.operators.series import numbered
 
+SLICES = 32  # seeds of the draws follow the slices
 RESULT = "statistic double, p_value double, threshold double, drift boolean, n_permutations int"
 
 
@@ -40,13 +42,18 @@ def null_test(spark: SparkSession, statistic: float, null: DataFrame, alpha: flo
     return rows.withColumn("drift", F.col("statistic") > F.col("threshold")).select("statistic", "p_value", "threshold", "drift", "n_permutations")
 
 
+def _numbered_rows(reference: DataFrame, current: DataFrame, vectors: Sequence[Column], seed: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(side, x, position): all rows without nulls or NaN, numbered from 1 in the order of a seeded hash; with keys, by side."""
+    sides = [df.select(F.lit(s).alias("side"), v.alias("x")) for s, (df, v) in enumerate(zip((reference, current), vectors, strict=True))]
+    both = sides[0].unionByName(sides[1]).where(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    return numbered(both.withColumn("h", F.xxhash64("x", F.lit(seed))), "h", keys, ("side", "x")).select("side", "x", "position")
+
+
 def _blocks(reference: DataFrame, current: DataFrame, columns: Sequence[str], block: int, seed: int) -> DataFrame:
-    """(block, rows: numbered vectors): all rows without nulls, the reference's first, by a seeded hash, `block` of them together."""
+    """(block, m: its current rows, size, rows: numbered from 0, vectors and sides)."""
     vector = F.array(*(F.col(c).cast("double") for c in columns))
-    sides = [df.select(F.lit(s).alias("side"), vector.alias("x")).where(~F.exists("x", lambda v: v.isNull())) for s, df in enumerate((reference, current))]
-    ordered = sides[0].unionByName(sides[1]).withColumn("h", F.xxhash64("x", F.lit(seed))).orderBy("side", "h", "x")
-    numbered = reference.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda r: (r[1], r[0]["side"], r[0]["x"])), "i long, side int, x array<double>")
-    return numbered.groupBy(F.expr(f"i div {block}").alias("block")).agg(F.sum("side").alias("m"), F.count("*").alias("size"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("rows"))
+    rows = _numbered_rows(reference, current, [vector, vector], seed).withColumn("i", F.col("position") - 1)
+    return rows.groupBy(F.expr(f"i div {block}").alias("block")).agg(F.sum("side").alias("m"), F.count("*").alias("size"), F.array_sort(F.collect_list(F.struct("i", "x", "side"))).alias("rows"))
 
 
 def _squared(pair: pa.Table) -> tuple[int, int, np.ndarray]:
@@ -96,14 +103,11 @@ def _median_d2(units: GroupedData) -> float | None:
     return float(np.array(near, np.uint64).view(np.float64).mean())
 
 
-@lru_cache(1)
-def _labels(n: int, total: int, permutations: int, seed: int) -> np.ndarray:
-    """(rows, 1 + permutations): whether a row is the reference's, as seen (column 0) and by permuted labels."""
-    own = np.zeros((total, permutations + 1), bool)
-    own[:n, 0] = True
-    for i in range(permutations):
-        own[np.random.default_rng([seed, i]).permutation(total)[:n], i + 1] = True
-    return own
+@lru_cache(4)
+def _permuted_labels(block: int, size: int, n: int, total: int, permutations: int, seed: int) -> np.ndarray:
+    """(rows of a block of at most `size`, permutations): whether a row counts as the reference's, as n of all rows do."""
+    places = np.arange(block * size, min(total, (block + 1) * size))
+    return np.stack([permuted(places, total, seed, i) < n for i in range(permutations)], 1)
 
 
 def two_sample_test(reference: DataFrame, current: DataFrame, method: str = "mmd", columns: Sequence[str] | None = None, permutations: int = 200, alpha: float = 0.05, gamma: float | None = None, block: int = 2048, seed: int = 42) -> DataFrame:
@@ -134,8 +138,8 @@ def two_sample_test(reference: DataFrame, current: DataFrame, method: str = "mmd
             k = np.sqrt(d2) if method == "energy" else np.exp(-gamma * d2)
             if lo == hi:
                 np.fill_diagonal(k, 0)
-            own = _labels(n, total, permutations, seed)
-            a, b = (own[x * block : (x + 1) * block].astype(float) for x in (lo, hi))
+            own = {x: 1 - rows.values.field("side").to_numpy()[:, None] for x, rows in zip(pair["block"].to_pylist(), pair["rows"], strict=True)}
+            a, b = (np.hstack([own[x], _permuted_labels(x, block, n, total, permutations, seed)]).astype(float) for x in (lo, hi))
             within, touched, all_ = (a * (k @ b)).sum(0), k.sum(1) @ a, k.sum()
             if lo != hi:
                 within, touched, all_ = 2 * within, touched + k.sum(0) @ b, 2 * all_
@@ -257,42 +261,179 @@ def _assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="x", handleInvalid="skip").transform(df).select("x")
 
 
-def _roc_auc(scored: DataFrame) -> float | None:
-    from driftspan.operators.monitoring import auc
+def _vector(df: DataFrame, columns: Sequence[str]) -> Column:
+    if len(columns) == 1 and df.schema[columns[0]].dataType.simpleString().startswith("array"):
+        return F.col(columns[0]).cast("array<double>")
+    return F.array(*(F.col(c).cast("double") for c in columns))
+
+
+def _memory_step(grad: np.ndarray, solve, steps: list[np.ndarray], changes: list[np.ndarray]) -> np.ndarray:
+    """Limited-memory BFGS directions of many models at once (rows of grad), from their last steps and changes of gradient."""
+    q, kept = grad.copy(), []
+    for s, y in zip(reversed(steps), reversed(changes), strict=True):
+        sy = (s * y).sum(1, keepdims=True)
+        rho = np.where(sy > 1e-12, 1 / np.maximum(sy, 1e-12), 0.0)  # a step without curvature counts for nothing
+        alpha = rho * (s * q).sum(1, keepdims=True)
+        q -= alpha * y
+        kept.append((rho, alpha))
+    r = solve(q)
+    for (s, y), (rho, alpha) in zip(zip(steps, changes, strict=True), reversed(kept), strict=True):
+        r += s * (alpha - rho * (y * r).sum(1, keepdims=True))
+    return -r
+
+
+@dataclass(frozen=True)
+class _Deal:
+    """Labels and splits of all models: 0 as seen, i the i-th permutation. Sizes are exact: `held` rows of each side are held out."""
+
+    sizes: tuple[int, int]
+    held: tuple[int, int]
+    permutations: int
+    seed: int
+
+    def parts(self, side: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(label, held out) by row and model."""
+        (n, m), (tn, tm) = self.sizes, self.held
+        own = np.where(side == 0, permuted(np.minimum(position, n) - 1, n, self.seed, 0, 0), permuted(np.minimum(position, m) - 1, m, self.seed, 0, 1) + n)
+        at = position - 1 + n * side
+        places = np.stack([own, *(permuted(at, n + m, self.seed, i, 2) for i in range(1, self.permutations + 1))], 1)
+        label = places >= n
+        return label, np.where(label, places - n < tm, places < tn)
+
+
+def _with_parts(deal: _Deal):
+    """(x, label, held): a bit a model."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [pa.array([r.tobytes() for r in np.packbits(p, 1)], pa.binary()) for p in deal.parts(batch.column("side").to_numpy(), batch.column("position").to_numpy())]
+            yield pa.RecordBatch.from_arrays([batch.column("x"), *bits], ["x", "label", "held"])
+
+    return add
+
+
+def _bits(column: pa.Array, count: int) -> np.ndarray:
+    """(rows, models) of bits."""
+    return np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1), 1, count).astype(bool)
+
+
+def _gradients(weights: np.ndarray):
+    """(model, place, value): gradient of the log loss over a task's rows that are not held out; the loss at the last place."""
 
-    return auc(scored, "label", "s").first()[0]
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(weights), weights.shape[1] + 1))
+        for batch in batches:
+            x = _design(batch)
+            label, used = _bits(batch.column("label"), len(weights)), ~_bits(batch.column("held"), len(weights))
+            margin = x @ weights.T
+            total[:, :-1] += ((1 / (1 + np.exp(-margin)) - label) * used).T @ x
+            total[:, -1] += ((np.logaddexp(0, margin) - label * margin) * used).sum(0)
+        model, place = np.indices(total.shape).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(model.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(total.ravel())], ["model", "place", "value"])
 
+    return add
 
-def classifier_test(reference: DataFrame, current: DataFrame, columns: Sequence[str], permutations: int = 200, alpha: float = 0.05, test_size: float = 0.3, seed: int = 42) -> DataFrame:
+
+def _design(batch: pa.RecordBatch) -> np.ndarray:
+    """Vectors with a 1 for the intercept."""
+    x = batch.column("x")
+    flat = x.flatten().to_numpy().reshape(len(x), -1) if len(x) else np.zeros((0, 0))
+    return np.hstack([flat, np.ones((len(x), 1))])
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, j, value): sums of products of a task's vectors and a 1."""
+    total = 0
+    for batch in batches:
+        x = _design(batch)
+        total = total + x.T @ x
+    if not np.isscalar(total):
+        i, j = np.indices(total.shape).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total.ravel())], ["i", "j", "value"])
+
+
+def _fit_all(rows: DataFrame, deal: _Deal, penalty: float, tolerance: float, rounds: int) -> np.ndarray:
+    """Coefficients, the intercept last, of all models by model: a pass over rows a round, whatever the number of models.
+
+    The log loss plus penalty / 2 times the squared coefficients, the intercept free. Rounds start from the curvature that
+    labels without meaning have, and remember the last steps; a model whose loss rose goes back and takes half the way. It ends when no gradient is
+    above tolerance a row, or after `rounds`.
+    """
+    n, m = deal.sizes
+    summed = rows.select("x").mapInArrow(_products, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value")).toPandas()
+    width = int(summed["i"].max()) + 1
+    products = np.zeros((width, width))
+    products[summed["i"], summed["j"]] = summed["value"]
+    free = np.append(np.ones(width - 1), 0.0)
+    share, train = n / (n + m), 1 - sum(deal.held) / (n + m)
+    curve = products * share * (1 - share) * train + np.diag(penalty * free + 1e-9)
+    inverse = np.linalg.inv(curve)
+    solve = lambda g: g @ inverse
+    count = (n + m) * train
+
+    def measured(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = rows.mapInArrow(_gradients(w), "model int, place int, value double").groupBy("model", "place").agg(F.sum("value").alias("value")).toPandas()
+        out = np.zeros((len(w), width + 1))
+        out[found["model"], found["place"]] = found["value"]
+        return out[:, :-1] + penalty * free * w, out[:, -1] + penalty / 2 * (free * w * w).sum(1)
+
+    best = np.zeros((deal.permutations + 1, width))
+    grad, loss = measured(best)
+    steps, changes = [], []
+    step = -solve(grad)
+    for _ in range(rounds):
+        if np.abs(grad).max() <= tolerance * count:
+            break
+        new = best + step
+        new_grad, new_loss = measured(new)
+        worse = (new_loss > loss + 1e-9 * np.abs(loss))[:, None]
+        moved, change = np.where(worse, 0.0, step), np.where(worse, 0.0, new_grad - grad)
+        best, loss = best + moved, np.where(worse[:, 0], loss, new_loss)
+        grad = np.where(worse, grad, new_grad)
+        steps, changes = [*steps, moved][-8:], [*changes, change][-8:]
+        step = np.where(worse, step / 2, _memory_step(grad, solve, steps, changes))
+    return best
+
+
+def _scores(weights: np.ndarray):
+    """(feature: the model, v: score, r, c): a task's held-out rows."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, held = _bits(batch.column("label"), len(weights)), _bits(batch.column("held"), len(weights))
+            row, model = np.nonzero(held)
+            v, y = (_design(batch) @ weights.T)[row, model], label[row, model].astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array(model), pa.array(v), pa.array(y), pa.array(1 - y)], ["feature", "v", "r", "c"])
+
+    return score
+
+
+def classifier_test(reference: DataFrame, current: DataFrame, columns: Sequence[str], permutations: int = 200, alpha: float = 0.05, test_size: float = 0.3, seed: int = 42, penalty: float = 1.0, tolerance: float = 1e-6, rounds: int = 100) -> DataFrame:
     """statistic (ROC-AUC of a logistic regression telling the sides apart on held-out rows), and its permutation test.
 
-    The split is by a seeded hash of the row. Null statistics refit on labels dealt by another hash with the sides' odds, so
-    their sizes differ a little from one to the next.
+    Every permutation deals all rows anew to sides of the same sizes and fits and scores anew; test_size of each side is held out, both to a
+    row. All models are fitted at once: a round is one pass over the rows that adds up all gradients. Rows are numbered, and a
+    keyed permutation of the numbers gives labels and splits, so equal rows may differ in them and no task holds more than
+    its rows and the coefficients. Rows with nulls or NaN take no part.
     """
     _check(permutations, alpha)
-    sides = [_assembled(df, columns).withColumn("label", F.lit(float(s))) for s, df in enumerate((reference, current))]
-    both = sides[0].unionByName(sides[1]).withColumn("h", F.xxhash64(vector_to_array("x"), F.lit(seed))).cache()
-
-    def fitted(data: DataFrame) -> float:
-        held = F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(1000)) < int(1000 * test_size)
-        model = LogisticRegression(featuresCol="x", labelCol="label", maxIter=100).fit(data.where(~held))
-        return _roc_auc(model.transform(data.where(held)).select("label", vector_to_array("probability")[1].alias("s"))) or 0.5
-
+    require(0 < test_size < 1, "test_size must lie between 0 and 1")
     spark = reference.sparkSession
+    numbers = _numbered_rows(reference, current, [_vector(df, columns) for df in (reference, current)], seed, ["side"])
+    counts = {r["side"]: r["last"] for r in numbers.groupBy("side").agg(F.max("position").alias("last")).collect()}
+    sizes = (counts.get(0, 0), counts.get(1, 0))
+    if min(sizes) < 2:
+        raise NotEnoughDataError("two rows a side are needed")
+    deal = _Deal(sizes, tuple(min(k - 1, max(1, round(k * test_size))) for k in sizes), permutations, seed)
+    rows = numbers.mapInArrow(_with_parts(deal), "x array<double>, label binary, held binary").cache()
     try:
-        n, m = (both.where(F.col("label") == s).count() for s in (0, 1))
-        if min(n, m) < 2:
-            raise NotEnoughDataError("two rows a side are needed")
-        seen = fitted(both)
-
-        def permuted(i: int) -> tuple[float]:
-            return (fitted(both.withColumn("label", (F.pmod(F.xxhash64("h", F.lit(i), F.lit(seed + 1)), F.lit(n + m)) >= n).cast("double"))),)
-
-        with ThreadPoolExecutor(8) as pool:  # fits are many small jobs
-            null = list(pool.map(permuted, range(permutations)))
+        weights = _fit_all(rows, deal, penalty, tolerance, rounds)
+        scored = rows.mapInArrow(_scores(weights), "feature long, v double, r double, c double")
+        found = {r["feature"]: r["auc"] for r in aucs(scored).collect()}  # a row a model
     finally:
-        both.unpersist()
-    return null_test(spark, seen, spark.createDataFrame(null, "t double"), alpha)
+        rows.unpersist()
+    seen = found.pop(0)
+    return null_test(spark, seen, spark.createDataFrame([(t,) for t in found.values()], "t double"), alpha)
 
 
 @dataclass

@@ -439,6 +439,55 @@ def delayed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(monitoring.delayed_labels(rows.select("toxic", "doc_id", "p"), labels, "doc_id", "arrived", "toxic").select("toxic", "doc_id", "p", "quality"))
 
 
+S_LABELLED = f"""{S_SCORED},
+pa AS (SELECT toxic, p, z, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) AS i FROM sc),
+la AS (SELECT toxic, quality AS y, -doc_id AS arrived, row_number() OVER (PARTITION BY toxic ORDER BY -doc_id) AS i FROM sc WHERE doc_id % 3 > 0),
+s AS (SELECT toxic, arrived, i, p, z, y FROM pa JOIN la USING (toxic, i))"""
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scored, where two rows of three get a label, in an order of their own: the n-th label goes to the n-th prediction."""
+    rows = scored(spark, sf_dir)
+    labels = rows.where("doc_id % 3 > 0").select("toxic", "quality", (-F.col("doc_id")).alias("arrived"))
+    return monitoring.delayed_labels(rows.select("toxic", "doc_id", "p", "z"), labels, "doc_id", "arrived", "toxic")
+
+
+_MONITORED = ("accuracy", "precision", "recall", "f1", "auc")
+
+
+@query(f"""WITH {S_LABELLED},
+cells AS (
+  SELECT e.toxic, e.i, cls, sum((x.y = cls AND x.z = cls)::INT) AS tp, sum((x.y = cls)::INT) AS ac, sum((x.z = cls)::INT) AS sa
+  FROM s e JOIN s x ON x.toxic = e.toxic AND x.i BETWEEN e.i - 49 AND e.i, (SELECT unnest([0, 1]) AS cls) GROUP BY ALL HAVING ac + sa > 0),
+f AS (
+  SELECT toxic, i, sum(tp) / sum(ac) AS accuracy, avg(CASE WHEN sa > 0 THEN tp / sa ELSE 0 END) AS "precision",
+    avg(CASE WHEN ac > 0 THEN tp / ac ELSE 0 END) AS recall, avg(2 * tp / (ac + sa)) AS f1 FROM cells GROUP BY toxic, i),
+u AS (
+  SELECT e.toxic, e.i, avg(CASE WHEN x.p > o.p THEN 1.0 WHEN x.p = o.p THEN 0.5 ELSE 0.0 END) AS auc
+  FROM s e JOIN s x ON x.toxic = e.toxic AND x.i BETWEEN e.i - 49 AND e.i AND x.y = 1
+  JOIN s o ON o.toxic = e.toxic AND o.i BETWEEN e.i - 49 AND e.i AND o.y = 0 GROUP BY ALL),
+m AS (SELECT f.*, auc, arrived FROM f JOIN s USING (toxic, i) LEFT JOIN u USING (toxic, i)),
+r AS (SELECT toxic, {", ".join(f'"{x}" AS reference_{x}' for x in _MONITORED)} FROM m WHERE i = 50),
+d AS (SELECT *, {", ".join(f'CASE WHEN i >= 50 THEN reference_{x} - "{x}" END AS d_{x}' for x in _MONITORED)} FROM m LEFT JOIN r USING (toxic))
+SELECT toxic, arrived, i AS position, least(i, 50) AS n, {", ".join(f'round("{x}", 6) AS "{x}"' for x in _MONITORED)},
+  {", ".join(f"round(reference_{x}, 6) AS reference_{x}" for x in _MONITORED)}, round(greatest(0.0, {", ".join(f"coalesce(d_{x}, 0.0)" for x in _MONITORED)}), 6) AS change,
+  concat_ws(',', {", ".join(f"CASE WHEN d_{x} > 0.05 THEN '{x}' END" for x in _MONITORED)}) AS degraded, coalesce(greatest({", ".join(f"d_{x}" for x in _MONITORED)}) > 0.05, false) AS drift FROM d""")
+def performance_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = monitoring.performance_monitor(labelled(spark, sf_dir), "quality", "z", "arrived", ["toxic"], 50, _MONITORED, "p")
+    return rounded(rows.withColumn("degraded", F.array_join("degraded", ",")))
+
+
+@query(f"""WITH {S_LABELLED},
+b AS (SELECT e.toxic, e.i, greatest(1, ceil(x.p * 10)) AS bin, sum(x.y - x.p) AS gap FROM s e JOIN s x ON x.toxic = e.toxic AND x.i BETWEEN e.i - 39 AND e.i GROUP BY ALL),
+m AS (SELECT toxic, i, sum(abs(gap)) / least(i, 40) AS ece FROM b GROUP BY toxic, i),
+r AS (SELECT toxic, ece AS reference_ece FROM m WHERE i = 40)
+SELECT toxic, arrived, i AS position, least(i, 40) AS n, round(ece, 6) AS ece, round(reference_ece, 6) AS reference_ece,
+  round(CASE WHEN i >= 40 THEN greatest(0.0, ece - reference_ece) ELSE 0.0 END, 6) AS change, coalesce(i >= 40 AND ece - reference_ece > 0.05, false) AS drift
+FROM m JOIN s USING (toxic, i) LEFT JOIN r USING (toxic)""")
+def rolling_ece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(monitoring.calibration_monitor(labelled(spark, sf_dir), "quality", "p", "arrived", ["toxic"], 40).drop("degraded"))
+
+
 @query(f"WITH {S_TYPES}, {S_CHI}, {S_EVENTS.replace('pr AS', 'pv AS', 1)}, {S_QUANTILES.replace('FROM pr', 'FROM pv')}, {S_SHARES.replace('FROM pr JOIN', 'FROM pv pr JOIN')}, {S_PSI} SELECT round(exp(-statistic / 2) * (1 + statistic / 2), 6) AS class_p, round(psi, 6) AS confidence_psi, exp(-statistic / 2) * (1 + statistic / 2) < 0.05 OR psi > 0.2 AS drift FROM chi, psi")
 def prediction_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(monitoring.prediction_drift(*events(spark, sf_dir), "event_type", "value").select("class_p", "confidence_psi", "drift"))
@@ -636,6 +685,40 @@ def ml_efficacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(efficacy.evaluate(a, b, "o_orderstatus", ["o_orderstatus", "o_orderpriority"], ["o_totalprice", "o_custkey"], trees=5), 4)
 
 
+_CLASSES = ("F", "O", "P")
+_SHARES = """[CASE WHEN o_orderdate < TIMESTAMP '1995-03-17' THEN w ELSE (1 - w) / 2 END, CASE WHEN o_orderdate < TIMESTAMP '1995-03-17' THEN (1 - w) / 2 ELSE w END, (1 - w) / 2]"""
+_REPORT = ("accuracy", "precision", "recall", "f1", "roc_auc")
+_RATIOS = """coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS "precision", coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
+  coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, (tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2 AS roc_auc"""
+
+
+@query(f"""WITH b AS (SELECT o_orderstatus AS y, o_orderdate, (o_totalprice % 100) / 100 AS w, t AS side FROM orders, (SELECT unnest(['price', 'date']) AS t)),
+s AS (SELECT side, y, {_SHARES} AS q, CASE WHEN side = 'price' THEN CASE WHEN w < 0.3 THEN 'F' WHEN w < 0.8 THEN 'O' ELSE 'P' END ELSE CASE WHEN o_orderdate < TIMESTAMP '1995-03-17' THEN 'F' ELSE 'O' END END AS z FROM b),
+cl AS (SELECT unnest({list(_CLASSES)}) AS class, unnest([1, 2, 3]) AS i),
+cells AS (SELECT side, class, sum((y = class AND z = class)::INT) AS tp, sum((y <> class AND z = class)::INT) AS fp, sum((y = class AND z <> class)::INT) AS fn, sum((y <> class AND z <> class)::INT) AS tn, sum((y = class)::INT) AS n, count(*) AS total FROM s, cl GROUP BY ALL),
+long AS (SELECT side, class, q[i] AS v, (y = class)::INT AS r FROM s, cl UNION ALL SELECT side, '{efficacy.MICRO}', q[i], (y = class)::INT FROM s, cl),
+ranks AS (SELECT *, sum(1 - r) OVER (PARTITION BY side, class ORDER BY v RANGE UNBOUNDED PRECEDING) - sum(1 - r) OVER (PARTITION BY side, class, v) / 2 AS below FROM long),
+areas AS (SELECT side, class, sum(r * below) / (sum(r) * sum(1 - r)) AS score_auc FROM ranks GROUP BY ALL),
+p AS (SELECT side, class, {_RATIOS}, tn, fp, fn, tp, n, score_auc, total FROM cells JOIN areas USING (side, class)),
+added AS (SELECT side, sum(tn) AS tn, sum(fp) AS fp, sum(fn) AS fn, sum(tp) AS tp, max(total) AS n FROM cells GROUP BY side),
+micro AS (SELECT side, '{efficacy.MICRO}' AS class, {_RATIOS}, tn, fp, fn, tp, n FROM added),
+everything AS (
+  SELECT side, class, {", ".join(f'"{m}"' for m in _REPORT)}, tn, fp, fn, tp, n, score_auc FROM p
+  UNION ALL SELECT side, class, recall, "precision", recall, f1, roc_auc, tn, fp, fn, tp, n, score_auc FROM micro JOIN areas USING (side, class)
+  UNION ALL SELECT side, '{efficacy.MACRO}', {", ".join(f'avg("{m}")' for m in _REPORT)}, sum(tn), sum(fp), sum(fn), sum(tp), max(total), avg(score_auc) FROM p GROUP BY side
+  UNION ALL SELECT side, '{efficacy.WEIGHTED}', {", ".join(f'sum("{m}" * n) / max(total)' for m in _REPORT)}, sum(tn), sum(fp), sum(fn), sum(tp), max(total), sum(score_auc * n) / max(total) FROM p GROUP BY side)
+SELECT side, class, {", ".join(f'round("{m}", 6) AS "{m}"' for m in _REPORT)}, tn::BIGINT AS tn, fp::BIGINT AS fp, fn::BIGINT AS fn, tp::BIGINT AS tp, n::BIGINT AS n, round(score_auc, 6) AS score_auc FROM everything""")
+def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rules that guess an order's status, by price and by date, held against it class by class."""
+    w, early = F.col("w"), F.col("o_orderdate") < F.lit("1995-03-17").cast("timestamp_ntz")
+    rows = table(spark, sf_dir, "orders").withColumn("w", (F.col("o_totalprice") % 100) / 100)
+    shares = F.array(F.when(early, w).otherwise((1 - w) / 2), F.when(early, (1 - w) / 2).otherwise(w), (1 - w) / 2)
+    by_price = F.when(w < 0.3, "F").when(w < 0.8, "O").otherwise("P")
+    said = F.array(F.struct(F.lit("price").alias("side"), by_price.alias("z")), F.struct(F.lit("date").alias("side"), F.when(early, "F").otherwise("O").alias("z")))
+    scored = rows.select("o_orderstatus", shares.alias("q"), F.explode(said).alias("x")).select("o_orderstatus", "q", "x.*")
+    return rounded(efficacy.class_report(scored, "side", ["price", "date"], "o_orderstatus", "z", "q", _CLASSES))
+
+
 # Each batch is a feature of its own, beside the whole baseline.
 S_BATCHES = """pr AS (SELECT t.i::VARCHAR AS feature, value AS v, 1.0::DOUBLE AS r, 0.0::DOUBLE AS c FROM events CROSS JOIN range(4) AS t(i) WHERE ts < TIMESTAMP '2024-01-16' AND value IS NOT NULL
  UNION ALL SELECT (event_id % 4)::VARCHAR, value, 0.0, 1.0 FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND value IS NOT NULL)"""
