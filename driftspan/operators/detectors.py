@@ -16,7 +16,7 @@ from driftspan.functions.corrections import METHODS as CORRECTIONS
 from driftspan.functions.corrections import adjust
 from driftspan.functions.pvalues import chi2_p, cvm_p, ks_p, ks_p_limit
 from driftspan.operators.distances import binned, cdf_statistics, chi_square
-from driftspan.operators.pairs import numeric_columns, pairs
+from driftspan.operators.pairs import numeric_columns, pairs, value_counts
 
 P_METHODS, CATEGORICAL = ("ks", "cvm", "chi2"), ("chi2", "tvd")
 # Default thresholds, and least recommended sample sizes by method.
@@ -27,8 +27,14 @@ RESULT = ("feature", "method", "drift", "score", "threshold", "comparator", "p_v
 
 def statistics(reference: DataFrame, current: DataFrame, method: str, columns: Sequence[str] | None = None, bins: int = 10, strategy: str = "quantile", keys: Sequence[str] = (), p_limit: bool = False) -> DataFrame:
     """(keys..., feature, statistic, raw_p_value, n, m) by one of ks, cvm, chi2, psi, js, tvd, wasserstein, energy."""
-    kind = "string" if method in CATEGORICAL else "double"
-    relation = pairs(reference, current, columns, kind, keys)
+    return _statistics(pairs(reference, current, columns, _kind(method), keys), method, bins, strategy, keys, p_limit)
+
+
+def _kind(method: str) -> str:
+    return "string" if method in CATEGORICAL else "double"
+
+
+def _statistics(relation: DataFrame, method: str, bins: int, strategy: str, keys: Sequence[str], p_limit: bool) -> DataFrame:
     by = [*keys, "feature"]
     none = F.lit(None).cast("double")
     if method in CATEGORICAL:
@@ -45,6 +51,21 @@ def statistics(reference: DataFrame, current: DataFrame, method: str, columns: S
     return rows.select(*by, F.col(method).alias("statistic"), p.alias("raw_p_value"), "n", "m")
 
 
+def rollup(reference: DataFrame, current: DataFrame, method: str, keys: Sequence[str], columns: Sequence[str] | None = None, bins: int = 10, strategy: str = "quantile", p_limit: bool = False) -> DataFrame:
+    """(level, keys..., feature, statistic, raw_p_value, n, m): the whole tables (level 0, keys null), cohorts by the first key, by the first two, and so on.
+
+    Rows are scanned and counted by value once, for the finest cohorts; the others add these counts up, and every cohort has edges
+    and running counts of its own. A null key is a cohort, which its level tells from a rolled-up one.
+    """
+    require(bool(keys), "keys to roll up are needed")
+    require(strategy in ("quantile", "uniform") or method not in ("psi", "js"), "sketches are of rows, not of counts")
+    counts = value_counts(pairs(reference, current, columns, _kind(method), keys), keys)
+    kinds = {k: reference.schema[k].dataType for k in keys}
+    level = lambda n: F.struct(F.lit(n).alias("level"), *(F.col(k).alias(k) if i < n else F.lit(None).cast(kinds[k]).alias(k) for i, k in enumerate(keys)))
+    rows = counts.select(F.explode(F.array(*(level(n) for n in range(len(keys) + 1)))).alias("cohort"), "feature", "v", "r", "c")
+    return _statistics(rows, method, bins, strategy, ["cohort"], p_limit).select("cohort.*", "feature", "statistic", "raw_p_value", "n", "m")
+
+
 def _family(reference: DataFrame, current: DataFrame, methods: Sequence[str], columns: Sequence[str] | None, p_limit: bool) -> DataFrame:
     """(feature, method, statistic, raw_p_value) by methods of one family, from one aggregation."""
     none = F.lit(None).cast("double")

@@ -84,44 +84,3 @@ def cdf_statistics(relation: DataFrame, keys: Sequence[str] = (), slices: int |
         F.max("n").alias("n"), F.max("m").alias("m"), F.max(gap).alias("ks"), F.sum(gap * width).alias("wasserstein"), (2 * F.sum(gap * gap * width)).alias("energy"), F.sum(parts).alias("u"))
     nm, total = F.col("n") * F.col("m"), F.col("n") + F.col("m")
     return rows.withColumn("cvm", F.col("u") / (nm * total) - (4 * nm - 1) / (6 * total)).drop("u")
-
-
-def _vectors(df: DataFrame, columns: Sequence[str], side: int, most: int, seed: int) -> DataFrame:
-    """(side, i, x): at most `most` rows, the least by a seeded hash of the whole row, numbered."""
-    vector = F.array(*(F.col(c).cast("double") for c in columns))
-    rows = df.select(vector.alias("x")).where(~F.exists("x", lambda v: v.isNull()))
-    kept = rows.withColumn("h", F.xxhash64("x", F.lit(seed))).orderBy("h", "x").limit(most)
-    return kept.select(F.lit(side).alias("side"), F.row_number().over(Window.orderBy("h", "x")).alias("i"), "x")
-
-
-def pair_distances(reference: DataFrame, current: DataFrame, columns: Sequence[str], most: int = 2000, seed: int = 42) -> DataFrame:
-    """(a, b, same, d2): squared distances of all ordered pairs of a sample of at most `most` rows a side, sides a and b.
-
-    All pairs are wanted, so both sides are bounded by the parameter; same marks a row paired with itself.
-    """
-    require(most >= 2, "most must be at least 2")
-    rows = _vectors(reference, columns, 0, most, seed).unionByName(_vectors(current, columns, 1, most, seed))
-    a, b = (rows.select(*(F.col(c).alias(f"{c}{k}") for c in ("side", "i", "x"))) for k in "ab")
-    d2 = F.aggregate(F.zip_with("xa", "xb", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
-    crossed = a.repartition(8).crossJoin(F.broadcast(b))
-    return crossed.select(F.col("sidea").alias("a"), F.col("sideb").alias("b"), ((F.col("sidea") == F.col("sideb")) & (F.col("ia") == F.col("ib"))).alias("same"), d2.alias("d2"))
-
-
-def energy_distance(distances: DataFrame) -> DataFrame:
-    """energy: twice the mean distance across less the mean distances within, rows paired with themselves included."""
-    mean = lambda a, b: F.avg(F.when((F.col("a") == a) & (F.col("b") == b), F.sqrt("d2")))
-    return distances.agg((2 * mean(0, 1) - mean(0, 0) - mean(1, 1)).alias("energy"))
-
-
-def median_gamma(distances: DataFrame) -> float:
-    """1 / (2 median of the positive squared distances), 1 if there is none."""
-    value = distances.where("d2 > 0").agg(F.median("d2")).first()[0]
-    return 1 / (2 * value) if value else 1.0
-
-
-def mmd_squared(distances: DataFrame, gamma: float | None = None) -> DataFrame:
-    """mmd2, gamma: unbiased squared maximum mean discrepancy with an RBF kernel; gamma by median_gamma if not given."""
-    gamma = median_gamma(distances) if gamma is None else gamma
-    require(gamma > 0, "gamma must be positive")
-    mean = lambda a, b: F.avg(F.when((F.col("a") == a) & (F.col("b") == b) & ~F.col("same"), F.exp(-gamma * F.col("d2"))))
-    return distances.agg((mean(0, 0) + mean(1, 1) - 2 * mean(0, 1)).alias("mmd2")).withColumn("gamma", F.lit(gamma))

@@ -110,16 +110,8 @@ def _permuted_labels(block: int, size: int, n: int, total: int, permutations: in
     return np.stack([permuted(places, total, seed, i) < n for i in range(permutations)], 1)
 
 
-def two_sample_test(reference: DataFrame, current: DataFrame, method: str = "mmd", columns: Sequence[str] | None = None, permutations: int = 200, alpha: float = 0.05, gamma: float | None = None, block: int = 2048, seed: int = 42) -> DataFrame:
-    """statistic, p_value, threshold, drift of mmd (unbiased, RBF) or energy (V-statistic) by permuted labels.
-
-    All pairs of all rows count: each task takes the distances of two blocks of rows and adds up what they give to every
-    permutation. gamma is by the exact median of all pairs if not given. At least two rows a side are needed.
-    """
-    _check(permutations, alpha)
-    require(method in ("mmd", "energy"), "method must be mmd or energy")
-    require(gamma is None or gamma > 0, "gamma must be positive")
-    columns, spark = list(columns or numeric_columns(reference)), reference.sparkSession
+def _pair_sums(reference: DataFrame, current: DataFrame, methods: Sequence[str], columns: Sequence[str], permutations: int, gamma: float | None, block: int, seed: int) -> tuple[dict[str, list[float]], float | None]:
+    """For each method the statistic as seen and by permuted labels, from all pairs of all rows; and gamma, if mmd is one."""
     blocks = _blocks(reference, current, columns, block, seed).cache()
     try:
         sizes = blocks.agg(F.sum("size").alias("total"), F.sum("m").alias("m"), F.max("block").alias("last")).first()
@@ -129,31 +121,59 @@ def two_sample_test(reference: DataFrame, current: DataFrame, method: str = "mmd
             raise NotEnoughDataError("two rows a side are needed")
         dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(sizes["last"]))))
         units = dealt.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rows").groupBy("lo", "hi")
-        if method == "mmd" and gamma is None:
+        if "mmd" in methods and gamma is None:
             median = _median_d2(units)
             gamma = 1 / (2 * median) if median else 1.0
 
         def add(pair: pa.Table) -> pa.Table:
             lo, hi, d2 = _squared(pair)
-            k = np.sqrt(d2) if method == "energy" else np.exp(-gamma * d2)
-            if lo == hi:
-                np.fill_diagonal(k, 0)
             own = {x: 1 - rows.values.field("side").to_numpy()[:, None] for x, rows in zip(pair["block"].to_pylist(), pair["rows"], strict=True)}
-            a, b = (np.hstack([own[x], _permuted_labels(x, block, n, total, permutations, seed)]).astype(float) for x in (lo, hi))
-            within, touched, all_ = (a * (k @ b)).sum(0), k.sum(1) @ a, k.sum()
-            if lo != hi:
-                within, touched, all_ = 2 * within, touched + k.sum(0) @ b, 2 * all_
-            return pa.table({"id": pa.array(np.arange(permutations + 1)), "xx": pa.array(within), "s": pa.array(touched), "all": pa.array(np.full(permutations + 1, all_))})
-
-        sums = units.applyInArrow(add, "id long, xx double, s double, all double").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("xx", "s", "all")))
-        xx, xy, yy = F.col("xx"), F.col("s") - F.col("xx"), F.col("all") - 2 * F.col("s") + F.col("xx")
-        within = (n * n, m * m) if method == "energy" else (n * (n - 1), m * (m - 1))
-        value = xx / within[0] + yy / within[1] - 2 * xy / (n * m)
-        found = {r["id"]: r["t"] for r in sums.select("id", (-value if method == "energy" else value).alias("t")).collect()}  # a row a permutation
+            if permutations:
+                own = {x: np.hstack([seen, _permuted_labels(x, block, n, total, permutations, seed)]) for x, seen in own.items()}
+            a, b = own[lo].astype(float), own[hi].astype(float)
+            out = []
+            for method in methods:
+                k = np.sqrt(d2) if method == "energy" else np.exp(-gamma * d2)
+                if lo == hi:
+                    np.fill_diagonal(k, 0)
+                within, touched, all_ = (a * (k @ b)).sum(0), k.sum(1) @ a, k.sum()
+                if lo != hi:
+                    within, touched, all_ = 2 * within, touched + k.sum(0) @ b, 2 * all_
+                out.append(pa.table({"method": pa.array([method] * (permutations + 1)), "id": pa.array(np.arange(permutations + 1)), "xx": pa.array(within), "s": pa.array(touched), "all": pa.array(np.full(permutations + 1, all_))}))
+            return pa.concat_tables(out)
+
+        sums = units.applyInArrow(add, "method string, id long, xx double, s double, all double").groupBy("method", "id").agg(*(F.sum(c).alias(c) for c in ("xx", "s", "all"))).collect()  # a row a permutation
     finally:
         blocks.unpersist()
-    seen = found.pop(0)
-    return null_test(spark, seen, spark.createDataFrame([(t,) for t in found.values()], "t double"), alpha)
+    found: dict[str, list[float]] = {x: [0.0] * (permutations + 1) for x in methods}
+    for r in sums:
+        xx, xy, yy = r["xx"], r["s"] - r["xx"], r["all"] - 2 * r["s"] + r["xx"]
+        within = (n * n, m * m) if r["method"] == "energy" else (n * (n - 1), m * (m - 1))
+        value = xx / within[0] + yy / within[1] - 2 * xy / (n * m)
+        found[r["method"]][r["id"]] = -value if r["method"] == "energy" else value
+    return found, gamma
+
+
+def pair_statistics(reference: DataFrame, current: DataFrame, columns: Sequence[str] | None = None, gamma: float | None = None, block: int = 2048) -> DataFrame:
+    """energy (twice the mean distance across less those within, rows with themselves included), mmd2 (unbiased, RBF) and
+    gamma, over all pairs of all rows. gamma is by the exact median of all pairs if not given; 1 if no two rows differ."""
+    require(gamma is None or gamma > 0, "gamma must be positive")
+    found, gamma = _pair_sums(reference, current, ("energy", "mmd"), list(columns or numeric_columns(reference)), 0, gamma, block, 0)
+    return reference.sparkSession.createDataFrame([(found["energy"][0], found["mmd"][0], gamma)], "energy double, mmd2 double, gamma double")
+
+
+def two_sample_test(reference: DataFrame, current: DataFrame, method: str = "mmd", columns: Sequence[str] | None = None, permutations: int = 200, alpha: float = 0.05, gamma: float | None = None, block: int = 2048, seed: int = 42) -> DataFrame:
+    """statistic, p_value, threshold, drift of mmd (unbiased, RBF) or energy (V-statistic) by permuted labels.
+
+    All pairs of all rows count: each task takes the distances of two blocks of rows and adds up what they give to every
+    permutation. gamma is by the exact median of all pairs if not given. At least two rows a side are needed.
+    """
+    _check(permutations, alpha)
+    require(method in ("mmd", "energy"), "method must be mmd or energy")
+    require(gamma is None or gamma > 0, "gamma must be positive")
+    found, _ = _pair_sums(reference, current, (method,), list(columns or numeric_columns(reference)), permutations, gamma, block, seed)
+    seen, *null = found[method]
+    return null_test(reference.sparkSession, seen, reference.sparkSession.createDataFrame([(t,) for t in null], "t double"), alpha)
 
 
 def _drawn_totals(sizes: np.ndarray, draw: int, rng: np.random.Generator) -> np.ndarray:

@@ -11,11 +11,13 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspan.errors import require
 from driftspan.functions.pvalues import ks_exact
+from driftspan.operators.series import numbered, running, with_slices
 
 STEP = "score double, threshold double, warning boolean, drift boolean"
 
@@ -316,36 +318,84 @@ def shewhart(df: DataFrame, value: str, order: str, key: str, control_limit: flo
     return rows.select(key, order, "n", score.alias("score"), limit.alias("threshold"), F.coalesce(score > limit, F.lit(False)).alias("drift"))
 
 
+def _sliced_rows(df: DataFrame, value: str, order: str, key: str) -> DataFrame:
+    """(key, order, x, slice, n) of the rows with a value; the position is `position` and, as a long, n."""
+    kept = df.select(key, order, F.col(value).cast("double").alias("x")).where("x is not null")
+    return numbered(kept, order, [key], ["x"]).withColumn("n", F.col("position").cast("long"))
+
+
 def cusum(df: DataFrame, value: str, order: str, key: str, target: float = 0.0, slack: float = 0.5, threshold: float = 5.0, direction: str = "both") -> DataFrame:
-    """(key, order, n, score, threshold, drift) without restarts: a sum less the least of its past and 0."""
+    """(key, order, n, score, threshold, drift) without restarts: a sum less the least of its past and 0.
+
+    A long series is cut into slices, whose sums and least sums are composed: max-plus sums are associative.
+    """
     _direction(direction)
-    run = _running(key, order)
-    rows = _numbered(df, value, order, key)
-    sides = {s: F.sum(e - slack).over(run) for s, e in (("up", F.col("x") - target), ("down", target - F.col("x")))}
-    rows = rows.withColumns(sides)
-    held = {s: F.col(s) - F.least(F.lit(0.0), F.min(s).over(run)) for s in sides}
+    sides = {"up": F.col("x") - target - slack, "down": target - F.col("x") - slack}
+    rows = running(_sliced_rows(df, value, order, key), [key], sides, {f"low_{s}": F.col(s) for s in sides})
+    held = {s: F.col(s) - F.least(F.lit(0.0), F.col(f"low_{s}")) for s in sides}
     score = _side(direction, held["up"], held["down"], F.greatest)
     return rows.select(key, order, "n", score.alias("score"), F.lit(threshold).alias("threshold")).withColumn("drift", F.col("score") > threshold)
 
 
 def page_hinkley(df: DataFrame, value: str, order: str, key: str, delta: float = 0.005, threshold: float = 50.0, direction: str = "both") -> DataFrame:
-    """(key, order, n, score, threshold, drift) without restarts."""
+    """(key, order, n, score, threshold, drift) without restarts. Slices as in cusum(), first for the running means, then for what lies off them."""
     _direction(direction)
-    run = _running(key, order)
-    rows = _numbered(df, value, order, key).withColumn("away", F.col("x") - F.avg("x").over(run))
-    rows = rows.withColumns({"up": F.sum(F.col("away") - delta).over(run), "down": F.sum(F.col("away") + delta).over(run)})
-    up = F.col("up") - F.least(F.lit(0.0), F.min("up").over(run))
-    down = F.greatest(F.lit(0.0), F.max("down").over(run)) - F.col("down")
+    rows = running(_sliced_rows(df, value, order, key), [key], {"total": F.col("x")}).withColumn("away", F.col("x") - F.col("total") / F.col("n"))
+    rows = running(rows, [key], {"up": F.col("away") - delta, "down": F.col("away") + delta}, {"low": F.col("up"), "high": -F.col("down")})
+    up = F.col("up") - F.least(F.lit(0.0), F.col("low"))
+    down = F.greatest(F.lit(0.0), -F.col("high")) - F.col("down")
     return rows.select(key, order, "n", _side(direction, up, down, F.greatest).alias("score"), F.lit(threshold).alias("threshold")).withColumn("drift", F.col("score") > threshold)
 
 
+def _smoothed(x: np.ndarray, lam: float, block: int = 64) -> np.ndarray:
+    """z_t = lam x_t + (1 - lam) z_{t-1} from z = 0: within blocks by a product, from block to block by the last z."""
+    at = np.arange(block)
+    weights = np.where(at[:, None] <= at[None, :], lam * (1 - lam) ** np.maximum(at[None, :] - at[:, None], 0), 0.0)
+    out = np.append(x, np.zeros(-len(x) % block)).reshape(-1, block) @ weights
+    fading, z = (1 - lam) ** (at + 1), 0.0
+    for row in out:
+        row += fading * z
+        z = row[-1]
+    return out.ravel()[: len(x)]
+
+
+def ewma(df: DataFrame, value: str, order: str, key: str, control_limit: float = 3.0, warmup: int = 30, lam: float = 0.2) -> DataFrame:
+    """(key, order, n, value, score, threshold, drift) of all rows, as the Ewma machine gives them; rows of the warm-up score 0.
+
+    What a slice does to the mean that enters it is an affine map, so slices run by themselves from 0 and their maps are
+    composed, a row a slice. Limits stay after an alarm.
+    """
+    Ewma(control_limit=control_limit, warmup=warmup, lam=lam)
+    rows = _sliced_rows(df, value, order, key)
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, order)}
+    early = rows.where(F.col("n") <= warmup).groupBy(F.col(key).alias("__key")).agg(F.avg("x").alias("target"), F.stddev_pop("x").alias("sigma"), F.count("*").alias("early"))
+
+    def own(group: pa.Table) -> pa.Table:
+        group = group.sort_by("position")
+        n = group["n"].to_numpy()
+        z = np.zeros(len(n))
+        z[n > warmup] = _smoothed(group["x"].to_numpy()[n > warmup], lam)
+        return group.append_column("z", pa.array(z)).append_column("steps", pa.array(np.maximum(0, n - np.maximum(n[0] - 1, warmup))))
+
+    local = rows.groupBy(key, "slice").applyInArrow(own, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, x double, slice int, position long, n long, z double, steps long")
+    ends = local.groupBy(key, "slice").agg(F.max_by("z", "position").alias("z"), F.max("steps").alias("steps"))
+    ends = ends.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slice", "z", "steps"))).alias("ends"))  # a row a slice
+    fade = lambda steps: F.pow(F.lit(1 - lam), steps)
+    into = F.aggregate("ends", F.struct(F.col("target").alias("z"), F.array().cast("array<struct<slice:int,entering:double>>").alias("seen")), lambda s, e: F.struct((e["z"] + fade(e["steps"]) * s["z"]).alias("z"), F.concat(s["seen"], F.array(F.struct(e["slice"].alias("slice"), s["z"].alias("entering")))).alias("seen")), lambda s: s["seen"])
+    entering = ends.join(early, F.col(key).eqNullSafe(F.col("__key"))).select(key, "target", "sigma", "early", F.explode(into).alias("e")).select(key, "target", "sigma", "e.slice", "e.entering")
+    whole = with_slices(local, entering, [key])
+    running_ = F.col("n") > warmup
+    score = F.when(running_, F.abs(F.col("z") + fade(F.col("steps")) * F.col("entering") - F.col("target"))).otherwise(0.0)
+    limit = F.when(running_, control_limit * F.col("sigma") * math.sqrt(lam / (2 - lam)))
+    return whole.select(key, order, "n", F.col("x").alias(value), score.alias("score"), limit.alias("threshold"), F.coalesce(score > limit, F.lit(False)).alias("drift"))
+
+
 def ddm(df: DataFrame, error: Column, order: str, key: str, min_samples: int = 30, drift_level: float = 3.0) -> DataFrame:
-    """(key, order, n, score, threshold, drift) without restarts; error is 0 or 1."""
-    run = _running(key, order)
-    rows = _numbered(df.withColumn("__error", error), "__error", order, key).withColumn("p", F.avg("x").over(run))
+    """(key, order, n, score, threshold, drift) without restarts; error is 0 or 1. Slices as in cusum()."""
+    rows = running(_sliced_rows(df.withColumn("__error", error), "__error", order, key), [key], {"errors": F.col("x")}).withColumn("p", F.col("errors") / F.col("n"))
     rows = rows.withColumn("s", F.sqrt(F.greatest(F.col("p") * (1 - F.col("p")), F.lit(0.0)) / F.col("n")))
     late = F.when(F.col("n") >= min_samples, F.struct((F.col("p") + F.col("s")).alias("t"), (-F.col("n")).alias("k"), "p", "s"))
-    rows = rows.withColumn("best", F.min(late).over(run))
+    rows = running(rows, [key], {}, {"best": late})
     limit = F.col("best.p") + drift_level * F.col("best.s")
     score = F.col("p") + F.col("s")
     return rows.select(key, order, "n", score.alias("score"), limit.alias("threshold"), F.coalesce(score > limit, F.lit(False)).alias("drift"))

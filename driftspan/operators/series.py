@@ -1,10 +1,11 @@
 """Ordered series of any length: numbered without sorting one in a task, and computed over count windows in blocks."""
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from driftspan.errors import require
@@ -29,15 +30,47 @@ def numbered(df: DataFrame, order: str, keys: Sequence[str] = (), ties: Sequence
     rows = sliced(df, order, slices)
     sizes = rows.groupBy(*keys, "slice").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("slice").alias("__slice"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    same = F.col("slice") == F.col("__slice")
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    starts = sizes.select(*keys, "slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     own = F.row_number().over(Window.partitionBy(*keys, "slice").orderBy(order, *ties))
-    joined = rows.withColumn("__own", own).join(starts if keys else F.broadcast(starts), same)
+    joined = with_slices(rows.withColumn("__own", own), starts, keys)
     return joined.withColumn("position", F.col("__start") + F.col("__own")).select(*df.columns, "slice", "position")
 
 
+def with_slices(rows: DataFrame, table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """rows with the columns of table, which has a row for each (keys..., slice); null keys are a series too."""
+    by = [*keys, "slice"]
+    named = table.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(by)})
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(by)))
+    return rows.join(named if keys else F.broadcast(named), same).drop(*(f"__k{i}" for i in range(len(by))))
+
+
+def running(rows: DataFrame, keys: Sequence[str], sums: dict[str, Column], least: dict[str, Column] | None = None) -> DataFrame:
+    """rows (keys, slice, position) with running sums, by name, and, by name, running minima of expressions over these.
+
+    Each slice runs by itself and is moved by what the slices before it come to: sums add up, the least of all is the least of
+    each slice's. So one long series is the work of as many tasks as it has slices.
+    """
+    least = least or {}
+    own = Window.partitionBy(*keys, "slice").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    if sums:
+        rows = _summed(rows, keys, sums, own, before)
+    if not least:
+        return rows
+    rows = rows.withColumns({name: F.min(x).over(own) for name, x in least.items()})
+    lows = rows.groupBy(*keys, "slice").agg(*(F.min(name).alias(name) for name in least))
+    lows = lows.select(*keys, "slice", *(F.min(name).over(before).alias(f"__{name}") for name in least))
+    return with_slices(rows, lows, keys).withColumns({name: F.least(name, f"__{name}") for name in least}).drop(*(f"__{name}" for name in least))
+
+
+def _summed(rows: DataFrame, keys: Sequence[str], sums: dict[str, Column], own: WindowSpec, before: WindowSpec) -> DataFrame:
+    rows = rows.withColumns({name: F.sum(x).over(own) for name, x in sums.items()})
+    totals = rows.groupBy(*keys, "slice").agg(*(F.max_by(name, "position").alias(name) for name in sums))
+    starts = totals.select(*keys, "slice", *(F.coalesce(F.sum(name).over(before), F.lit(0.0)).alias(f"__{name}") for name in sums))
+    moved = with_slices(rows, starts, keys).withColumns({name: F.col(name) + F.col(f"__{name}") for name in sums})
+    return moved.drop(*(f"__{name}" for name in sums))
+
+
 def windowed(df: DataFrame, order: str, keys: Sequence[str], columns: Sequence[str], window: int, compute: Callable[[pa.Table, int], dict[str, np.ndarray]], fields: str, ties: Sequence[str] = (), block: int | None = None) -> DataFrame:
     """(keys..., order, position, fields): what compute(rows, window) says of each row, from the last `window` rows up to it.
 

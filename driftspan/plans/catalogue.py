@@ -211,22 +211,28 @@ def tvd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(distances.chi_square(pairs(*orders(spark, sf_dir), ["o_orderpriority", "o_orderstatus"], "string")).select("feature", "tvd"))
 
 
-_FEW = """few AS (SELECT v, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS side, i FROM (SELECT value AS v, ts, event_id AS i, row_number() OVER (PARTITION BY ts < TIMESTAMP '2024-01-16' ORDER BY event_id) AS k FROM events) WHERE k <= 200),
-pd AS (SELECT a.side AS a, b.side AS b, a.i = b.i AS same, pow(a.v - b.v, 2) AS d2 FROM few a CROSS JOIN few b)"""
+_PARTS = """few AS (SELECT p_partkey AS i, p_size::DOUBLE AS u, p_retailprice / 100 AS v, p_partkey % 2 AS side FROM part),
+pd AS (SELECT a.side AS a, b.side AS b, a.i = b.i AS same, pow(a.u - b.u, 2) + pow(a.v - b.v, 2) AS d2 FROM few a CROSS JOIN few b)"""
 
 
-def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distances.pair_distances(*(adaptation.select_sliding(df.withColumn("__i", -F.col("event_id")), "__i", 200) for df in events(spark, sf_dir)), ["value"])
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sizes and prices of even and odd parts, all pairs."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_retailprice") / 100).alias("price"))
+    return multivariate.pair_statistics(*split(rows, F.col("p_partkey") % 2 == 0), ["p_size", "price"], 0.01)
 
 
-@query(f"WITH {_FEW} SELECT round(2 * avg(CASE WHEN a = 0 AND b = 1 THEN sqrt(d2) END) - avg(CASE WHEN a = 0 AND b = 0 THEN sqrt(d2) END) - avg(CASE WHEN a = 1 AND b = 1 THEN sqrt(d2) END), 6) AS energy FROM pd")
+@query(f"""WITH {_PARTS}
+SELECT round(2 * avg(CASE WHEN a = 0 AND b = 1 THEN sqrt(d2) END) - avg(CASE WHEN a = 0 AND b = 0 THEN sqrt(d2) END)
+  - avg(CASE WHEN a = 1 AND b = 1 THEN sqrt(d2) END), 6) AS energy FROM pd""")
 def energy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(distances.energy_distance(_few(spark, sf_dir)))
+    return rounded(_parts(spark, sf_dir).select("energy"))
 
 
-@query(f"WITH {_FEW} SELECT round(avg(CASE WHEN a = 0 AND b = 0 AND NOT same THEN exp(-0.001 * d2) END) + avg(CASE WHEN a = 1 AND b = 1 AND NOT same THEN exp(-0.001 * d2) END) - 2 * avg(CASE WHEN a = 0 AND b = 1 THEN exp(-0.001 * d2) END), 6) AS mmd2 FROM pd")
+@query(f"""WITH {_PARTS}
+SELECT round(avg(CASE WHEN a = 0 AND b = 0 AND NOT same THEN exp(-0.01 * d2) END) + avg(CASE WHEN a = 1 AND b = 1 AND NOT same THEN exp(-0.01 * d2) END)
+  - 2 * avg(CASE WHEN a = 0 AND b = 1 THEN exp(-0.01 * d2) END), 6) AS mmd2 FROM pd""")
 def mmd_fixed_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(distances.mmd_squared(_few(spark, sf_dir), 0.001).select("mmd2"))
+    return rounded(_parts(spark, sf_dir).select("mmd2"))
 
 
 @query(f"""WITH {S_STATUS}, l0 AS (SELECT feature, v, sum(r) AS r, sum(c) AS c FROM pr GROUP BY ALL),
@@ -594,8 +600,7 @@ def cusum_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S_EWMA)
 def ewma_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = online.fold(table(spark, sf_dir, "events"), online.Ewma, "value", "event_id", "event_type")
-    return rounded(rows.select("event_type", "event_id", "score", "drift"))
+    return rounded(online.ewma(table(spark, sf_dir, "events"), "value", "event_id", "event_type").select("event_type", "event_id", "score", "drift"))
 
 
 @query()
@@ -719,6 +724,32 @@ def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(efficacy.class_report(scored, "side", ["price", "date"], "o_orderstatus", "z", "q", _CLASSES))
 
 
+S_COHORTS = _sql_pairs("events", "ts < TIMESTAMP '2024-01-16'", ["value"], keys="event_type,")
+
+
+@query(f"""WITH {S_COHORTS},
+e0 AS (SELECT 1 - grouping(event_type) AS level, event_type, unnest(quantile_cont(v, {_TENTHS})) AS x FROM pr WHERE r > 0 GROUP BY ROLLUP (event_type)),
+edges AS (SELECT level, event_type, list_sort(list_distinct(list(x))) AS edges FROM e0 GROUP BY ALL),
+hist AS (SELECT level, e.event_type, len(list_filter(edges[2:len(edges) - 1], lambda e: v >= e)) AS bin, sum(r) AS r, sum(c) AS c FROM pr JOIN edges e ON level = 0 OR pr.event_type = e.event_type GROUP BY ALL),
+spine AS (SELECT level, event_type, unnest(range(len(edges) - 1)) AS bin FROM edges),
+f AS (SELECT s.level, s.event_type, coalesce(r, 0) AS r, coalesce(c, 0) AS c FROM spine s LEFT JOIN hist h ON s.level = h.level AND s.event_type IS NOT DISTINCT FROM h.event_type AND s.bin = h.bin),
+q AS (SELECT *, sum(r) OVER w AS n, sum(c) OVER w AS m FROM f WINDOW w AS (PARTITION BY level, event_type)),
+z AS (SELECT level, event_type, n, m, CASE WHEN r = 0 THEN 1e-6 ELSE r / n END AS a, CASE WHEN c = 0 THEN 1e-6 ELSE c / m END AS b FROM q)
+SELECT level::INT AS level, event_type, 'value' AS feature, round(sum((b - a) * ln(b / a)), 6) AS statistic, n, m FROM z GROUP BY ALL""")
+def rollup_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PSI of all events and of each type, from one count of the values."""
+    return rounded(detectors.rollup(*events(spark, sf_dir), "psi", ["event_type"], ["value"]).drop("raw_p_value"))
+
+
+@query(f"""WITH {_sql_pairs("orders", "o_orderdate < TIMESTAMP '1998-01-01'", ["o_totalprice"], keys="o_orderpriority, o_orderstatus,")},
+lv AS (SELECT level, CASE WHEN level > 0 THEN o_orderpriority END AS o_orderpriority, CASE WHEN level > 1 THEN o_orderstatus END AS o_orderstatus, v, sum(r) AS r, sum(c) AS c FROM pr, range(3) AS t(level) GROUP BY ALL),
+run AS (SELECT *, sum(r) OVER w AS cr, sum(c) OVER w AS cc, sum(r) OVER g AS n, sum(c) OVER g AS m FROM lv WINDOW w AS (PARTITION BY level, o_orderpriority, o_orderstatus ORDER BY v), g AS (PARTITION BY level, o_orderpriority, o_orderstatus))
+SELECT level::INT AS level, o_orderpriority, o_orderstatus, 'o_totalprice' AS feature, round(max(abs(cr / n - cc / m)), 6) AS statistic, n, m FROM run GROUP BY ALL""")
+def rollup_ks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KS statistics of all orders, by priority, and by priority and status."""
+    return rounded(detectors.rollup(*orders(spark, sf_dir), "ks", ["o_orderpriority", "o_orderstatus"], ["o_totalprice"]).drop("raw_p_value"))
+
+
 # Each batch is a feature of its own, beside the whole baseline.
 S_BATCHES = """pr AS (SELECT t.i::VARCHAR AS feature, value AS v, 1.0::DOUBLE AS r, 0.0::DOUBLE AS c FROM events CROSS JOIN range(4) AS t(i) WHERE ts < TIMESTAMP '2024-01-16' AND value IS NOT NULL
  UNION ALL SELECT (event_id % 4)::VARCHAR, value, 0.0, 1.0 FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND value IS NOT NULL)"""

@@ -185,12 +185,12 @@ def test_multivariate(spark):
         assert not multivariate.two_sample_test(base, same, method, permutations=60).first()["drift"]
         assert multivariate.two_sample_test(base, far, method, permutations=60).first()["drift"]
     x, y = (np.array(df.collect(), float) for df in (base.limit(40), far.limit(40)))
-    d = distances.pair_distances(base.limit(40), far.limit(40), ["a", "b", "c"])
+    both = multivariate.pair_statistics(base.limit(40), far.limit(40), ["a", "b", "c"], 0.2, block=16).first()
     norm = lambda p, q: np.sqrt(((p[:, None] - q[None]) ** 2).sum(-1))
-    assert distances.energy_distance(d).first()[0] == pytest.approx(2 * norm(x, y).mean() - norm(x, x).mean() - norm(y, y).mean())
+    assert both["energy"] == pytest.approx(2 * norm(x, y).mean() - norm(x, x).mean() - norm(y, y).mean())
     k = lambda p, q: np.exp(-0.2 * norm(p, q) ** 2)
     off = lambda m: (m.sum() - np.trace(m)) / (len(m) * (len(m) - 1))
-    assert distances.mmd_squared(d, 0.2).first()["mmd2"] == pytest.approx(off(k(x, x)) + off(k(y, y)) - 2 * k(x, y).mean())
+    assert both["mmd2"] == pytest.approx(off(k(x, x)) + off(k(y, y)) - 2 * k(x, y).mean())
     assert multivariate.wasserstein_test(base, far, "a", 40).first()["drift"]
     row = multivariate.bootstrap_psi(base, far, "a", 50).first()
     assert row["lo"] < row["hi"]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftspan.errors import ValidationError
-from driftspan.operators import efficacy, monitoring, multivariate
+from driftspan.operators import detectors, efficacy, monitoring, multivariate, online
 from driftspan.operators.pairs import pairs
 from driftspan.operators.permuted import permuted
 from driftspan.operators.series import numbered
@@ -27,6 +27,42 @@ def test_numbered_series(spark):
     assert numbered(df.limit(0), "t").collect() == []
 
 
+@pytest.mark.parametrize("slices", [2, 7])
+def test_sliced_detectors_equal_machines(spark, slices):
+    """One series holds most rows; slices cut it anywhere. The null key is a series, one is shorter than the warm-up."""
+    rng = np.random.default_rng(slices)
+    series = {"a": np.concatenate([rng.normal(0, 1, 400), rng.normal(1.5, 1, 200)]), None: rng.normal(0, 1, 90), "c": rng.normal(0, 1, 12)}
+    rows = [(k, i, float(x)) for k, own in series.items() for i, x in enumerate(own)] + [("a", 9999, None)]
+    df = spark.createDataFrame(rows, "k string, i long, v double").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", slices)
+    try:
+        chart = online.ewma(df, "v", "i", "k", control_limit=2.0).collect()
+        sums = online.cusum(df, "v", "i", "k", 0.0, 0.2, 1e9).collect()
+        hinkley = online.page_hinkley(df, "v", "i", "k", 0.01, 1e9).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for rows_, machine in ((chart, lambda: online.Ewma(control_limit=2.0)), (sums, lambda: online.Cusum(0.0, 0.2, 1e9)), (hinkley, lambda: online.PageHinkley(0.01, 1e9))):
+        for k, own in series.items():
+            m, got = machine(), sorted((r for r in rows_ if r.k == k), key=lambda r: r.n)
+            assert [r.n for r in got] == list(range(1, len(own) + 1))
+            for r, x in zip(got, own, strict=True):
+                score, limit, _, drift = m.step(x)
+                assert abs(r.score - score) < 1e-8 and r.drift == drift and (limit is None) == (r.threshold is None)
+
+
+def test_rollup_equals_each_cohort(spark):
+    rng = random.Random(2)
+    sides = [spark.createDataFrame([(rng.choice(["u", "v", None]), rng.randrange(2), rng.gauss(s, 1)) for _ in range(300)], "k string, j int, x double").repartition(3) for s in (0, 1)]
+    for method in ("psi", "ks", "energy"):
+        got = {(r.level, r.k, r.j): (r.statistic, r.n, r.m) for r in detectors.rollup(*sides, method, ["k", "j"], ["x"]).collect()}
+        assert len(got) == 1 + 3 + 6
+        for (level, k, j), seen in got.items():
+            where = F.lit(True) & (F.col("k").eqNullSafe(k) if level > 0 else F.lit(True)) & (F.col("j").eqNullSafe(j) if level > 1 else F.lit(True))
+            if (level, k, j) in ((0, None, None), (1, None, None), (2, "u", 1)):
+                one = detectors.statistics(*(df.where(where) for df in sides), method, ["x"]).first()
+                assert (one.n, one.m) == seen[1:] and abs(one.statistic - seen[0]) < 1e-9
+
+
 def plain_metrics(rows):
     y, z, s = zip(*rows, strict=True)
     out, classes = {"accuracy": np.mean([a == b for a, b in zip(y, z, strict=True)])}, sorted({*y, *z})
