@@ -328,15 +328,28 @@ def datetime_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(detectors.datetime_drift(*events(spark, sf_dir), "ts").select("cadence_score", "hour_score", "score"))
 
 
-@query("SELECT * FROM (VALUES (1.0::DOUBLE), (3.0::DOUBLE), (2.0::DOUBLE)) AS t(x)")
+@query("""WITH h AS (
+  SELECT l_shipdate < TIMESTAMP '1998-01-01' AS early, CASE WHEN l_orderkey % 7 > 0 THEN l_quantity END AS quantity, CASE WHEN l_partkey % 11 > 0 THEN l_tax END AS tax FROM lineitem),
+m AS (SELECT avg(quantity) AS quantity, avg(tax) AS tax FROM h WHERE early)
+SELECT early, count(*) AS n, round(avg(coalesce(h.quantity, m.quantity)), 6) AS quantity, round(avg(coalesce(h.tax, m.tax)), 6) AS tax,
+  round(var_pop(coalesce(h.quantity, m.quantity)), 6) AS quantity_variance FROM h, m GROUP BY early""")
 def missing_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),)], "x double")
-    return preprocessing.missing_values(a, a, "impute")[0]
-
-
-@query("SELECT * FROM (VALUES ('a', 'same'), ('b', 'missing'), ('c', 'extra'), ('d', 'retyped')) AS t(\"column\", status)")
+    """Line items with holes, nulls in one column and NaN in another, filled by the means of the early side."""
+    holed = [df.select(
+        F.when(F.col("l_orderkey") % 7 > 0, F.col("l_quantity")).alias("quantity"), F.when(F.col("l_partkey") % 11 > 0, F.col("l_tax")).otherwise(float("nan")).alias("tax"),
+    ) for df in lineitems(spark, sf_dir)]
+    early, late = (df.withColumn("early", F.lit(e)) for df, e in zip(preprocessing.missing_values(*holed, "impute"), (True, False), strict=True))
+    rows = early.unionByName(late).groupBy("early")
+    return rounded(rows.agg(F.count("*").alias("n"), F.avg("quantity").alias("quantity"), F.avg("tax").alias("tax"), F.var_pop("quantity").alias("quantity_variance")))
+
+
+@query("""WITH a AS (SELECT column_name AS c, column_type AS t FROM (DESCRIBE part)),
+b AS (SELECT CASE WHEN c = 'p_brand' THEN 'p_label' ELSE c END AS c, CASE WHEN c = 'p_size' THEN 'VARCHAR' ELSE t END AS t FROM a)
+SELECT coalesce(a.c, b.c) AS "column", CASE WHEN a.c IS NULL THEN 'extra' WHEN b.c IS NULL THEN 'missing' WHEN a.t = b.t THEN 'same' ELSE 'retyped' END AS status FROM a FULL JOIN b ON a.c = b.c""")
 def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preprocessing.schema_diff(spark.createDataFrame([], "a int, b int, d int"), spark.createDataFrame([], "a int, c int, d string"))
+    """The parts against the parts with a renamed and a retyped column."""
+    part = table(spark, sf_dir, "part")
+    return preprocessing.schema_diff(part, part.withColumnRenamed("p_brand", "p_label").withColumn("p_size", F.col("p_size").cast("string")))
 
 
 _NUM = "nm AS (SELECT event_type, event_id, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events WHERE value IS NOT NULL)"
