@@ -9,6 +9,9 @@ from driftspan.errors import require
 from driftspan.operators.pairs import few, running_counts, value_counts
 
 STRATEGIES = ("quantile", "uniform", "approx", "kll")
+LITERAL = 16  # features whose edges are written into the expression
+
+Edges = DataFrame | dict[str, list[float]]
 
 
 def _exact_quantiles(reference: DataFrame, bins: int, by: Sequence[str]) -> DataFrame:
@@ -57,13 +60,32 @@ def bin_of(v: Column, edges: Column) -> Column:
     return F.size(F.filter(inner, lambda e: v >= e))
 
 
-def histograms(relation: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def known_edges(edges: DataFrame) -> Edges:
+    """The edges themselves, by feature, if there are at most LITERAL features, else `edges`: comparisons with numbers cost a
+    third of a join, and a row a feature is all the driver gets."""
+    rows = edges.limit(LITERAL + 1).collect()
+    return {r["feature"]: list(r["edges"]) for r in rows} if len(rows) <= LITERAL else edges
+
+
+def _with_bins(relation: DataFrame, edges: Edges, keys: Sequence[str]) -> DataFrame:
+    """relation with bin and bins; rows of features without edges are left out."""
+    if isinstance(edges, DataFrame):
+        return relation.join(few(edges, keys), [*keys, "feature"]).withColumns({"bin": bin_of(F.col("v"), F.col("edges")), "bins": F.size("edges") - 1})
+    bin_, bins = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for feature, e in edges.items():
+        number = sum(((F.col("v") >= x).cast("int") for x in e[1:-1]), F.lit(0))
+        bin_, bins = F.when(F.col("feature") == feature, number).otherwise(bin_), F.when(F.col("feature") == feature, len(e) - 1).otherwise(bins)
+    return relation.withColumns({"bin": bin_, "bins": bins}).where("bin is not null")
+
+
+def histograms(relation: DataFrame, edges: Edges, keys: Sequence[str] = ()) -> DataFrame:
     """(keys..., feature, bin, p, q, n, m): shares of the reference and the current rows in every bin, empty ones too, and both sizes.
 
-    relation has rows, or counts by value; edges a row for each feature (and cohort). One aggregation over the data, no sort.
+    relation has rows, or counts by value; edges a row for each feature (and cohort), or, without keys, are given by feature.
+    One aggregation over the data, no sort.
     """
     by = [*keys, "feature"]
-    binned = relation.join(few(edges, keys), by).select(*by, bin_of(F.col("v"), F.col("edges")).alias("bin"), (F.size("edges") - 1).alias("bins"), "r", "c")
+    binned = _with_bins(relation, edges, keys)
     counted = binned.groupBy(*by, "bin").agg(F.max("bins").alias("bins"), F.sum("r").alias("r"), F.sum("c").alias("c"))
     filled = F.map_from_entries(F.collect_list(F.struct("bin", F.struct("r", "c"))))
     whole = counted.groupBy(*by).agg(F.max("bins").alias("bins"), filled.alias("found"), F.sum("r").alias("n"), F.sum("c").alias("m"))

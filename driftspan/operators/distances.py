@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspan.errors import require
-from driftspan.operators.binning import bin_edges, histograms
+from driftspan.operators.binning import bin_edges, histograms, known_edges
 from driftspan.operators.pairs import running_counts, value_counts
 
 TINY = 1e-12
@@ -42,7 +42,8 @@ def binned(relation: DataFrame, bins: int = 10, strategy: str = "quantile", keys
     by = [*keys, "feature"]
     counted = strategy == "quantile"  # these edges come from counts by value, and the bins of the same counts
     rows = value_counts(relation, keys) if counted else relation
-    shares = histograms(rows, bin_edges(rows, bins, strategy, keys=keys, counted=counted), keys)
+    edges = bin_edges(rows, bins, strategy, keys=keys, counted=counted)
+    shares = histograms(rows, edges if keys or counted else known_edges(edges), keys)
     return divergences(shares, by, psi_epsilon=epsilon).select(*by, "psi", "js", "n", "m")
 
 

@@ -1,7 +1,10 @@
 """The per-column metric table: smoothed categorical and kernel-density numeric measures."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,22 +39,39 @@ def categorical_metrics(reference: DataFrame, current: DataFrame, columns: Seque
     return rows.withColumn("p_value", chi2_p(F.col("chi_square"), F.col("df"))).select("feature", "chi_square", "p_value", "kl_post_prior", "kl_prior_post", "js_distance", "wasserstein")
 
 
+def _kernel_sums(steps: int):
+    """(feature, i, r, c): Gaussian kernel sums of a task's distinct values at the points of each feature's grid."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for feature in pc.unique(batch.column("feature")):
+                own = batch.filter(pc.equal(batch.column("feature"), feature))
+                at = {c: own.column(c).to_numpy() for c in own.schema.names if c != "feature"}
+                x = at["lo"][0] + (at["hi"][0] - at["lo"][0]) * np.arange(steps) / (steps - 1)
+                sums = total.setdefault(feature.as_py(), np.zeros((2, steps)))
+                for k, s in enumerate("rc"):
+                    width = at[f"sd{s}"][0] * at[f"n{s}"][0] ** -0.2
+                    sums[k] += at[s] @ np.exp(-(((x[None, :] - at["v"][:, None]) / width) ** 2) / 2)
+        for feature, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([feature] * steps), pa.array(np.arange(steps, dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])], ["feature", "i", "r", "c"])
+
+    return add
+
+
 def numeric_metrics(reference: DataFrame, current: DataFrame, columns: Sequence[str], steps: int = 100) -> DataFrame:
     """(feature, ks, p_value, wasserstein, js_distance): the last between Gaussian kernel densities on a grid of `steps` points.
 
     Features with fewer than two values a side are left out; one without spread has a NaN js_distance. Kernel sums run
-    over distinct values, at the grid's points only: linear in the data.
+    over distinct values, at the grid's points only: linear in the data, and a task sends `steps` sums a feature.
     """
     relation = pairs(reference, current, columns)
     spread = lambda s: F.sqrt(F.greatest((F.sum(F.col(s) * F.col("v") * F.col("v")) - F.pow(F.sum(F.col(s) * F.col("v")), 2) / F.sum(s)) / (F.sum(s) - 1), F.lit(0.0)))
     counts = value_counts(relation)
     shape = counts.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), *(x for s in "rc" for x in (F.sum(s).alias(f"n{s}"), spread(s).alias(f"sd{s}"))))
     shape = shape.where("nr >= 2 and nc >= 2")
-    grid = shape.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i")).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (steps - 1))
-    grid = grid.select("feature", F.struct("i", "x", *(f"{a}{s}" for a in ("sd", "n") for s in "rc")).alias("g")).groupBy("feature").agg(F.collect_list("g").alias("grid"))  # steps points a feature
-    width = lambda s: F.col(f"g.sd{s}") * F.pow(F.col(f"g.n{s}"), -0.2)
-    kernel = lambda s: F.sum(F.col(s) * F.exp(-F.pow((F.col("g.x") - F.col("v")) / width(s), 2) / 2)).alias(s)
-    density = counts.join(F.broadcast(grid), "feature").select("feature", "v", "r", "c", F.explode("grid").alias("g")).where("g.sdr > 0 and g.sdc > 0").groupBy("feature", "g.i").agg(kernel("r"), kernel("c"))
+    shown = counts.join(F.broadcast(shape.where("sdr > 0 and sdc > 0")), "feature")
+    density = shown.mapInArrow(_kernel_sums(steps), "feature string, i int, r double, c double").groupBy("feature", "i").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     whole = Window.partitionBy("feature")
     shares = density.select("feature", *((F.col(s) / F.sum(s).over(whole)).alias(x) for s, x in (("r", "p"), ("c", "q"))))
     rows = cdf_statistics(relation).where("n >= 2 and m >= 2").join(_js(shares, ["feature"]), "feature", "left")
