@@ -14,18 +14,21 @@ LITERAL = 16  # features whose edges are written into the expression
 Edges = DataFrame | dict[str, list[float]]
 
 
-def _exact_quantiles(reference: DataFrame, bins: int, by: Sequence[str]) -> DataFrame:
-    """(by..., raw): the interpolated quantiles, from running counts of the distinct values: no task holds or sorts a whole feature.
+def exact_quantiles(counts: DataFrame, shares: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., feature, raw): the interpolated quantiles of the rows that r counts, in the order of rising shares.
 
-    The quantile of a share s lies at position (n - 1) s among the sorted rows, between the rows before and after it.
+    counts has a row a value, as value_counts gives it, with r above 0. Values are selected by their running counts: no task
+    holds or sorts a whole feature. The quantile of a share s lies at position (n - 1) s among the sorted rows, between the
+    rows before and after it.
     """
-    rows = running_counts(reference, by[:-1], counted=True)
-    place = lambda i: (F.col("n") - 1) * F.lit(i / bins)
-    lower = lambda i: F.floor(place(i))
-    value = lambda i: F.when(F.ceil(place(i)) == lower(i), F.col("v")).otherwise((F.ceil(place(i)) - place(i)) * F.col("v") + (place(i) - lower(i)) * F.when(lower(i) + 1 < F.col("cr"), F.col("v")).otherwise(F.col("next")))
-    inside = lambda i: (F.col("cr") - F.col("r") <= lower(i)) & (lower(i) < F.col("cr"))
-    found = rows.select(*by, F.array_compact(F.array(*(F.when(inside(i), value(i)) for i in range(bins + 1)))).alias("found")).where("size(found) > 0")
-    return found.groupBy(*by).agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("raw"))  # bins + 1 numbers
+    by = [*keys, "feature"]
+    rows = running_counts(counts, keys, counted=True)
+    place = lambda s: (F.col("n") - 1) * F.lit(s)
+    lower = lambda s: F.floor(place(s))
+    value = lambda s: F.when(F.ceil(place(s)) == lower(s), F.col("v")).otherwise((F.ceil(place(s)) - place(s)) * F.col("v") + (place(s) - lower(s)) * F.when(lower(s) + 1 < F.col("cr"), F.col("v")).otherwise(F.col("next")))
+    inside = lambda s: (F.col("cr") - F.col("r") <= lower(s)) & (lower(s) < F.col("cr"))
+    found = rows.select(*by, F.array_compact(F.array(*(F.when(inside(s), value(s)) for s in shares))).alias("found")).where("size(found) > 0")
+    return found.groupBy(*by).agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("raw"))  # a number a share
 
 
 def bin_edges(relation: DataFrame, bins: int = 10, strategy: str = "quantile", accuracy: int = 400, keys: Sequence[str] = (), counted: bool = False) -> DataFrame:
@@ -47,8 +50,11 @@ def bin_edges(relation: DataFrame, bins: int = 10, strategy: str = "quantile", a
         rows = reference.agg(F.kll_sketch_agg_double("v", F.lit(min(max(accuracy, 8), 65535))).alias("sketch"))
         raw = F.array(*(F.expr(f"kll_sketch_get_quantile_double(sketch, {i / bins}D)") for i in range(bins + 1)))
     else:
-        shares = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-        rows = _exact_quantiles((relation if counted else value_counts(relation, keys)).where("r > 0"), bins, [*keys, "feature"]) if strategy == "quantile" else reference.agg(F.percentile_approx("v", shares, accuracy).alias("raw"))
+        shares = [i / bins for i in range(bins + 1)]
+        if strategy == "quantile":
+            rows = exact_quantiles((relation if counted else value_counts(relation, keys)).where("r > 0"), shares, keys)
+        else:
+            rows = reference.agg(F.percentile_approx("v", F.array(*map(F.lit, shares)), accuracy).alias("raw"))
         raw = F.col("raw")
     distinct = F.array_sort(F.array_distinct(raw))
     return rows.select(*keys, "feature", distinct.alias("edges")).withColumn("edges", F.when(F.size("edges") < 2, F.array(F.col("edges")[0], F.col("edges")[0] + 1)).otherwise(F.col("edges")))

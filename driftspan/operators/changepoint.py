@@ -2,13 +2,18 @@
 
 import heapq
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspan.errors import require
+from driftspan.operators.series import numbered, running
+from driftspan.operators.shared import kept
+
+FEW = 100_000  # splits that go to all tasks
 
 
 class _Sums:
@@ -117,3 +122,41 @@ def window_changes(df: DataFrame, value: str, order: str, key: str, window: int
 
     hits = window_gaps(df, value, order, key, window).where(F.col("stat") > threshold)
     return hits.groupBy(key).applyInPandas(thin, f"`{key}` {kind}, change_point long, score double")
+
+
+def binary_segments(df: DataFrame, value: str, order: str, key: str, penalty: float, min_size: int = 2) -> DataFrame:
+    """(key, change_point, score): as binary_segmentation() of each series, for series of any length.
+
+    Prefix sums run over slices of a series. A round looks for the best split of all open segments of all series at once, an
+    arg-max added up by task; rows of segments that were not split drop out, the others learn their new segment. Rounds
+    are kept in shared storage; there are as many as segments lie within each other. Positions count from 0 over the rows that have a value.
+    """
+    require(min_size >= 1 and penalty >= 0, "min_size must be at least 1 and penalty not negative")
+    valued = df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(value).cast("double").alias("x")).where("x is not null")
+    rows = numbered(valued, "o", ["k"], ["x"])
+    means = rows.groupBy(F.col("k").alias("__k")).agg(F.avg("x").alias("mean"))
+    rows = rows.join(means, F.col("k").eqNullSafe(F.col("__k"))).withColumn("x", F.col("x") - F.col("mean")).drop("__k", "mean")
+    rows = running(rows, ["k"], {"one": F.col("x"), "two": F.col("x") * F.col("x")}).select("k", F.struct(F.col("position").alias("n"), "one", "two").alias("at"))
+    ends = rows.groupBy(F.col("k").alias("__k")).agg(F.max_by("at", "at.n").alias("b"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("one"), F.lit(0.0).alias("two"))
+    opened = rows.join(ends, F.col("k").eqNullSafe(F.col("__k"))).select("k", "at", start.alias("a"), "b")
+    opened = kept(opened)
+
+    def cost(p: str, q: str) -> Column:
+        n, one = F.greatest(F.col(f"{q}.n") - F.col(f"{p}.n"), F.lit(1)), F.col(f"{q}.one") - F.col(f"{p}.one")
+        return F.col(f"{q}.two") - F.col(f"{p}.two") - one * one / n
+
+    wide = (F.col("at.n") - F.col("a.n") >= min_size) & (F.col("b.n") - F.col("at.n") >= min_size)
+    found = [opened.select("k", F.lit(0).cast("long").alias("change_point"), F.lit(0.0).alias("score")).limit(0)]
+    while True:
+        gains = opened.where(wide).withColumn("gain", cost("a", "b") - cost("a", "at") - cost("at", "b"))
+        best = gains.groupBy(F.col("k").alias("__k"), F.col("a.n").alias("__a")).agg(F.max_by(F.struct("at", "gain"), F.struct("gain", (-F.col("at.n")).alias("first"))).alias("s"))
+        splits = kept(best.where(F.col("s.gain") > penalty))
+        n = splits.count()
+        if not n:
+            break
+        found.append(splits.select(F.col("__k").alias("k"), F.col("s.at.n").alias("change_point"), F.col("s.gain").alias("score")))
+        told = opened.join(F.broadcast(splits) if n <= FEW else splits, F.col("k").eqNullSafe(F.col("__k")) & (F.col("a.n") == F.col("__a")))
+        left = F.col("at.n") <= F.col("s.at.n")
+        opened = kept(told.select("k", "at", F.when(left, F.col("a")).otherwise(F.col("s.at")).alias("a"), F.when(left, F.col("s.at")).otherwise(F.col("b")).alias("b")))
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("k", key)

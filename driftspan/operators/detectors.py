@@ -8,13 +8,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspan.errors import NotFittedError, ValidationError, require
 from driftspan.functions.corrections import METHODS as CORRECTIONS
 from driftspan.functions.corrections import adjust
 from driftspan.functions.pvalues import chi2_p, cvm_p, ks_p, ks_p_limit
+from driftspan.operators.binning import exact_quantiles
 from driftspan.operators.distances import binned, cdf_statistics, chi_square
 from driftspan.operators.pairs import numeric_columns, pairs, value_counts
 
@@ -253,6 +254,12 @@ def combine(results: DataFrame, mode: str = "majority") -> DataFrame:
     return results.agg((votes > limit).alias("drift"), votes.cast("double").alias("score"), limit.alias("threshold"))
 
 
+def _weighted_median(rows: DataFrame, value: Column) -> DataFrame:
+    """One row, median: of value, each as often as w says; null without rows. Selected by running counts of the distinct values."""
+    counts = rows.groupBy(F.lit("x").alias("feature"), value.alias("v")).agg(F.sum("w").cast("double").alias("r"), F.lit(0.0).alias("c"))
+    return exact_quantiles(counts, [0.5]).agg(F.max(F.get("raw", F.lit(0))).alias("median"))
+
+
 def datetime_drift(reference: DataFrame, current: DataFrame, column: str, threshold: float = 0.2, cadence_weight: float = 0.6, hour_weight: float = 0.4) -> DataFrame:
     """cadence_score, hour_score, score, threshold, drift of arrival gaps and hours of the day; invalid stamps are left out, and a side
     without valid ones is an error.
@@ -270,8 +277,8 @@ def datetime_drift(reference: DataFrame, current: DataFrame, column: str, thresh
     before = F.coalesce(F.lag("t").over(Window.partitionBy("side", "day").orderBy("t")), "carried")
     gaps = both.join(ends, ["side", "day"]).withColumn("gap", (F.unix_micros("t") - F.unix_micros(before)) / 1e6)
     gaps = gaps.select("side", F.explode(F.array(F.struct("gap", F.lit(1).cast("long").alias("w")), F.struct(F.lit(0.0).alias("gap"), (F.col("k") - 1).alias("w")))).alias("g")).select("side", "g.*").where("gap is not null and w > 0")
-    middle = gaps.where("side = 0").agg(F.coalesce(F.percentile("gap", F.lit(0.5), F.col("w")), F.lit(0.0)).alias("ref"))
-    away = gaps.where("side = 1").crossJoin(F.broadcast(middle)).agg(F.percentile(F.abs(F.col("gap") - F.col("ref")), F.lit(0.5), F.col("w")).alias("away"))
+    middle = _weighted_median(gaps.where("side = 0"), F.col("gap")).select(F.coalesce("median", F.lit(0.0)).alias("ref"))
+    away = _weighted_median(gaps.where("side = 1").crossJoin(F.broadcast(middle)), F.abs(F.col("gap") - F.col("ref"))).select(F.col("median").alias("away"))
     cadence = middle.crossJoin(F.broadcast(away)).select((F.coalesce("away", "ref") / (F.col("ref") + 1e-9)).alias("cadence_score"))  # a row each
     hours = both.groupBy(F.hour("t").alias("h")).agg(*(F.sum(F.when(F.col("side") == s, F.col("k")).otherwise(0)).alias(x) for s, x in enumerate("pq")))
     total = Window.partitionBy(F.lit(1))

@@ -628,7 +628,7 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S_BINARY)
 def binary_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(changepoint.by_series(_daily(spark, sf_dir), lambda x: changepoint.binary_segmentation(x, 100.0), "mean", "day", "event_type"))
+    return rounded(changepoint.binary_segments(_daily(spark, sf_dir), "mean", "day", "event_type", 100.0))
 
 
 @query(S_PELT)

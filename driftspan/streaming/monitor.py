@@ -18,6 +18,7 @@ from driftspan.errors import require
 from driftspan.operators.detectors import Univariate
 from driftspan.operators.online import MACHINES, Machine
 from driftspan.operators.preprocessing import align
+from driftspan.operators.series import numbered
 
 HISTORY = "window long, feature string, score double, drift boolean"
 
@@ -119,7 +120,12 @@ class StreamMonitor:
     def _mix(self, base: DataFrame, df: DataFrame, window: int) -> DataFrame:
         size, fresh = base.count(), df.count()
         wanted = min(round(size * self.ewma_alpha), fresh) if fresh else 0
-        draw = lambda x, n: x.withColumn("__h", F.xxhash64(*x.columns, F.lit(self.seed + window))).orderBy("__h", *x.columns).limit(n).drop("__h")
+
+        def draw(x: DataFrame, n: int) -> DataFrame:
+            """The n rows of least hash, selected by their numbers: no task takes them all."""
+            marked = x.withColumn("__h", F.xxhash64(*x.columns, F.lit(self.seed + window)))
+            return numbered(marked, "__h", (), x.columns).where(F.col("position") <= n).select(*x.columns)
+
         return draw(base, size - wanted).unionByName(draw(df, wanted).select(*base.columns))
 
     def run(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftspan.errors import ValidationError
-from driftspan.operators import detectors, efficacy, monitoring, multivariate, online
+from driftspan.operators import changepoint, detectors, efficacy, monitoring, multivariate, online
 from driftspan.operators.pairs import pairs
 from driftspan.operators.permuted import permuted
 from driftspan.operators.series import numbered
@@ -50,6 +50,32 @@ def test_sliced_detectors_equal_machines(spark, slices):
                 assert abs(r.score - score) < 1e-8 and r.drift == drift and (limit is None) == (r.threshold is None)
 
 
+@pytest.mark.parametrize("slices", [2, 6])
+def test_segments_of_sliced_series(spark, slices):
+    rng = np.random.default_rng(slices)
+    series = {"a": np.concatenate([rng.normal(m, 1, n) for m, n in ((0, 200), (4, 90), (-3, 3), (1, 150), (1.2, 60))]), None: rng.normal(0, 1, 50), "c": np.ones(3)}
+    rows = [(k, i, float(x)) for k, own in series.items() for i, x in enumerate(own)] + [("a", 7, None)]
+    df = spark.createDataFrame(rows, "x string, k long, v double").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", slices)
+    try:
+        got = changepoint.binary_segments(df, "v", "k", "x", 12.0, 2).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    expected = {(k, p): s for k, own in series.items() for p, s in changepoint.binary_segmentation(own, 12.0, 2)}
+    assert {(r.x, r.change_point) for r in got} == set(expected) and len(got) == len(expected) >= 3
+    assert all(abs(r.score - expected[r.x, r.change_point]) < 1e-6 for r in got)
+    assert changepoint.binary_segments(df.limit(0), "v", "k", "x", 12.0).collect() == []
+
+
+def test_weighted_median_by_running_counts(spark):
+    rng = random.Random(4)
+    for n in (1, 2, 5, 60):
+        rows = [(rng.choice([0.5, 1.0, 2.0, 7.0, rng.random()]), rng.randrange(1, 6)) for _ in range(n)]
+        df = spark.createDataFrame(rows, "v double, w long")
+        assert abs(detectors._weighted_median(df, F.col("v")).first()[0] - np.median([v for v, w in rows for _ in range(w)])) < 1e-12
+    assert detectors._weighted_median(df.limit(0), F.col("v")).first()[0] is None
+
+
 def test_rollup_equals_each_cohort(spark):
     rng = random.Random(2)
     sides = [spark.createDataFrame([(rng.choice(["u", "v", None]), rng.randrange(2), rng.gauss(s, 1)) for _ in range(300)], "k string, j int, x double").repartition(3) for s in (0, 1)]
