@@ -13,18 +13,22 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens; null texts and null ids as pack_documents states."""
     return packing.pack_documents(_documents(spark, sf_dir), default_path("word_bpe_49k.json"))
 
 
 def op6_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text, a row a document."""
     return bpe.round_trip(_documents(spark, sf_dir), default_path("byte_bpe_50k.json"))
 
 
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads stored as FLAC and read back, a row a document."""
     return media.media_report(media.encode_media(_documents(spark, sf_dir)))
 
 
 def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written as ORC in the shared folder and read back; writes when called."""
     folder = orc_tokens.write_documents(_documents(spark, sf_dir), default_path("word_bpe_49k.json"))
     return orc_tokens.summary(spark, folder)
 
@@ -34,10 +38,12 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_style_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
     return html.extract(_pages(spark, sf_dir))
 
 
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the counts of all others."""
     return lm.backoff_scores(_documents(spark, sf_dir))
 
 
@@ -45,19 +51,23 @@ URL_RULES = "allow com/, block example.com/en/, allow www.example.com/en/, block
 
 
 def op4_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages by URL_RULES and, where none fits, by aliases."""
     return urls.judge(_pages(spark, sf_dir), urls.parse_rules(URL_RULES))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles agree to 85 per cent."""
     return jaccard.near_duplicates(_documents(spark, sf_dir), size=4, percent=85)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts against the table's own language references."""
     docs = _documents(spark, sf_dir)
     return quality.quality_verdicts(docs, quality.language_references(docs)).drop("class_distance", "word_distance")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without 13-word windows that a smaller id has."""
     return substrings.removal_report(_documents(spark, sf_dir), window=13)
 
 
