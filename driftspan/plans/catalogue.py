@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspan.functions.pvalues import chi2_p_even
-from driftspan.operators import adaptation, binning, changepoint, detectors, distances, efficacy, legacy, monitoring, multivariate, online, preprocessing, report, windows
+from driftspan.operators import adaptation, binning, changepoint, detectors, distances, efficacy, legacy, monitoring, multivariate, online, preprocessing, report, sketches, windows
 from driftspan.operators.pairs import pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -763,6 +763,16 @@ def rollup_ks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(detectors.rollup(*orders(spark, sf_dir), "ks", ["o_orderpriority", "o_orderstatus"], ["o_totalprice"]).drop("raw_p_value"))
 
 
+@query()
+def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenths of the first half month's values from daily sketches, and whether their exact ranks keep the sketch's bound."""
+    rows = table(spark, sf_dir, "events").select(F.lit("value").alias("feature"), F.col("value").cast("double").alias("v"), F.to_date("ts").alias("day"))
+    half = F.lit("2024-01-15").cast("date")
+    whole = sketches.merged(sketches.sketch_chunks(rows, "day"), last=half)
+    found = sketches.rank_errors(sketches.sketch_quantiles(whole, [i / 10 for i in range(11)]), rows.where(F.col("day") <= half))
+    return rounded(found.withColumn("within", F.col("error") <= sketches.rank_bound(400)))
+
+
 # Each batch is a feature of its own, beside the whole baseline.
 S_BATCHES = """pr AS (SELECT t.i::VARCHAR AS feature, value AS v, 1.0::DOUBLE AS r, 0.0::DOUBLE AS c FROM events CROSS JOIN range(4) AS t(i) WHERE ts < TIMESTAMP '2024-01-16' AND value IS NOT NULL
  UNION ALL SELECT (event_id % 4)::VARCHAR, value, 0.0, 1.0 FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND value IS NOT NULL)"""

@@ -28,7 +28,7 @@ def gap(a, b):
 
 
 def test_every_query_has_a_comparison():
-    own = "bootstrap_ci_psi c2st energy_permutation kswin ml_efficacy mmd_permutation pca_reconstruction permutation_wasserstein".split()
+    own = "bootstrap_ci_psi c2st energy_permutation kswin merged_sketches ml_efficacy mmd_permutation pca_reconstruction permutation_wasserstein".split()
     assert sorted(set(catalogue.QUERIES) - set(catalogue.SQL)) == own
 
 
@@ -80,6 +80,15 @@ def test_kswin_query(spark):
     assert {tuple(r) for r in catalogue.QUERIES["kswin"](spark, SMALL).select("event_type", "event_id", "score").collect()} == expected != set()
 
 
+def test_sketch_query(spark):
+    rows = sorted(catalogue.QUERIES["merged_sketches"](spark, SMALL).collect(), key=lambda r: r["share"])
+    values = np.array([r[0] for r in duckdb.sql(f"SELECT value FROM '{SMALL}/events.parquet' WHERE ts < TIMESTAMP '2024-01-16'").fetchall()])
+    assert len(rows) == 11 and all(r["within"] for r in rows)
+    for r in rows:
+        low, high = (values < r["v"] - 1e-6).mean(), (values <= r["v"] + 1e-6).mean()
+        assert low - 0.0104 <= r["share"] <= high + 0.0104
+
+
 def test_efficacy_query(spark):
     rows = catalogue.QUERIES["ml_efficacy"](spark, SMALL).collect()
     assert len(rows) == len({(r["trained_on"], r["metric"]) for r in rows}) == 8 and all(0 <= r["value"] <= 1 for r in rows)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftspan.errors import ValidationError
-from driftspan.operators import changepoint, detectors, efficacy, monitoring, multivariate, online
+from driftspan.operators import changepoint, detectors, efficacy, monitoring, multivariate, online, sketches
 from driftspan.operators.pairs import pairs
 from driftspan.operators.permuted import permuted
 from driftspan.operators.series import numbered
@@ -291,3 +291,20 @@ def test_no_raw_rows_meet_on_their_feature(spark, strategy):
     for df in (binned(pairs(*sides), strategy=strategy), *([cdf_statistics(pairs(*sides))] if strategy == "quantile" else [])):
         by_feature = [rows for how, rows in _exchanges(spark, df) if how.startswith("hashpartitioning(feature#") and how.count("#") == 1]
         assert by_feature and max(by_feature) < 2000, by_feature
+
+
+def test_sketches_merge_over_any_range(spark):
+    """Ranks of merged sketches, kept in parts, against exact ranks; ties and one constant feature."""
+    rng = np.random.default_rng(9)
+    rows = [("x", round(float(rng.normal(d, 2)), 1), d) for d in range(8) for _ in range(1500)] + [("one", 3.0, d) for d in range(8)] + [("x", None, 1)]
+    df = spark.createDataFrame(rows, "feature string, v double, d int").repartition(6)
+    kept = sketches.sketch_chunks(df.where("v < 3 or v is null"), "d", 200).unionByName(sketches.sketch_chunks(df.where("v >= 3"), "d", 200))
+    for first, last in ((None, None), (2, 5), (7, None)):
+        whole = sketches.merged(kept, first, last)
+        own = df.where(f"d between {first or 0} and {7 if last is None else last}")
+        assert {r.feature: r.n for r in whole.collect()} == {r.feature: r["count"] for r in own.where("v is not null").groupBy("feature").count().collect()}
+        errors = sketches.rank_errors(sketches.sketch_quantiles(whole, [0, 0.1, 0.5, 0.9, 1]), own).collect()
+        assert len(errors) == 10 and max(r.error for r in errors) <= sketches.rank_bound(200)
+    edges = {r.feature: r.edges for r in sketches.sketch_edges(sketches.merged(kept), 4).collect()}
+    assert edges["one"] == [3.0, 4.0] and len(edges["x"]) == 5
+    assert sketches.merged(kept, 100).collect() == []
