@@ -18,6 +18,7 @@ from driftspan.functions.pvalues import chi2_p, cvm_p, ks_p, ks_p_limit
 from driftspan.operators.binning import exact_quantiles
 from driftspan.operators.distances import binned, cdf_statistics, chi_square
 from driftspan.operators.pairs import numeric_columns, pairs, value_counts
+from driftspan.operators.shared import kept
 
 P_METHODS, CATEGORICAL = ("ks", "cvm", "chi2"), ("chi2", "tvd")
 # Default thresholds, and least recommended sample sizes by method.
@@ -257,7 +258,7 @@ def combine(results: DataFrame, mode: str = "majority") -> DataFrame:
 def _weighted_median(rows: DataFrame, value: Column) -> DataFrame:
     """One row, median: of value, each as often as w says; null without rows. Selected by running counts of the distinct values."""
     counts = rows.groupBy(F.lit("x").alias("feature"), value.alias("v")).agg(F.sum("w").cast("double").alias("r"), F.lit(0.0).alias("c"))
-    return exact_quantiles(counts, [0.5]).agg(F.max(F.get("raw", F.lit(0))).alias("median"))
+    return exact_quantiles(kept(counts), [0.5]).agg(F.max(F.get("raw", F.lit(0))).alias("median"))
 
 
 def datetime_drift(reference: DataFrame, current: DataFrame, column: str, threshold: float = 0.2, cadence_weight: float = 0.6, hour_weight: float = 0.4) -> DataFrame:
@@ -277,6 +278,7 @@ def datetime_drift(reference: DataFrame, current: DataFrame, column: str, thresh
     before = F.coalesce(F.lag("t").over(Window.partitionBy("side", "day").orderBy("t")), "carried")
     gaps = both.join(ends, ["side", "day"]).withColumn("gap", (F.unix_micros("t") - F.unix_micros(before)) / 1e6)
     gaps = gaps.select("side", F.explode(F.array(F.struct("gap", F.lit(1).cast("long").alias("w")), F.struct(F.lit(0.0).alias("gap"), (F.col("k") - 1).alias("w")))).alias("g")).select("side", "g.*").where("gap is not null and w > 0")
+    gaps = kept(gaps)
     middle = _weighted_median(gaps.where("side = 0"), F.col("gap")).select(F.coalesce("median", F.lit(0.0)).alias("ref"))
     away = _weighted_median(gaps.where("side = 1").crossJoin(F.broadcast(middle)), F.abs(F.col("gap") - F.col("ref"))).select(F.col("median").alias("away"))
     cadence = middle.crossJoin(F.broadcast(away)).select((F.coalesce("away", "ref") / (F.col("ref") + 1e-9)).alias("cadence_score"))  # a row each
