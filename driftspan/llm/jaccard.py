@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 
 from driftspan.llm.cluster import checkpoint
 from driftspan.llm.components import connected_components, join_heavy
-from driftspan.llm.words import Words, blocks, mix
+from driftspan.llm.words import SCAN_BYTES, Words, blocks, mix
 
 BLOCK, SKETCH_BLOCK, BLOCK_BYTES = 512, 2048, 32 << 20
+DEALT, SKETCHES_DEALT = 64, 4096  # sets, and sketches, that a task sends to units at once
 KEY, LINK, DOCUMENT = 0, 1, 2
 _FOUND = "kind byte, a long, b long, n long, row long, sketch binary"
 _C = np.uint64(0xA0761D6478BD642F)
@@ -150,7 +151,7 @@ def _candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(2), lower=True):
+            for block in blocks(batch.column(2), lower=True, size=SCAN_BYTES):
                 hashes, first = shingle_sets(block, size)
                 nodes = _digests(hashes, first)
                 out = batch_of(DOCUMENT, np.zeros(len(block), np.int64), nodes, np.diff(first), sketches(hashes, first))
@@ -231,7 +232,7 @@ def _sets(texts: DataFrame, grouped: DataFrame, size: int) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(0), lower=True):
+            for block in blocks(batch.column(0), lower=True, size=SCAN_BYTES):
                 hashes, first = shingle_sets(block, size)
                 rows = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 own = [c.slice(block.rows.start, len(block)) for c in batch.columns[1:]]
@@ -257,6 +258,19 @@ def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _dealt(batch: pa.RecordBatch, percent: int, block: int, most: int, whole: bool = True) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """(row of the batch, unit, side), `most` at a time: a node of a large group goes to many units."""
+    node, gid, n = (batch.column(c).to_numpy() for c in ("node", "gid", "n"))
+    cls, held = _class_of(n, percent), []
+    for i, classes in enumerate(batch.column("classes")):
+        members = {x["cls"]: x["members"] for x in classes.as_py()}
+        held += [(i, *x) for x in _units(int(gid[i]), int(node[i]), int(cls[i]), members, percent, block, whole)]
+        while len(held) >= most or held and i + 1 == len(node):
+            at, unit, side = zip(*held[:most], strict=True)
+            yield pa.array(at), pa.array(unit, pa.int64()), pa.array(side, pa.int8())
+            held = held[most:]
+
+
 def _spread(units: DataFrame) -> DataFrame:
     """By unit, sorted, over a fixed number of tasks: a unit is much work for few bytes, so small tasks must not be put together."""
     return units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit").sortWithinPartitions("unit")
@@ -268,14 +282,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, gid, n = (batch.column(i).to_numpy() for i in range(3))
-            cls, classes, rows = _class_of(n, percent), batch.column(3).to_pylist(), []
-            for i in range(len(node)):
-                units = _units(int(gid[i]), int(node[i]), int(cls[i]), {x["cls"]: x["members"] for x in classes[i]}, percent, BLOCK)
-                rows += [(i, unit, side) for unit, side in units]
-            for lo in range(0, len(rows), 64):  # a set may go to many units
-                at, unit, side = zip(*rows[lo : lo + 64], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(side, pa.int8()), *(batch.column(c).take(pa.array(at)) for c in (0, 4))], schema=schema)
+            for at, unit, side in _dealt(batch, percent, BLOCK, DEALT):
+                yield pa.RecordBatch.from_arrays([unit, side, *(batch.column(c).take(at) for c in ("node", "grams"))], schema=schema)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_unit(batches):
@@ -307,13 +315,8 @@ def _drawn_apart(members: DataFrame, percent: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, gid, n = (batch.column(i).to_numpy() for i in (0, 1, 2))
-            cls, classes, rows = _class_of(n, percent), batch.column(4).to_pylist(), []
-            for i in range(len(node)):
-                for unit, side in _units(int(gid[i]), int(node[i]), int(cls[i]), {x["cls"]: x["members"] for x in classes[i]}, percent, SKETCH_BLOCK, whole=False):
-                    rows.append((unit, side, int(node[i]), int(n[i]), batch.column(3)[i].as_py()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            for at, unit, side in _dealt(batch, percent, SKETCH_BLOCK, SKETCHES_DEALT, whole=False):
+                yield pa.RecordBatch.from_arrays([unit, side, *(batch.column(c).take(at) for c in ("node", "n", "sketch"))], schema=schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_unit(batches):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftspan.llm.words import Words, blocks, word_hash
+from driftspan.llm.words import SCAN_BYTES, Words, blocks, word_hash
 
 # Common words by language.
 COMMON_WORDS = {
@@ -158,7 +158,7 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = _langs(batch.column(1))
-            for block in blocks(batch.column(0)):
+            for block in blocks(batch.column(0), size=SCAN_BYTES):
                 rows = np.concatenate(histograms(block, vocabulary), 1)
                 for k in set(langs[block.rows]) - {None}:
                     x = rows[langs[block.rows] == k].sum(0)
@@ -181,7 +181,7 @@ def _langs(column: pa.Array) -> np.ndarray:
 
 def _verdicts(column: pa.Array, langs: np.ndarray, references: dict, limits: Limits, vocabulary: np.ndarray, own: np.ndarray) -> dict[str, np.ndarray]:
     parts = []
-    for block in blocks(column):
+    for block in blocks(column, size=SCAN_BYTES):
         x = base_counts(block)
         x["class_distance"], x["word_distance"] = _distances(*histograms(block, vocabulary), langs[block.rows], references, own)
         parts.append(x)

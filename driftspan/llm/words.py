@@ -12,7 +12,7 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES, SCAN_BYTES, POWER_STEP = 2 << 20, 512 << 10, 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = -(-n // POWER_STEP) * POWER_STEP
         _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b)])) for b in (_BASE, _INVERSE)]
     return _powers
 
@@ -141,7 +141,10 @@ def _hash_all(data: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.nda
 
 
 def blocks(column: pa.Array, lower: bool = False, size: int = 2 * BLOCK_BYTES) -> Iterator[Words]:
-    """Walk a text column in runs of whole documents of about `size` bytes (a longer document alone)."""
+    """Walk a text column in runs of whole documents of about `size` bytes (a longer document alone).
+
+    Memory goes with `size`, and a worker keeps much of what it once took: SCAN_BYTES do where documents are independent.
+    """
     data, offsets = text_buffers(column)
     row, n = 0, len(offsets) - 1
     while row < n:

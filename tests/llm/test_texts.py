@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import brute
@@ -149,6 +150,56 @@ def test_large_groups_are_drawn_apart(spark, docs, pairs, monkeypatch):
     assert got == expected
 
 
+class Recorder:
+    """Keeps the functions that a plan would run in its tasks."""
+
+    def __init__(self, spark):
+        self.sparkSession, self.given = spark, []
+
+    def mapInArrow(self, function, schema):
+        self.given.append(function)
+        return self
+
+    def repartition(self, *_):
+        return self
+
+    sortWithinPartitions = repartition
+
+
+def test_nodes_of_large_groups_are_dealt_out_in_pieces(spark):
+    plan, percent = Recorder(spark), 80
+    jaccard._drawn_apart(plan, percent)
+    cls = int(jaccard._class_of(np.array([90]), percent)[0])
+    members = {cls: 2_000_000, cls + 1: 1000}
+    nodes = [n * 0x9E3779B97F4A7C15 % (1 << 63) for n in range(60)]
+    rows = [{"node": n, "gid": 7, "n": 90, "sketch": n.to_bytes(8) * 2, "classes": [{"cls": c, "members": m} for c, m in members.items()]} for n in nodes]
+    kinds = pa.schema([("node", pa.int64()), ("gid", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("classes", pa.list_(pa.struct([("cls", pa.int32()), ("members", pa.int32())])))])
+    out = list(plan.given[0](iter([pa.RecordBatch.from_pylist(rows, kinds), pa.RecordBatch.from_pylist([], kinds)])))
+    assert max(b.num_rows for b in out) <= 4096
+    got = [(*u, n, k, s) for b in out for *u, n, k, s in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert got == [(*u, n, 90, n.to_bytes(8) * 2) for n in nodes for u in jaccard._units(7, n, cls, members, percent, jaccard.SKETCH_BLOCK, whole=False)]
+    assert len(got) > 50_000
+
+
+def test_tasks_hold_a_small_part_of_their_texts(spark):
+    rng, plan = random.Random(4), Recorder(spark)
+    texts = pa.array([" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(3000)])
+    jaccard._candidates(plan, 5, 80)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), texts], ["doc", "row", "text"])
+    vocabulary, own = quality._vocabulary()
+    took = {}
+    for name, run in {
+        "shingles": lambda: sum(b.num_rows for b in plan.given[0](iter([batch]))),
+        "quality": lambda: len(quality._verdicts(texts, np.full(len(texts), "en", object), {}, quality.Limits(), vocabulary, own)["kept"]),
+    }.items():
+        words._powers.clear()
+        tracemalloc.start()
+        assert run() >= len(texts)
+        took[name] = tracemalloc.get_traced_memory()[1] >> 20
+        tracemalloc.stop()
+    assert texts.nbytes > 6 << 20 and max(took.values()) < 64, took
+
+
 def test_sketches_never_differ_by_more_than_the_sets():
     rng = np.random.default_rng(5)
     for n in (1, 40, 64, 65, 500, 3000):
