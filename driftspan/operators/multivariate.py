@@ -1,13 +1,13 @@
 """Multivariate two-sample tests, permutation tests and bootstrap.
 
-All-pairs statistics are quadratic and see all rows, in pairs of blocks of rows dealt over tasks; a task holds two blocks
-and makes the permuted labels of their rows. The one-dimensional permutation test and the bootstrap work
+All-pairs statistics are quadratic and see all rows, in pairs of blocks of rows, a task a pair; blocks are kept once, with the
+permuted labels of their rows, and tasks read the two they need, so disk grows with the rows and memory with a block. The one-dimensional permutation test and the bootstrap work
 on histograms of distinct values instead and see all rows too.
 """
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspan.errors import NotEnoughDataError, require
@@ -28,6 +28,9 @@ from driftspan.operators.permuted import permuted
 from driftspan.operators.series import numbered
 
 SLICES = 32  # seeds of the draws follow the slices
+TILE = (128, 1024)  # rows of two blocks whose distances are computed at once
+STEPS = 2**13  # of a range of numbers, in a pass of the median of all pairs
+FEW = 2**18  # numbers that are counted one by one
 RESULT = "statistic double, p_value double, threshold double, drift boolean, n_permutations int"
 
 
@@ -42,131 +45,254 @@ def null_test(spark: SparkSession, statistic: float, null: DataFrame, alpha: flo
     return rows.withColumn("drift", F.col("statistic") > F.col("threshold")).select("statistic", "p_value", "threshold", "drift", "n_permutations")
 
 
+def _both_sides(reference: DataFrame, current: DataFrame, vectors: Sequence[Column]) -> DataFrame:
+    """(side, x): all rows without nulls or NaN."""
+    sides = [df.select(F.lit(s).alias("side"), v.alias("x")) for s, (df, v) in enumerate(zip((reference, current), vectors, strict=True))]
+    return sides[0].unionByName(sides[1]).where(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+
+
 def _numbered_rows(reference: DataFrame, current: DataFrame, vectors: Sequence[Column], seed: int, keys: Sequence[str] = ()) -> DataFrame:
     """(side, x, position): all rows without nulls or NaN, numbered from 1 in the order of a seeded hash; with keys, by side."""
-    sides = [df.select(F.lit(s).alias("side"), v.alias("x")) for s, (df, v) in enumerate(zip((reference, current), vectors, strict=True))]
-    both = sides[0].unionByName(sides[1]).where(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    both = _both_sides(reference, current, vectors)
     return numbered(both.withColumn("h", F.xxhash64("x", F.lit(seed))), "h", keys, ("side", "x")).select("side", "x", "position")
 
 
-def _blocks(reference: DataFrame, current: DataFrame, columns: Sequence[str], block: int, seed: int) -> DataFrame:
-    """(block, m: its current rows, size, rows: numbered from 0, vectors and sides)."""
+def _block_rows(points: int, width: int, cores: int) -> int:
+    """Rows of a block: pairs of blocks for several rounds of tasks, and vectors of 8 MB at most."""
+    least = max(12, math.ceil((8 * cores) ** 0.5))
+    return min(max(1024, -(-points // least)), 16384, max(1, 2**20 // max(1, width)))
+
+
+def _blocks(points: DataFrame, ties: Sequence[str], count: int, block: int, sizes: tuple[int, int], permutations: int, seed: int) -> DataFrame:
+    """(block, x: vectors, r: reference rows by point and labels, n: rows by point) as bytes, a block a partition, from (x, r, n).
+
+    With permutations a point is a row and r holds bits: its own label and that of each permutation.
+    """
+    numbers = numbered(points.withColumn("h", F.xxhash64("x", F.lit(seed))), "h", (), ties).select((F.col("position") - 1).alias("i"), "x", "r", "n")
+    total = sum(sizes)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held).sort_by("i")
+            i, r, n = (rows[c].to_numpy() for c in ("i", "r", "n"))
+            x = rows["x"].combine_chunks().flatten().to_numpy()
+            if permutations:
+                r = np.packbits(np.stack([r > 0, *(permuted(i, total, seed, k) < sizes[0] for k in range(permutations))], 1), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([i[0] // block]), *(pa.array([v.tobytes()], pa.large_binary()).cast(pa.binary()) for v in (x, r, n))], ["block", "x", "r", "n"])
+
+    return numbers.repartitionById(-(-count // block), F.expr(f"cast(i div {block} as int)")).mapInArrow(pack, "block long, x binary, r binary, n binary")
+
+
+def _pairs_of_blocks(blocks: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each block with itself and each later one, a task a pair. Tasks read the two blocks where they are kept: nothing is copied or shuffled."""
+    a, b = (blocks.select(*(F.col(c).alias(f"{c}{s}") for c in ("block", *columns))) for s in "ab")
+    return a.join(b.hint("shuffle_replicate_nl"), F.expr("blocka <= blockb"))
+
+
+def _read(batches: Iterator[pa.RecordBatch], columns: str, width: int) -> Iterator[tuple[bool, dict[str, np.ndarray]]]:
+    """Pairs of blocks: whether both are the same, and the columns of each by name and side."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            found = {c: np.frombuffer(batch.column(c)[i].as_buffer(), float if c[0] == "x" else np.uint8 if c[0] == "r" else np.int64) for c in (x + s for x in columns for s in "ab")}
+            yield batch.column("blocka")[i].as_py() == batch.column("blockb")[i].as_py(), {c: v.reshape(-1, width) if c[0] == "x" else v for c, v in found.items()}
+
+
+def _tiles(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray, np.ndarray]]:
+    """The squared distances of a's rows to b's, in parts that stay in a processor's cache, and as much room, both used again for the next part. Equal rows have 0.
+
+    Few columns are subtracted; for more, products of centred rows are, and what these leave without enough digits is subtracted.
+    """
+    width = a.shape[1]
+    centre = a.mean(0)
+    a, b = a - centre, b - centre
+    na, nb = (a * a).sum(1), (b * b).sum(1)
+    rooms = np.empty((2, TILE[0] * TILE[1]))
+    for q in (slice(j, min(j + TILE[1], len(b))) for j in range(0, len(b), TILE[1])):
+        turned = np.ascontiguousarray((b[q] if width <= 4 else -2 * b[q]).T)
+        for p in (slice(i, min(i + TILE[0], len(a))) for i in range(0, len(a), TILE[0])):
+            shape = p.stop - p.start, q.stop - q.start
+            d2, room = (r[: shape[0] * shape[1]].reshape(shape) for r in rooms)
+            if width <= 4:
+                d2[:] = 0
+                for k in range(width):
+                    np.subtract(a[p, k, None], turned[k], out=room)
+                    d2 += np.multiply(room, room, out=room)
+            else:
+                np.matmul(a[p], turned, out=d2)
+                d2 += np.add(na[p, None], nb[q], out=room)
+                close = d2 < np.multiply(room, 1e-6, out=room)
+                if close.any():
+                    rows, others = np.nonzero(close)
+                    for s in (slice(t, t + 16384) for t in range(0, len(rows), 16384)):
+                        d2[rows[s], others[s]] = ((a[p][rows[s]] - b[q][others[s]]) ** 2).sum(1)
+            yield p, q, d2, room
+
+
+def _around_median(width: int, share: float):
+    """(lo, hi): squared distances at `share` below and above the median within each run of 1024 rows of a block."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for batch in batches:
+            for value in batch.column("x"):
+                x = np.frombuffer(value.as_buffer()).reshape(-1, width)
+                for own in (x[i : i + 1024] for i in range(0, len(x), 1024)):
+                    d2 = np.concatenate([np.zeros(0), *(d[d > 0] for _, _, d, _ in _tiles(own, own))])
+                    if len(d2):
+                        out.append(np.quantile(d2, [0.5 - share, 0.5 + share]))
+        lo, hi = np.array(out).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["lo", "hi"])
+
+    return look
+
+
+def _counts_within(pairs: DataFrame, width: int, first: int, last: int, shift: int) -> tuple[int, int, pd.DataFrame]:
+    """Ordered pairs of rows with equal rows, with squared distances below the number of the bits `first`, and (key, n) of those
+    from it up to `last` by steps of 2**shift: without a shift each number is a step, and there should be few."""
+    lo, hi = np.array([first, last], np.uint64).view(float)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, dense, kept = {-2: 0, -1: 0}, np.zeros(STEPS if shift else 0, np.int64), []
+        for same, of in _read(batches, "xn", width):
+            single = max(of["na"].max(), of["nb"].max()) == 1
+            times = 1 if same else 2  # a pair of other blocks stands for both orders
+            for p, q, d2, _ in _tiles(of["xa"], of["xb"]):
+                rows = None if single else np.multiply.outer(of["na"][p], of["nb"][q])
+                for key, found in ((-2, d2 == 0), (-1, d2 < lo)):
+                    sums[key] += times * int(np.count_nonzero(found) if single else rows[found].sum())
+                inside = (d2 >= lo) & (d2 <= hi)
+                keys = (d2[inside].view(np.uint64) - np.uint64(first)) >> np.uint64(shift)
+                n = np.full(len(keys), times) if single else times * rows[inside]
+                if shift:
+                    dense += np.bincount(keys.astype(np.int64), n, STEPS).astype(np.int64)
+                elif len(keys):
+                    kept.append((keys, n))
+        if kept:
+            found, at = np.unique(np.concatenate([k for k, _ in kept]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in kept])).astype(np.int64)
+        else:
+            found = np.flatnonzero(dense)
+            n = dense[found]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found.astype(np.int64), list(sums))), pa.array(np.append(n, list(sums.values())))], ["key", "n"])
+
+    counts = pairs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")  # at most STEPS or FEW and two
+    equal, below = (int(counts["n"][counts["key"] == key].sum()) for key in (-2, -1))
+    return equal, below, counts[counts["key"] >= 0]
+
+
+def _median_d2(blocks: DataFrame, width: int, total: int) -> float | None:
+    """The exact median of the positive squared distances of all pairs; None if there is none.
+
+    Passes count the bits of the numbers within a range, and all below it. The first range lies around the medians within runs
+    of rows and the next is the step that has the rank, so that two passes are the rule; a range without the rank is left for
+    what lies below or above it.
+    """
+    pairs, top = _pairs_of_blocks(blocks, "xn"), int(np.array(np.inf).view(np.uint64))
+    first, last, few = 1, top, total * total <= FEW
+    if not few:
+        around = blocks.select("x").mapInArrow(_around_median(width, 0.002 + total**-0.5), "lo double, hi double").agg(F.avg("lo"), F.avg("hi")).first()
+        if around[0]:
+            first, last = (int(v) for v in np.array(around, float).view(np.uint64))
+    found, counts = [], None
+    for middle in (1, 0):
+        while True:
+            if counts is None:
+                shift = 0 if few else max(0, (last - first + 1).bit_length() - STEPS.bit_length() + 1)
+                equal, below, counts = _counts_within(pairs, width, first, last, shift)
+                upto = np.cumsum(counts["n"].to_numpy())
+                if equal == total * total:
+                    return None
+                below -= equal
+            rank = (total * total - equal - middle) // 2 - below
+            if rank < 0:
+                first, last, few, counts = 1, first - 1, False, None
+            elif not len(upto) or rank >= upto[-1]:
+                first, last, few, counts = last + 1, top, False, None
+            else:
+                at = int(np.searchsorted(upto, rank, "right"))
+                key, n = (int(v) for v in counts.iloc[at])
+                if not shift:
+                    found.append(first + key)
+                    break
+                first = first + (key << shift)
+                last, few, counts = min(last, first + (1 << shift) - 1), n <= FEW, None
+    return float(np.array(found, np.uint64).view(float).mean())
+
+
+def _pair_sums(reference: DataFrame, current: DataFrame, methods: Sequence[str], columns: Sequence[str], permutations: int, gamma: float | None, block: int | None, seed: int) -> tuple[dict[str, list[float]], float | None]:
+    """For each method the statistic as seen and by permuted labels, from all pairs of all rows; and gamma, if mmd is one.
+
+    Without permutations equal rows are one point with counts of both sides, so the work grows with the square of the
+    different rows.
+    """
+    width = len(columns)
     vector = F.array(*(F.col(c).cast("double") for c in columns))
-    rows = _numbered_rows(reference, current, [vector, vector], seed).withColumn("i", F.col("position") - 1)
-    return rows.groupBy(F.expr(f"i div {block}").alias("block")).agg(F.sum("side").alias("m"), F.count("*").alias("size"), F.array_sort(F.collect_list(F.struct("i", "x", "side"))).alias("rows"))
-
-
-def _squared(pair: pa.Table) -> tuple[int, int, np.ndarray]:
-    """Both blocks' numbers and their squared distances, a row with itself 0."""
-    lo, hi = (pair[c][0].as_py() for c in ("lo", "hi"))
-    x = {}
-    for b, rows in zip(pair["block"].to_pylist(), pair["rows"], strict=True):
-        x[b] = rows.values.field("x").flatten().to_numpy().reshape(len(rows.values), -1)
-    a, b = x[lo], x[hi]
-    d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
-    if lo == hi:
-        np.fill_diagonal(d2, 0)
-    return lo, hi, d2
-
-
-def _median_d2(units: GroupedData) -> float | None:
-    """The exact median of the positive squared distances of all pairs; None if there is none. Each of four passes counts the next 16 bits of the numbers."""
-    ranks, near = [], None
-
-    def counted(shift: int, near: list[int] | None):
-        def count(pair: pa.Table) -> pa.Table:
-            lo, hi, d2 = _squared(pair)
-            keys = d2[np.triu_indices(len(d2), 1)] if lo == hi else d2.ravel()
-            keys = keys[keys > 0].view(np.uint64) >> np.uint64(shift)
-            if near is not None:
-                keys = keys[np.isin(keys >> np.uint64(16), np.array(near, np.uint64))]
-            found, n = np.unique(keys, return_counts=True)
-            return pa.table({"key": pa.array(found.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
-
-        return units.applyInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").collect()  # at most 2 * 2**16
-
-    for shift in (48, 32, 16, 0):
-        counts = counted(shift, near)
-        if near is None:
-            total = sum(r["n"] for r in counts)
-            if not total:
-                return None
-            ranks = [(total - 1) // 2, total // 2]
-        chosen = []
-        for t in range(2):
-            own = [r for r in counts if near is None or r["key"] >> 16 == near[t]]
-            upto = np.cumsum([r["n"] for r in own])
-            at = int(np.searchsorted(upto, ranks[t], "right"))
-            ranks[t] -= int(upto[at - 1]) if at else 0
-            chosen.append(own[at]["key"])
-        near = chosen
-    return float(np.array(near, np.uint64).view(np.float64).mean())
-
-
-@lru_cache(4)
-def _permuted_labels(block: int, size: int, n: int, total: int, permutations: int, seed: int) -> np.ndarray:
-    """(rows of a block of at most `size`, permutations): whether a row counts as the reference's, as n of all rows do."""
-    places = np.arange(block * size, min(total, (block + 1) * size))
-    return np.stack([permuted(places, total, seed, i) < n for i in range(permutations)], 1)
-
-
-def _pair_sums(reference: DataFrame, current: DataFrame, methods: Sequence[str], columns: Sequence[str], permutations: int, gamma: float | None, block: int, seed: int) -> tuple[dict[str, list[float]], float | None]:
-    """For each method the statistic as seen and by permuted labels, from all pairs of all rows; and gamma, if mmd is one."""
-    blocks = _blocks(reference, current, columns, block, seed).cache()
+    rows = _both_sides(reference, current, [vector, vector]).select("side", "x", (1 - F.col("side")).cast("long").alias("r"), F.lit(1).cast("long").alias("n"))
+    points, ties = (rows, ("side", "x")) if permutations else (rows.groupBy("x").agg(F.sum("r").alias("r"), F.sum("n").alias("n")), ("x",))
+    sizes = points.agg(F.count("*").alias("points"), F.sum("r").alias("n"), F.sum("n").alias("total")).first()
+    total, n = sizes["total"] or 0, sizes["n"] or 0
+    m = total - n
+    if min(n, m) < 2:
+        raise NotEnoughDataError("two rows a side are needed")
+    block = block or _block_rows(sizes["points"], width, reference.sparkSession.sparkContext.defaultParallelism)
+    blocks = _blocks(points, ties, sizes["points"], block, (n, m), permutations, seed).cache()
     try:
-        sizes = blocks.agg(F.sum("size").alias("total"), F.sum("m").alias("m"), F.max("block").alias("last")).first()
-        total, m = sizes["total"] or 0, sizes["m"] or 0
-        n = total - m
-        if min(n, m) < 2:
-            raise NotEnoughDataError("two rows a side are needed")
-        dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(sizes["last"]))))
-        units = dealt.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rows").groupBy("lo", "hi")
         if "mmd" in methods and gamma is None:
-            median = _median_d2(units)
+            median = _median_d2(blocks, width, total)
             gamma = 1 / (2 * median) if median else 1.0
 
-        def add(pair: pa.Table) -> pa.Table:
-            lo, hi, d2 = _squared(pair)
-            own = {x: 1 - rows.values.field("side").to_numpy()[:, None] for x, rows in zip(pair["block"].to_pylist(), pair["rows"], strict=True)}
-            if permutations:
-                own = {x: np.hstack([seen, _permuted_labels(x, block, n, total, permutations, seed)]) for x, seen in own.items()}
-            a, b = own[lo].astype(float), own[hi].astype(float)
-            out = []
-            for method in methods:
-                k = np.sqrt(d2) if method == "energy" else np.exp(-gamma * d2)
-                if lo == hi:
-                    np.fill_diagonal(k, 0)
-                within, touched, all_ = (a * (k @ b)).sum(0), k.sum(1) @ a, k.sum()
-                if lo != hi:
-                    within, touched, all_ = 2 * within, touched + k.sum(0) @ b, 2 * all_
-                out.append(pa.table({"method": pa.array([method] * (permutations + 1)), "id": pa.array(np.arange(permutations + 1)), "xx": pa.array(within), "s": pa.array(touched), "all": pa.array(np.full(permutations + 1, all_))}))
-            return pa.concat_tables(out)
-
-        sums = units.applyInArrow(add, "method string, id long, xx double, s double, all double").groupBy("method", "id").agg(*(F.sum(c).alias(c) for c in ("xx", "s", "all"))).collect()  # a row a permutation
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = {x: np.zeros((3, permutations + 1)) for x in methods}
+            for same, of in _read(batches, "xrn", width):
+                r, t = {}, {s: of[f"n{s}"].astype(float) for s in "ab"}
+                for s in "ab":
+                    own = of[f"r{s}"]
+                    r[s] = (np.unpackbits(own.reshape(len(t[s]), -1), 1, permutations + 1) if permutations else own.view(np.int64)[:, None]).astype(float)
+                both = np.column_stack([r["b"], t["b"]])
+                back = {x: np.zeros(len(t["b"])) for x in methods}
+                for p, q, d2, k in _tiles(of["xa"], of["xb"]):
+                    for method in methods:
+                        np.sqrt(d2, out=k) if method == "energy" else np.exp(np.multiply(d2, -gamma, out=k), out=k)
+                        out, times = k @ both[q], 1 if same else 2
+                        xx, touched, all_ = sums[method]
+                        xx += times * np.einsum("ij,ij->j", r["a"][p], out[:, :-1])
+                        touched += out[:, -1] @ r["a"][p]
+                        all_ += times * (t["a"][p] @ out[:, -1])
+                        if not same:
+                            back[method][q] += t["a"][p] @ k
+                for method in methods:
+                    sums[method][1] += back[method] @ r["b"]
+            for method, (xx, s, all_) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([method] * (permutations + 1)), pa.array(np.arange(permutations + 1)), *map(pa.array, (xx, s, all_))], ["method", "id", "xx", "s", "all"])
+
+        summed = _pairs_of_blocks(blocks, "xrn").mapInArrow(add, "method string, id long, xx double, s double, all double").groupBy("method", "id").agg(*(F.sum(c).alias(c) for c in ("xx", "s", "all"))).collect()  # a row a permutation
     finally:
         blocks.unpersist()
     found: dict[str, list[float]] = {x: [0.0] * (permutations + 1) for x in methods}
-    for r in sums:
-        xx, xy, yy = r["xx"], r["s"] - r["xx"], r["all"] - 2 * r["s"] + r["xx"]
-        within = (n * n, m * m) if r["method"] == "energy" else (n * (n - 1), m * (m - 1))
+    for row in summed:
+        alone = row["method"] == "mmd"  # a row is no pair with itself, which its kernel of 1 was added for
+        xx, s, all_ = (row[c] - alone * k for c, k in (("xx", n), ("s", n), ("all", total)))
+        xy, yy = s - xx, all_ - 2 * s + xx
+        within = (n * (n - 1), m * (m - 1)) if alone else (n * n, m * m)
         value = xx / within[0] + yy / within[1] - 2 * xy / (n * m)
-        found[r["method"]][r["id"]] = -value if r["method"] == "energy" else value
+        found[row["method"]][row["id"]] = value if alone else -value
     return found, gamma
 
 
-def pair_statistics(reference: DataFrame, current: DataFrame, columns: Sequence[str] | None = None, gamma: float | None = None, block: int = 2048) -> DataFrame:
+def pair_statistics(reference: DataFrame, current: DataFrame, columns: Sequence[str] | None = None, gamma: float | None = None, block: int | None = None, methods: Sequence[str] = ("energy", "mmd")) -> DataFrame:
     """energy (twice the mean distance across less those within, rows with themselves included), mmd2 (unbiased, RBF) and
-    gamma, over all pairs of all rows. gamma is by the exact median of all pairs if not given; 1 if no two rows differ."""
+    gamma, over all pairs of all rows; null for what is not among methods. gamma is by the exact median of all pairs if not given; 1 if no two rows differ."""
     require(gamma is None or gamma > 0, "gamma must be positive")
-    found, gamma = _pair_sums(reference, current, ("energy", "mmd"), list(columns or numeric_columns(reference)), 0, gamma, block, 0)
-    return reference.sparkSession.createDataFrame([(found["energy"][0], found["mmd"][0], gamma)], "energy double, mmd2 double, gamma double")
+    found, gamma = _pair_sums(reference, current, methods, list(columns or numeric_columns(reference)), 0, gamma, block, 0)
+    return reference.sparkSession.createDataFrame([(*(found.get(x, [None])[0] for x in ("energy", "mmd")), gamma)], "energy double, mmd2 double, gamma double")
 
 
-def two_sample_test(reference: DataFrame, current: DataFrame, method: str = "mmd", columns: Sequence[str] | None = None, permutations: int = 200, alpha: float = 0.05, gamma: float | None = None, block: int = 2048, seed: int = 42) -> DataFrame:
+def two_sample_test(reference: DataFrame, current: DataFrame, method: str = "mmd", columns: Sequence[str] | None = None, permutations: int = 200, alpha: float = 0.05, gamma: float | None = None, block: int | None = None, seed: int = 42) -> DataFrame:
     """statistic, p_value, threshold, drift of mmd (unbiased, RBF) or energy (V-statistic) by permuted labels.
 
     All pairs of all rows count: each task takes the distances of two blocks of rows and adds up what they give to every
-    permutation. gamma is by the exact median of all pairs if not given. At least two rows a side are needed.
+    permutation. A block has `block` rows, by default by their number, width and the cores. gamma is by the exact median of all pairs if not given. At least two rows a side are needed.
     """
     _check(permutations, alpha)
     require(method in ("mmd", "energy"), "method must be mmd or energy")

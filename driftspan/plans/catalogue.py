@@ -215,24 +215,24 @@ _PARTS = """few AS (SELECT p_partkey AS i, p_size::DOUBLE AS u, p_retailprice /
 pd AS (SELECT a.side AS a, b.side AS b, a.i = b.i AS same, pow(a.u - b.u, 2) + pow(a.v - b.v, 2) AS d2 FROM few a CROSS JOIN few b)"""
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances between the sizes and prices of even and odd parts, all pairs."""
+def _parts(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """Distance between the sizes and prices of even and odd parts, all pairs."""
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_retailprice") / 100).alias("price"))
-    return multivariate.pair_statistics(*split(rows, F.col("p_partkey") % 2 == 0), ["p_size", "price"], 0.01)
+    return multivariate.pair_statistics(*split(rows, F.col("p_partkey") % 2 == 0), ["p_size", "price"], 0.01, methods=(method,))
 
 
 @query(f"""WITH {_PARTS}
 SELECT round(2 * avg(CASE WHEN a = 0 AND b = 1 THEN sqrt(d2) END) - avg(CASE WHEN a = 0 AND b = 0 THEN sqrt(d2) END)
   - avg(CASE WHEN a = 1 AND b = 1 THEN sqrt(d2) END), 6) AS energy FROM pd""")
 def energy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_parts(spark, sf_dir).select("energy"))
+    return rounded(_parts(spark, sf_dir, "energy").select("energy"))
 
 
 @query(f"""WITH {_PARTS}
 SELECT round(avg(CASE WHEN a = 0 AND b = 0 AND NOT same THEN exp(-0.01 * d2) END) + avg(CASE WHEN a = 1 AND b = 1 AND NOT same THEN exp(-0.01 * d2) END)
   - 2 * avg(CASE WHEN a = 0 AND b = 1 THEN exp(-0.01 * d2) END), 6) AS mmd2 FROM pd""")
 def mmd_fixed_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_parts(spark, sf_dir).select("mmd2"))
+    return rounded(_parts(spark, sf_dir, "mmd").select("mmd2"))
 
 
 @query(f"""WITH {S_STATUS}, l0 AS (SELECT feature, v, sum(r) AS r, sum(c) AS c FROM pr GROUP BY ALL),
