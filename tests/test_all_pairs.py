@@ -40,3 +40,11 @@ def test_energy_counts_equal_rows_once(spark):
     row = multivariate.pair_statistics(a, b, ["a", "b"], 0.01, methods=("energy",)).first()
     assert row["energy"] == pytest.approx(plain(x, y, 0.01)[0], abs=1e-9) and row["mmd2"] is None
     assert shuffled(spark) - before < 2e5
+
+
+def test_mmd_counts_equal_rows_once(spark):
+    (a, x), (b, y) = repeated(spark, 3, 10**9), repeated(spark, 4, 10**9 + 2)
+    before = shuffled(spark)
+    row = multivariate.pair_statistics(a, b, ["a", "b"], 0.01, methods=("mmd",)).first()
+    assert row["mmd2"] == pytest.approx(plain(x, y, 0.01)[1], abs=1e-9) and row["energy"] is None
+    assert shuffled(spark) - before < 2e5
