@@ -1,7 +1,7 @@
 """Multivariate two-sample tests, permutation tests and bootstrap.
 
-All-pairs statistics are quadratic and see all rows, in pairs of blocks of rows, a task a pair; blocks are kept once, with the
-permuted labels of their rows, and tasks read the two they need, so disk grows with the rows and memory with a block. The one-dimensional permutation test and the bootstrap work
+All-pairs statistics are quadratic and see all rows, in pairs of blocks of rows dealt over tasks; blocks are kept once, with the
+permuted labels of their rows, and tasks read those they need, so disk grows with the rows and memory with a block. The one-dimensional permutation test and the bootstrap work
 on histograms of distinct values instead and see all rows too.
 """
 
@@ -81,13 +81,16 @@ def _blocks(points: DataFrame, ties: Sequence[str], count: int, block: int, size
                 r = np.packbits(np.stack([r > 0, *(permuted(i, total, seed, k) < sizes[0] for k in range(permutations))], 1), 1)
             yield pa.RecordBatch.from_arrays([pa.array([i[0] // block]), *(pa.array([v.tobytes()], pa.large_binary()).cast(pa.binary()) for v in (x, r, n))], ["block", "x", "r", "n"])
 
-    return numbers.repartitionById(-(-count // block), F.expr(f"cast(i div {block} as int)")).mapInArrow(pack, "block long, x binary, r binary, n binary")
+    return numbers.repartitionById(count, F.expr(f"cast(i div {block} as int)")).mapInArrow(pack, "block long, x binary, r binary, n binary")
 
 
-def _pairs_of_blocks(blocks: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each block with itself and each later one, a task a pair. Tasks read the two blocks where they are kept: nothing is copied or shuffled."""
+def _pairs_of_blocks(blocks: DataFrame, columns: Sequence[str], count: int) -> DataFrame:
+    """Each of `count` blocks with itself and with half of the others, each pair once. Tasks read the blocks where they are kept: nothing is
+    copied or shuffled, and as there are so many tasks to a core, what they have added up is bounded too."""
     a, b = (blocks.select(*(F.col(c).alias(f"{c}{s}") for c in ("block", *columns))) for s in "ab")
-    return a.join(b.hint("shuffle_replicate_nl"), F.expr("blocka <= blockb"))
+    ahead = f"2 * pmod(blockb - blocka, {count})"  # round a circle, so that each block has as many
+    both = a.join(b.hint("shuffle_replicate_nl"), F.expr(f"{ahead} < {count} or {ahead} = {count} and blocka < blockb"))
+    return both.coalesce(16 * blocks.sparkSession.sparkContext.defaultParallelism)
 
 
 def _read(batches: Iterator[pa.RecordBatch], columns: str, width: int) -> Iterator[tuple[bool, dict[str, np.ndarray]]]:
@@ -181,14 +184,14 @@ def _counts_within(pairs: DataFrame, width: int, first: int, last: int, shift: i
     return equal, below, counts[counts["key"] >= 0]
 
 
-def _median_d2(blocks: DataFrame, width: int, total: int) -> float | None:
+def _median_d2(blocks: DataFrame, count: int, width: int, total: int) -> float | None:
     """The exact median of the positive squared distances of all pairs; None if there is none.
 
     Passes count the bits of the numbers within a range, and all below it. The first range lies around the medians within runs
     of rows and the next is the step that has the rank, so that two passes are the rule; a range without the rank is left for
     what lies below or above it.
     """
-    pairs, top = _pairs_of_blocks(blocks, "xn"), int(np.array(np.inf).view(np.uint64))
+    pairs, top = _pairs_of_blocks(blocks, "xn", count), int(np.array(np.inf).view(np.uint64))
     first, last, few = 1, top, total * total <= FEW
     if not few:
         around = blocks.select("x").mapInArrow(_around_median(width, 0.002 + total**-0.5), "lo double, hi double").agg(F.avg("lo"), F.avg("hi")).first()
@@ -236,10 +239,11 @@ def _pair_sums(reference: DataFrame, current: DataFrame, methods: Sequence[str],
     if min(n, m) < 2:
         raise NotEnoughDataError("two rows a side are needed")
     block = block or _block_rows(sizes["points"], width, reference.sparkSession.sparkContext.defaultParallelism)
-    blocks = _blocks(points, ties, sizes["points"], block, (n, m), permutations, seed).cache()
+    count = -(-sizes["points"] // block)
+    blocks = _blocks(points, ties, count, block, (n, m), permutations, seed).cache()
     try:
         if "mmd" in methods and gamma is None:
-            median = _median_d2(blocks, width, total)
+            median = _median_d2(blocks, count, width, total)
             gamma = 1 / (2 * median) if median else 1.0
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +270,7 @@ def _pair_sums(reference: DataFrame, current: DataFrame, methods: Sequence[str],
             for method, (xx, s, all_) in sums.items():
                 yield pa.RecordBatch.from_arrays([pa.array([method] * (permutations + 1)), pa.array(np.arange(permutations + 1)), *map(pa.array, (xx, s, all_))], ["method", "id", "xx", "s", "all"])
 
-        summed = _pairs_of_blocks(blocks, "xrn").mapInArrow(add, "method string, id long, xx double, s double, all double").groupBy("method", "id").agg(*(F.sum(c).alias(c) for c in ("xx", "s", "all"))).collect()  # a row a permutation
+        summed = _pairs_of_blocks(blocks, "xrn", count).mapInArrow(add, "method string, id long, xx double, s double, all double").groupBy("method", "id").agg(*(F.sum(c).alias(c) for c in ("xx", "s", "all"))).collect()  # a row a permutation
     finally:
         blocks.unpersist()
     found: dict[str, list[float]] = {x: [0.0] * (permutations + 1) for x in methods}

@@ -48,3 +48,47 @@ def test_mmd_counts_equal_rows_once(spark):
     row = multivariate.pair_statistics(a, b, ["a", "b"], 0.01, methods=("mmd",)).first()
     assert row["mmd2"] == pytest.approx(plain(x, y, 0.01)[1], abs=1e-9) and row["energy"] is None
     assert shuffled(spark) - before < 2e5
+
+
+def sides(spark, seed, n=1500, m=1300, width=40):
+    rng = np.random.default_rng(seed)
+    both = rng.normal(0, 1, (n, width)), rng.normal(0.03, 1, (m, width))
+    names = [f"c{i}" for i in range(width)]
+    return [spark.createDataFrame(v.tolist(), ", ".join(f"{c} double" for c in names)) for v in both], names
+
+
+def labelled(frames, names, permutations, seed=42):
+    """All rows in the order of their numbers, and whether each counts as the reference's: as seen, and by permutation."""
+    rows = multivariate._numbered_rows(*frames, [multivariate._vector(f, names) for f in frames], seed).orderBy("position").toPandas()
+    n, total = int((rows["side"] == 0).sum()), len(rows)
+    return np.stack(rows["x"]), np.stack([rows["side"] == 0, *(multivariate.permuted(np.arange(total), total, seed, k) < n for k in range(permutations))])
+
+
+def null_row(k, labels, method):
+    """statistic, p-value and threshold of a kernel matrix."""
+    def one(a):
+        parts = k[a][:, a], k[a][:, ~a], k[~a][:, ~a]
+        if method == "energy":
+            return 2 * parts[1].mean() - parts[0].mean() - parts[2].mean()
+        off = lambda p: (p.sum() - np.trace(p)) / (len(p) * (len(p) - 1))
+        return off(parts[0]) + off(parts[2]) - 2 * parts[1].mean()
+
+    seen, *null = (one(a) for a in labels)
+    return seen, (1 + sum(t >= seen - 1e-12 for t in null)) / (1 + len(null)), np.quantile(null, 0.95)
+
+
+def held_to_plain(spark, method, permutations):
+    """A test in many blocks gives what one matrix does, and shuffles the rows a few times, not once a block."""
+    frames, names = sides(spark, 7)
+    x, labels = labelled(frames, names, permutations)
+    d = far(x, x)
+    k = d if method == "energy" else np.exp(-d * d / (2 * np.median(d[np.triu_indices(len(d), 1)] ** 2)))
+    before = shuffled(spark)
+    row = multivariate.two_sample_test(*frames, method, names, permutations, block=100).first()
+    written = shuffled(spark) - before
+    assert (row["statistic"], row["p_value"], row["threshold"]) == pytest.approx(null_row(k, labels, method), abs=1e-9)
+    assert written < 6 * x.nbytes  # 28 blocks
+
+
+def test_mmd_permutations_read_blocks_where_they_lie(spark):
+    held_to_plain(spark, "mmd", 20)
