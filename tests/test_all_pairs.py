@@ -92,3 +92,7 @@ def held_to_plain(spark, method, permutations):
 
 def test_mmd_permutations_read_blocks_where_they_lie(spark):
     held_to_plain(spark, "mmd", 20)
+
+
+def test_energy_permutations_read_blocks_where_they_lie(spark):
+    held_to_plain(spark, "energy", 20)
