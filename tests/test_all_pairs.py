@@ -96,3 +96,23 @@ def test_mmd_permutations_read_blocks_where_they_lie(spark):
 
 def test_energy_permutations_read_blocks_where_they_lie(spark):
     held_to_plain(spark, "energy", 20)
+
+
+@pytest.mark.parametrize("kind", ["normal", "ties", "apart", "equal"])
+@pytest.mark.parametrize(("steps", "few"), [(2**13, 2**18), (8, 16)])
+def test_median_of_all_pairs(spark, monkeypatch, kind, steps, few):
+    """gamma by the median of the positive squared distances, whatever the passes: counted rows, ties, middle values far apart."""
+    monkeypatch.setattr(multivariate, "STEPS", steps)
+    monkeypatch.setattr(multivariate, "FEW", few)
+    rng = np.random.default_rng(8)
+    x = {"normal": rng.normal(size=(700, 6)), "ties": rng.integers(0, 3, (700, 2)).astype(float), "apart": np.array([[0.0], [1.0], [1000.0], [1000.0]]), "equal": np.ones((9, 2))}[kind]
+    names = [f"c{i}" for i in range(x.shape[1])]
+    df = spark.createDataFrame(np.column_stack([np.arange(len(x)) % 2, x]).tolist(), ", ".join(f"{c} double" for c in ["s", *names]))
+    row = multivariate.pair_statistics(df.where("s = 0"), df.where("s = 1"), names, block=150, methods=("mmd",)).first()
+    d2 = (far(x, x) ** 2)[np.triu_indices(len(x), 1)]
+    expected = 1 / (2 * np.median(d2[d2 > 1e-12])) if kind != "equal" else 1.0
+    assert row["gamma"] == pytest.approx(expected, rel=1e-12)
+
+
+def test_mmd_statistic_shuffles_the_rows_only(spark):
+    held_to_plain(spark, "mmd", 1)
