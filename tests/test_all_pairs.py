@@ -116,3 +116,7 @@ def test_median_of_all_pairs(spark, monkeypatch, kind, steps, few):
 
 def test_mmd_statistic_shuffles_the_rows_only(spark):
     held_to_plain(spark, "mmd", 1)
+
+
+def test_energy_statistic_shuffles_the_rows_only(spark):
+    held_to_plain(spark, "energy", 1)
